@@ -33,8 +33,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df, at least 1."""
-    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()))
+    """Catalyst's estimate of the size of df; 0 where it has none (rows that the driver or an RDD brought)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def release(spark: SparkSession) -> None:
