@@ -1,6 +1,6 @@
 """N-gram Jaccard join with set-relation skipping.
 
-A document's set is its distinct 3-word shingles. Shingles have one global order: by class of frequency (from a count sketch of
+A document's set is its distinct word shingles (of Rule.width words; two sets link at a Jaccard of Rule.num hundredths). Shingles have one global order: by class of frequency (from a count sketch of
 fixed size over the whole corpus), then by hash; rare ones first. Equal sets are one class from the start. Each class
 puts the prefix that any link must meet into inverted lists.
 
@@ -12,13 +12,14 @@ components outnumber the entries, rounds of star and random partners (linear in
 remaining pairs are judged, so no link is lost. Pairs are refuted by parity bitmaps or counted exactly over whole sets.
 
 Classes are told apart by 64-bit hashes of their sets. Defined results: null, empty and blank texts have the empty set, 0
-shingles, and are linked with nothing; texts of fewer than 3 words are one shingle; rows with one doc_id are joined
+shingles, and are linked with nothing; texts with fewer words than a shingle are one shingle; rows with one doc_id are joined
 through it as far as their sets are equal or linked; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,25 @@ from . import hashing as hs
 from .anchor_repeats import keyed
 from .components import components
 
-SHINGLE, NUM, DEN = 3, 90, 100
+DEN = 100
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle, and hundredths of the union that the intersection of a link must have."""
+
+    width: int = 3
+    num: int = 90
+
+    def prefix(self, n: int) -> int:
+        """Leading elements of a set of n of which any linked set has one."""
+        return n - (self.num * n + DEN - 1) // DEN + 1
+
+    def overlap(self, total):
+        """Least intersection of two linked sets of together `total` elements."""
+        return -(-self.num * total // (DEN + self.num))
+
+
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Random partners of an entry in a round, and rounds at most before all remaining pairs are judged.
 PARTNERS, ROUNDS = 4, 4
@@ -40,7 +59,7 @@ RANGE_BYTES = 4 << 20
 _U = np.uint64
 
 
-def raw_sets(texts: list[str | None], width: int = SHINGLE) -> Iterator[np.ndarray]:
+def raw_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     """The rising shingle hashes of each text."""
     h, sizes = hs.word_hashes(texts, lower=True)
     w = hs.windows(h, width)
@@ -58,16 +77,7 @@ def ordered(x: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.unique(classes[(x >> _U(64 - SKETCH_BITS)).astype(np.int64)] << _U(60) | x >> _U(4))
 
 
-def prefix_length(n):
-    return n - (NUM * n + DEN - 1) // DEN + 1
-
-
-def overlap_needed(total):
-    """Least intersection of two sets of together `total` elements that are linked."""
-    return -(-NUM * total // (DEN + NUM))
-
-
-def frequency_classes(docs: DataFrame, width: int = SHINGLE) -> np.ndarray:
+def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
     """The class (0: not frequent, up to 15) of each slot of the sketch: 2**SKETCH_BITS numbers whatever the corpus holds."""
     slots = 1 << SKETCH_BITS
     own = slots // SKETCH_PARTS
@@ -121,7 +131,7 @@ _ENTRY = pa.schema([("part", pa.int64()), ("o", pa.int64()), ("d", pa.int64()),
 _PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
 
-def _emit(box, parts: int, width: int):
+def _emit(box, parts: int, rule: Rule):
     """For each text its set's class and size; for each slice and range of hashes the prefix entries of its classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +139,7 @@ def _emit(box, parts: int, width: int):
         for batch in common.slices(batches, "text", 8 << 20):
             ids, k1s, k2s = (batch.column(c).to_pylist() for c in ("doc_id", "k1", "k2"))
             rows, seen, o, meta = [], set(), [], []
-            for i, k1, k2, raw in zip(ids, k1s, k2s, raw_sets(batch.column("text").to_pylist(), width), strict=True):
+            for i, k1, k2, raw in zip(ids, k1s, k2s, raw_sets(batch.column("text").to_pylist(), rule.width), strict=True):
                 x = ordered(raw, classes)
                 n = len(x)
                 d = xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
@@ -137,7 +147,7 @@ def _emit(box, parts: int, width: int):
                 rows.append((1, None, None, i, k1, k2, n, d if n else None, bitmap(x) if fresh else None))
                 if fresh:
                     seen.add(d)
-                    p = prefix_length(n)
+                    p = rule.prefix(n)
                     o.append(x[:p])
                     meta.append((d, n, p))
             if meta:
@@ -175,13 +185,13 @@ def _lists(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(v) for v in (part, o[many], d[many], n[many], pos[many])], schema=_ENTRY)
 
 
-def _allowed(n1, p1, n2, p2, c1, c2):
+def _allowed(rule, n1, p1, n2, p2, c1, c2):
     """Entries of one list whose sizes and positions allow a link, of different components."""
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
-    return (c1 != c2) & (DEN * small >= NUM * large) & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= overlap_needed(n1 + n2))
+    return (c1 != c2) & (DEN * small >= rule.num * large) & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= rule.overlap(n1 + n2))
 
 
-def _pairs(mode: str, salt: int):
+def _pairs(rule: Rule, mode: str, salt: int):
     """Pairs of classes from the lists of one range: with the list's leader, with random partners, or all that are allowed."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -195,7 +205,7 @@ def _pairs(mode: str, salt: int):
         left, right = [], []
 
         def take(i, j):
-            ok = _allowed(n[i], pos[i], n[j], pos[j], c[i], c[j])
+            ok = _allowed(rule, n[i], pos[i], n[j], pos[j], c[i], c[j])
             left.append(d[i[ok]])
             right.append(d[j[ok]])
 
@@ -211,7 +221,7 @@ def _pairs(mode: str, salt: int):
             step, i = 1, here
             while len(i):  # a list is sorted by size: past the first entry that is too large, the rest of it is skipped
                 i = i[(i - base[i]) + step < length[i]]
-                i = i[DEN * n[i] >= NUM * n[i + step]]
+                i = i[DEN * n[i] >= rule.num * n[i + step]]
                 if len(i):
                     take(i, i + step)
                 step += 1
@@ -224,45 +234,54 @@ def _pairs(mode: str, salt: int):
     return run
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(rule: Rule):
     """0: no link, 1: link, 2: to be counted; of pairs with sizes, bitmaps and distances to a leader."""
-    for batch in batches:
-        verdict = []
-        for nx, ny, bx, by, lx, ly, dx, dy in zip(*(batch.column(k).to_pylist() for k in ("nx", "ny", "bx", "by", "lx", "ly", "dx", "dy")), strict=True):
-            most = nx + ny - 2 * overlap_needed(nx + ny)
-            if lx is not None and lx == ly and dx + dy <= most:
-                verdict.append(1)
-            elif (lx is not None and lx == ly and abs(dx - dy) > most) or bitmap_distance(bx, by) > most:
-                verdict.append(0)
-            else:
-                verdict.append(2)
-        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(verdict, pa.int32())], ["x", "y", "verdict"])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The symmetric difference of two sets, and whether it allows a link."""
-    for batch in batches:
-        dist, link = [], []
-        for a, b in zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True):
-            a, b = np.frombuffer(a, _U), np.frombuffer(b, _U)
-            if len(a) > len(b):
-                a, b = b, a
-            same = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            dist.append(len(a) + len(b) - 2 * same)
-            link.append(DEN * same >= NUM * (len(a) + len(b) - same))
-        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(dist, pa.int64()), pa.array(link, pa.bool_())], ["x", "y", "dist", "link"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verdict = []
+            for nx, ny, bx, by, lx, ly, dx, dy in zip(*(batch.column(k).to_pylist() for k in ("nx", "ny", "bx", "by", "lx", "ly", "dx", "dy")), strict=True):
+                most = nx + ny - 2 * rule.overlap(nx + ny)
+                led = lx is not None and lx == ly
+                if led and dx + dy <= most:
+                    verdict.append(1)
+                elif (led and abs(dx - dy) > most) or bitmap_distance(bx, by) > most:
+                    verdict.append(0)
+                else:
+                    verdict.append(2)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(verdict, pa.int32())], ["x", "y", "verdict"])
+
+    return run
+
+
+def _count(rule: Rule):
+    """The symmetric difference of two sets, and whether they are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dist, link = [], []
+            for a, b in zip(batch.column("sx"), batch.column("sy"), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
+                if len(a) > len(b):
+                    a, b = b, a
+                same = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                dist.append(len(a) + len(b) - 2 * same)
+                link.append(DEN * same >= rule.num * (len(a) + len(b) - same))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(dist, pa.int64()), pa.array(link, pa.bool_())], ["x", "y", "dist", "link"])
+
+    return run
 
 
 class SetJoin:
     """One run of the join over a table; rows(): the table's rows with set size and component."""
 
-    def __init__(self, docs: DataFrame, width: int = SHINGLE):
-        self.spark, self.width = docs.sparkSession, width
+    def __init__(self, docs: DataFrame, rule: Rule = Rule()):
+        self.spark, self.rule = docs.sparkSession, rule
         self.docs = keyed(docs)
-        self.box = self.spark.sparkContext.broadcast(frequency_classes(docs, width))
+        self.box = self.spark.sparkContext.broadcast(frequency_classes(docs, rule.width))
         parts = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(docs) // RANGE_BYTES)
         sql = "kind tinyint, part bigint, data binary, doc_id bigint, k1 bigint, k2 bigint, n bigint, d bigint, bits binary"
-        out = common.staged(self.docs.select("doc_id", "k1", "k2", "text").mapInArrow(_emit(self.box, parts, width), sql), "sets")
+        out = common.staged(self.docs.select("doc_id", "k1", "k2", "text").mapInArrow(_emit(self.box, parts, rule), sql), "sets")
         self.rows_ = out.where("kind = 1").select("doc_id", "k1", "k2", "n", "d", "bits")
         lists = out.where("kind = 0").select("part", "data").groupBy("part").applyInArrow(_lists, "part bigint, o bigint, d bigint, n bigint, pos bigint")
         self.entries = common.staged(lists, "set-lists")
@@ -290,19 +309,19 @@ class SetJoin:
         return int(r.entries or 0), int(r.pairs or 0)
 
     def _round(self, entries: DataFrame, mode: str, salt: int) -> None:
-        pairs = entries.groupBy("part").applyInArrow(_pairs(mode, salt), "x bigint, y bigint").distinct()
+        pairs = entries.groupBy("part").applyInArrow(_pairs(self.rule, mode, salt), "x bigint, y bigint").distinct()
         for t in self.tested:
             pairs = pairs.join(t.select("x", "y"), ["x", "y"], "left_anti")
         about = self.classes.select("d", "n", "bits")
         about = about.join(self.near, "d", "left") if self.near is not None else about.withColumns({"l": F.lit(None).cast("bigint"), "dist": F.lit(None).cast("bigint")})
         side = lambda k: about.select(F.col("d").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"), F.col("l").alias(f"l{k}"), F.col("dist").alias(f"d{k}"))
-        judged = common.staged(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_judge, "x bigint, y bigint, verdict int"), "set-judged")
+        judged = common.staged(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_judge(self.rule), "x bigint, y bigint, verdict int"), "set-judged")
         self.tested.append(judged)
         self.links.append(judged.where("verdict = 1").select("x", "y"))
         todo = judged.where("verdict = 2").select("x", "y")
         wanted = todo.select(F.col("x").alias("d")).unionByName(todo.select(F.col("y").alias("d"))).distinct()
         keys = wanted.join(self.classes, "d").select("d", "key.k1", "key.k2")
-        box, width = self.box, self.width
+        box, width = self.box, self.rule.width
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in common.slices(batches, "text", 8 << 20):
@@ -312,7 +331,7 @@ class SetJoin:
         texts = self.docs.select("k1", "k2", "text").join(keys, ["k1", "k2"]).select("d", "text")
         sets = common.staged(texts.mapInArrow(make, "d bigint, s binary").dropDuplicates(["d"]), "set-elements")
         counted = common.staged(
-            todo.join(sets.select(F.col("d").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("d").alias("y"), F.col("s").alias("sy")), "y").mapInArrow(_count, "x bigint, y bigint, dist bigint, link boolean"),
+            todo.join(sets.select(F.col("d").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("d").alias("y"), F.col("s").alias("sy")), "y").mapInArrow(_count(self.rule), "x bigint, y bigint, dist bigint, link boolean"),
             "set-counted",
         )
         self.links.append(counted.where("link").select("x", "y"))
@@ -333,19 +352,35 @@ class SetJoin:
         self._with_components()
 
     def rows(self) -> DataFrame:
-        """doc_id, k1, k2, n_shingles, component_id of every row of the table."""
+        """doc_id, k1, k2, n_shingles, component_id, group (null: empty set) of every row of the table."""
         self.run()
         of_class = self.rows_.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("low"))
         of_class = of_class.join(self.labels.select(F.col("node").alias("d"), "label"), "d", "left").withColumn("label", F.coalesce("label", "d"))
         low = of_class.groupBy("label").agg(F.min("low").alias("component_id"))
-        to = common.staged(of_class.join(low, "label").select("d", "component_id"), "set-result")
-        found = self.rows_.where("d is not null").select("doc_id", "k1", "k2", "n", "d").join(to.hint("merge"), "d").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id")
-        return found.unionByName(self.rows_.where("d is null").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        to = common.staged(of_class.join(low, "label").select("d", "component_id", F.col("label").alias("group")), "set-result")
+        found = self.rows_.where("d is not null").select("doc_id", "k1", "k2", "n", "d").join(to.hint("merge"), "d").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "component_id", "group")
+        return found.unionByName(self.rows_.where("d is null").select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("group")))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return SetJoin(docs).rows().select("doc_id", "n_shingles", "component_id")
+    return SetJoin(docs, rule).rows().select("doc_id", "n_shingles", "component_id")
+
+
+def survivors(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:
+    """The rows of docs, with all columns, of which each component keeps one: the smallest doc_id, null last. Empty sets all stay."""
+    found = common.staged(SetJoin(docs, rule).rows(), "set-components")
+    alone = found.where("n_shingles = 0").select("k1", "k2")
+    best = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("b")).select("b.k1", "b.k2")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_k2": F.xxhash64(text)})
+    kept = best.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    same = found.where("n_shingles > 0").groupBy("k1", "k2").count().where("count > 1").limit(1).count()
+    out = marked.join(kept, ["_k1", "_k2"], "left_semi")
+    if same:  # equal rows: one of them
+        out = out.dropDuplicates(["_k1", "_k2"])
+    blank = marked.join(alone.distinct().select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), ["_k1", "_k2"], "left_semi")
+    return out.unionByName(blank).drop("_k1", "_k2")
 
 
 def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,13 @@ from pagelattice.llm import components as cc
 from pagelattice.llm import set_join as sj
 
 
-def shingles(t):
+def shingles(t, k=3):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, k=3, num=90):
+    sets = [shingles(t, k) for _, t in rows]
     comp = list(range(len(rows)))
 
     def find(i):
@@ -25,7 +25,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= num * len(a | b):
                 comp[find(i)] = find(j)
     low = {}
     for i, (k, _) in enumerate(rows):
@@ -68,6 +68,15 @@ def test_by_brute_force(spark):
     assert sj.join(df.limit(0)).count() == 0
 
 
+def test_survivors(spark):
+    rows = [r for r in corpus() if r[0] not in (8, None)] + [(8, "a b c"), (8, "a b c")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, k1 string, n int").repartition(3)
+    out = sj.survivors(df)
+    assert out.columns == df.columns
+    want = {c for k, n, c in brute(rows, 5, 80) if n} | {k for k, n, _ in brute(rows, 5, 80) if not n}
+    assert sorted(r.doc_id for r in out.collect()) == sorted(want)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5)]
@@ -89,7 +98,8 @@ def test_bounds(a, b):
     if a and b:
         assert sj.bitmap_distance(sj.bitmap(pack(a)), sj.bitmap(pack(b))) <= len(a ^ b)
         linked = 100 * len(a & b) >= 90 * len(a | b)
-        assert linked == (len(a & b) >= sj.overlap_needed(len(a) + len(b)))
+        rule = sj.Rule()
+        assert linked == (len(a & b) >= rule.overlap(len(a) + len(b)))
         if linked:
             order = sorted(a | b)
-            assert set([x for x in order if x in a][: sj.prefix_length(len(a))]) & set([x for x in order if x in b][: sj.prefix_length(len(b))])
+            assert set([x for x in order if x in a][: rule.prefix(len(a))]) & set([x for x in order if x in b][: rule.prefix(len(b))])
