@@ -5,10 +5,406 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import text as T
+from ..operators import histogram, lookup, neighbours, order, outline, search, selection
+from ..session import spread, table
+from ..sources import letters as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+PHRASE = "the"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its DuckDB SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_phrase"](spark, sf_dir)
+
+
+# DuckDB: letters of whole texts, islands of letters as words, and pages of words, made another way than Spark's
+_LETTERS = """
+letters AS (SELECT doc_id, pos // 1600 + 1 AS page_no, (pos % 1600) % 80 AS c, (pos % 1600) // 80 AS r, ch FROM (
+  SELECT doc_id, unnest(range(0, length(text))) AS pos, unnest(string_split(text, '')) AS ch FROM {docs} WHERE length(text) > 0)
+  WHERE ch <> chr(10))
+"""
+_WORDS = r"""
+l1 AS (SELECT *, regexp_matches(ch, '^\p{P}$') AS p FROM letters WHERE NOT regexp_matches(ch, '^[\s\p{Z}\x{85}\x0b]$')),
+l2 AS (SELECT *, CASE WHEN c = lag(c) OVER w + 1 AND NOT p AND NOT lag(p) OVER w THEN 0 ELSE 1 END AS new FROM l1 WINDOW w AS (PARTITION BY doc_id, page_no, r ORDER BY c)),
+l3 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_no ORDER BY r, c ROWS UNBOUNDED PRECEDING) - 1 AS word_idx FROM l2),
+words AS (SELECT doc_id, page_no, word_idx::INT AS word_idx, string_agg(ch, '' ORDER BY c) AS value, count(*)::INT AS n_letters, min(r)::INT AS r, min(c) * 6.0::DOUBLE AS "left",
+  (min(r) * 14 - 10)::DOUBLE AS top, (max(c) + 1) * 6.0::DOUBLE AS "right", (min(r) * 14)::DOUBLE AS bottom FROM l3 GROUP BY 1, 2, 3)
+"""
+_PAGES = "page_text AS (SELECT doc_id, page_no, string_agg(value, ' ' ORDER BY word_idx) AS text FROM words GROUP BY 1, 2)"
+
+
+def _with(*parts: str, docs: str = "documents") -> str:
+    return "WITH " + ", ".join(p.strip() for p in parts).replace("{docs}", docs) + " "
+
+
+def _pages(spark, sf_dir):
+    return L.pages(spread(table(spark, sf_dir, "documents")))
+
+
+def _words(spark, sf_dir):
+    return L.word_rows(L.words(_pages(spark, sf_dir)))
+
+
+def _texts(spark, sf_dir):
+    return search.page_text(L.word_values(_pages(spark, sf_dir)))
+
+
+@query(_with(_LETTERS) + "SELECT doc_id, page_no::INT AS page_no, count(*) AS n, sum(c)::BIGINT AS sum_c, sum(r)::BIGINT AS sum_r, sum(unicode(ch))::BIGINT AS sum_code FROM letters GROUP BY ALL")
+def letters_grid(spark, sf_dir):
+    """Letters of whole documents on the grid, summed by page."""
+    found = L.letters(_pages(spark, sf_dir))
+    code = F.ascii("value").cast("bigint")  # the code point, whatever its name says
+    return found.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("sum_c"), F.sum("r").alias("sum_r"), F.sum(code).alias("sum_code"))
+
+
+@query(_with(_LETTERS, _WORDS) + "SELECT doc_id, page_no::INT AS page_no, word_idx, value, n_letters, r FROM words")
+def words_from_letters(spark, sf_dir):
+    return _words(spark, sf_dir).select("doc_id", "page_no", "word_idx", "value", "n_letters", "r")
+
+
+@query(_with(_LETTERS, _WORDS, _PAGES) + "SELECT doc_id, page_no::INT AS page_no, text FROM page_text")
+def page_text(spark, sf_dir):
+    return _texts(spark, sf_dir).where("text <> ''")
+
+
+_HITS = f"""
+parts AS (SELECT doc_id, page_no, text, string_split(lower(text), '{PHRASE}') AS s FROM page_text WHERE contains(lower(text), '{PHRASE}')),
+hits AS (SELECT doc_id, page_no, text, (list_sum(list_transform(s[1:k], lambda x: length(x))) + {len(PHRASE)} * (k - 1))::INT AS char_pos
+  FROM (SELECT *, unnest(range(1, len(s))) AS k FROM parts)),
+found AS (SELECT doc_id, page_no::INT AS page_no, (char_pos - length(replace(substring(text, 1, char_pos), ' ', '')))::INT AS word_idx, 1 AS word_count, char_pos,
+  substring(text, greatest(char_pos - 10, 0) + 1, 40) AS sample FROM hits)
+"""
+
+
+@query(_with(_LETTERS, _WORDS, _PAGES, _HITS) + "SELECT * FROM found")
+def search_phrase(spark, sf_dir):
+    return search.search(_texts(spark, sf_dir), PHRASE)
+
+
+@query(_with(_LETTERS, _WORDS, _PAGES, _HITS) + "SELECT doc_id, page_no, count(*) AS n_hits, min(word_idx) AS first_word, page_no || ' (' || count(*) || ')' AS label FROM found GROUP BY 1, 2")
+def search_by_page(spark, sf_dir):
+    return search.by_page(search.search(_texts(spark, sf_dir), PHRASE))
+
+
+@query(_with(_LETTERS, _WORDS, _PAGES, _HITS) + 'SELECT h.doc_id, h.page_no, h.word_idx AS hit, w.word_idx, "left", top, "right", bottom FROM found h JOIN words w ON w.doc_id = h.doc_id AND w.page_no = h.page_no AND w.word_idx BETWEEN h.word_idx AND h.word_idx + word_count - 1')
+def hit_boxes(spark, sf_dir):
+    return search.hit_boxes(search.search(_texts(spark, sf_dir), PHRASE), _words(spark, sf_dir))
+
+
+@query(_with(_LETTERS, _WORDS, _PAGES, _HITS) + "SELECT doc_id, page_no::INT AS page_no, length(text)::INT AS n FROM page_text ANTI JOIN found USING (doc_id, page_no)")
+def unsearched_pages(spark, sf_dir):
+    texts = _texts(spark, sf_dir).where("text <> ''")
+    return search.unsearched(texts, search.search(texts, PHRASE)).select("doc_id", "page_no", F.length("text").alias("n"))
+
+
+@query(r"""
+WITH p AS (SELECT conv_id, turn, lower(regexp_replace(text, '\s+', ' ', 'g')) AS t, regexp_replace(text, '\s+', ' ', 'g') AS text FROM conversations),
+s AS (SELECT *, string_split(t, 'the') AS s FROM p WHERE contains(t, 'the')),
+h AS (SELECT conv_id, turn, text, (list_sum(list_transform(s[1:k], lambda x: length(x))) + 3 * (k - 1))::INT AS char_pos FROM (SELECT *, unnest(range(1, len(s))) AS k FROM s))
+SELECT conv_id, turn, char_pos, (char_pos - length(replace(substring(text, 1, char_pos), ' ', '')))::INT AS word_idx, '...' || substring(text, greatest(char_pos - 10, 0) + 1, 40) || '...' AS label FROM h
+""")
+def search_samples(spark, sf_dir):
+    """Samples of hits, with each turn of a conversation as a page."""
+    texts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.regexp_replace("text", r"[ \t\n\r\f]+", " ").alias("text"))
+    hits = search.search(texts, PHRASE)
+    return hits.select(F.col("doc_id").alias("conv_id"), F.col("page_no").alias("turn"), "char_pos", "word_idx", T.hit_label(F.col("sample")).alias("label"))
+
+
+@query(r"""
+WITH q AS (SELECT item_id, text, regexp_replace(text, '(\p{P})', ' \1 ', 'g') AS s FROM benchmark),
+a AS (SELECT item_id, text, CASE WHEN regexp_matches(text, '^\p{P}') THEN substring(s, 2) ELSE s END AS s FROM q),
+b AS (SELECT item_id, CASE WHEN regexp_matches(text, '\p{P}$') THEN left(s, length(s) - 1) ELSE s END AS cleaned FROM a)
+SELECT item_id, cleaned, (length(cleaned) - length(replace(cleaned, ' ', '')) + 1 - starts_with(cleaned, ' ')::INT - (ends_with(cleaned, ' ') AND length(cleaned) > 1)::INT)::INT AS n FROM b
+""")
+def search_clean_query(spark, sf_dir):
+    c = T.clean_query(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", c.alias("cleaned"), T.word_count(c).alias("n"))
+
+
+@query(
+    _with(_LETTERS)
+    + r"""SELECT a.doc_id, a.page_no::INT AS page_no, count(*) AS n_links, sum(b.c)::BIGINT AS sum_next FROM letters a JOIN letters b
+  ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.r = b.r AND b.c = a.c + 1
+  WHERE NOT regexp_matches(a.ch, '^[\s\p{Z}\p{P}\x{85}\x0b]$') AND NOT regexp_matches(b.ch, '^[\s\p{Z}\p{P}\x{85}\x0b]$') GROUP BY 1, 2"""
+)
+def nn1_links(spark, sf_dir):
+    """Links of nearest letters over whole documents, summed by page; on the grid only a touching right neighbour is near enough."""
+    a = L.letters(_pages(spark, sf_dir))
+    x, y = (F.col("c") * L.CELL).cast("double"), (F.col("r") * L.PITCH).cast("double")
+    shaped = a.select("doc_id", "page_no", "seq", "value", F.lit("Horizontal").alias("orientation"), x.alias("sx"), y.alias("sy"), (x + L.CELL).alias("ex"), y.alias("ey"), F.lit(float(L.CELL)).alias("width"), F.lit(L.POINT).alias("point_size"))
+    links = neighbours.nearest(shaped, 0.2 * L.POINT, neighbours.letter_limit)
+    return links.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_links"), F.sum((F.col("next") % L.COLUMNS).cast("bigint")).alias("sum_next"))
+
+
+@query("""
+WITH p AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+d AS (SELECT a.label, a.vec_id AS idx, b.vec_id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT label, idx, other, round(dist, 6) AS dist FROM (SELECT *, dense_rank() OVER (PARTITION BY label, idx ORDER BY dist) AS k FROM d) WHERE k <= 2
+""")
+def knn2_points(spark, sf_dir):
+    """The two nearest distances of each point to points of its label."""
+    x, y = F.get("embedding", F.lit(0)).cast("double"), F.get("embedding", F.lit(1)).cast("double")
+    points = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("idx"), x.alias("px"), y.alias("py"), x.alias("cx"), y.alias("cy"))
+    return neighbours.k_nearest(points, ["label"]).select("label", "idx", "other", F.round("dist", 6).alias("dist"))
+
+
+_PEAK = """
+WITH v AS (SELECT event_type, value FROM events WHERE value >= 0),
+t AS (SELECT event_type, CASE WHEN ceil(max(value)) = 0 THEN 10.0 ELSE ceil(max(value)) END AS top FROM v GROUP BY 1),
+b AS (SELECT v.event_type, least(floor(value / least(10.0, top)), ceil(top / least(10.0, top))) AS i, count(*) AS n, avg(value) AS m FROM v JOIN t USING (event_type) GROUP BY ALL)
+SELECT event_type, round(m, 6) AS peak FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, i) AS k FROM b) WHERE k = 1
+"""
+
+
+@query(_PEAK)
+def peak_histogram_events(spark, sf_dir):
+    return histogram.peak_average(table(spark, sf_dir, "events"), ["event_type"], "value", 10.0).select("event_type", F.round("peak", 6).alias("peak"))
+
+
+@query("""
+WITH c AS (SELECT event_type, value, rank() OVER (PARTITION BY event_type ORDER BY count(*) DESC) AS k FROM events GROUP BY 1, 2)
+SELECT event_type, CASE WHEN count(*) = 1 THEN max(value) END AS mode FROM c WHERE k = 1 GROUP BY 1
+""")
+def mode_events(spark, sf_dir):
+    return histogram.mode(table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+_LINES = """
+lines AS (SELECT doc_id, page_no, r AS line_idx, min(word_idx) AS word_start, count(*) AS n_words, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom,
+  string_agg(value, '' ORDER BY word_idx) AS joined FROM words GROUP BY 1, 2, 3)
+"""
+
+
+def _lined(spark, sf_dir):
+    return _words(spark, sf_dir).withColumnRenamed("r", "line_idx")
+
+
+@query(_with(_LETTERS, _WORDS, _LINES) + 'SELECT doc_id, page_no::INT AS page_no, line_idx, word_start, n_words, "left", top, "right", bottom, joined FROM lines')
+def lines_from_words(spark, sf_dir):
+    return lookup.lines(_lined(spark, sf_dir))
+
+
+@query(_with(_LETTERS, _WORDS) + """SELECT doc_id, page_no::INT AS page_no, word_idx, value, (dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY r) - 1)::INT AS line_idx, 0 AS block_idx FROM words""")
+def ordinals(spark, sf_dir):
+    """Running word, line and block numbers; the grid's rows are its lines, a page one block."""
+    w = _words(spark, sf_dir).select("doc_id", "page_no", F.lit(0).alias("block"), F.col("r").alias("line"), F.col("word_idx").alias("ord"), "value")
+    return order.ordinals(w).select("doc_id", "page_no", "word_idx", "value", "line_idx", "block_idx")
+
+
+_POINTS = "points AS (SELECT doc_id, page_no, 240.0 + 6 * (doc_id % 7) AS x, 14.0 * (page_no % 20) - 5 AS y FROM (SELECT DISTINCT doc_id, page_no FROM words))"
+
+
+def _points(words):
+    return words.select("doc_id", "page_no").distinct().select("doc_id", "page_no", (240.0 + 6 * (F.col("doc_id") % 7)).cast("double").alias("x"), (14.0 * (F.col("page_no") % 20) - 5).cast("double").alias("y"))
+
+
+@query(_with(_LETTERS, _WORDS, _POINTS) + 'SELECT p.doc_id, p.page_no::INT AS page_no, p.x::DOUBLE AS x, p.y::DOUBLE AS y, min(word_idx) AS word_idx FROM points p JOIN words w ON w.doc_id = p.doc_id AND w.page_no = p.page_no AND x BETWEEN "left" AND "right" AND y BETWEEN top AND bottom GROUP BY ALL')
+def point_in_box(spark, sf_dir):
+    """The word under a point of each page."""
+    w = _words(spark, sf_dir)
+    return lookup.under(_points(w), w, "word_idx")
+
+
+@query(
+    _with(_LETTERS, _WORDS, _LINES, _POINTS)
+    + """, d AS (SELECT p.doc_id, p.page_no, p.x, p.y, line_idx, ((p.x - "left") * ("right" - "left")) / nullif(("right" - "left") * ("right" - "left"), 0) AS s, "left", "right", bottom FROM points p JOIN lines l ON l.doc_id = p.doc_id AND l.page_no = p.page_no),
+  e AS (SELECT *, CASE WHEN s > 1 THEN "right" ELSE "left" + s * ("right" - "left") END AS nx FROM d WHERE s >= 0)
+  SELECT doc_id, page_no::INT AS page_no, x::DOUBLE AS x, y::DOUBLE AS y, line_idx, round(sqrt((x - nx) * (x - nx) + 4.0 * (y - bottom) * (y - bottom)), 6)::DOUBLE AS dist, s >= 1 AS past_end FROM e
+  QUALIFY row_number() OVER (PARTITION BY doc_id, page_no ORDER BY sqrt((x - nx) * (x - nx) + 4.0 * (y - bottom) * (y - bottom)), line_idx) = 1"""
+)
+def nearest_line_point(spark, sf_dir):
+    w = _lined(spark, sf_dir)
+    return lookup.nearest_line(_points(w), lookup.lines(w)).withColumn("dist", F.round("dist", 6))
+
+
+_TOKENS = r"""
+tok AS (SELECT *, lag(value) OVER w AS pv, lag(r) OVER w AS pl, lag(page_no) OVER w AS pp, lead(value) OVER w AS nv, lead(r) OVER w AS nl FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY page_no, word_idx)),
+pieces AS (SELECT doc_id, page_no, word_idx,
+  CASE WHEN pv IS NULL OR (r > pl AND regexp_matches(pv, '[\p{Pc}\p{Pd}]$')) OR regexp_matches(pv, '[\p{Ps}\p{Pi}\p{Pd}\p{Pc}]$') OR regexp_matches(value, '^[\p{Pe}\p{Pf}\p{Po}\p{Pd}\p{Sm}\p{Sc}]') THEN '' ELSE ' ' END
+  || CASE WHEN nv IS NOT NULL AND nl > r AND regexp_matches(value, '[\p{Pc}\p{Pd}]$') THEN left(value, length(value) - 1) ELSE value END AS piece FROM tok)
+"""
+
+
+@query(_with(_LETTERS, _WORDS, _TOKENS) + "SELECT doc_id, page_no::INT AS page_no, word_idx, piece FROM pieces")
+def token_spacing(spark, sf_dir):
+    return selection.spaced(_lined(spark, sf_dir).withColumnRenamed("value", "token"))
+
+
+@query(_with(_LETTERS, _WORDS, _TOKENS) + "SELECT doc_id, string_agg(piece, '' ORDER BY page_no, word_idx) AS text FROM pieces GROUP BY 1")
+def selection_text(spark, sf_dir):
+    """Every document selected as a whole, from its first letter to its last, and reflowed."""
+    w = _lined(spark, sf_dir)
+    ends = w.groupBy("doc_id").agg(F.max(F.struct("page_no", "word_idx")).alias("e"))
+    whole = ends.select("doc_id", F.col("e.page_no").alias("anchor_page"), F.col("e.word_idx").alias("anchor_word"), F.lit(-1).alias("anchor_off"), F.lit(1).alias("focus_page"), F.lit(0).alias("focus_word"), F.lit(-1).alias("focus_off"))
+    return selection.selection_text(selection.selected_words(whole, w))
+
+
+_URL_SQL = T.URL.replace("\\/", "/").replace("'", "''")
+
+
+@query(f"SELECT page_id, nullif(regexp_extract(url, '{_URL_SQL}', 0), '') AS link, nullif(regexp_extract(html, '{_URL_SQL}', 0), '') AS first_link FROM pages")
+def url_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.url_of(F.col("url")).alias("link"), T.url_of(F.col("html")).alias("first_link"))
+
+
+@query(_with(_LETTERS, _WORDS, _LINES) + f"SELECT doc_id, page_no::INT AS page_no, line_idx, regexp_extract(joined, '{_URL_SQL}', 0) AS link FROM lines WHERE regexp_matches(joined, '{_URL_SQL}')")
+def line_links(spark, sf_dir):
+    """Lines that are links: the pattern over a line's words put together without spaces."""
+    found = lookup.lines(_lined(spark, sf_dir)).select("doc_id", "page_no", "line_idx", T.url_of(F.col("joined")).alias("link"))
+    return found.where("link is not null")
+
+
+@query("""
+SELECT page_id, CASE WHEN url <> '' AND split_part(CASE WHEN NOT contains(url, ':') AND NOT starts_with(url, 'http') THEN 'http://' || url ELSE url END, ':', 1) IN ('ftp','http','https','mailto','tel','imap','file')
+  THEN CASE WHEN NOT contains(url, ':') AND NOT starts_with(url, 'http') THEN 'http://' || url ELSE url END END AS uri,
+  lower(url) LIKE '%.pdf' AS is_pdf, regexp_replace(url, '[\\x00-\\x1f"<>|:*?\\\\/]', '_', 'g') AS name, replace(base64(encode(url)), '\\', '#') AS key, rpad(left(url, 15), 15, ' ') AS log_name FROM pages
+""".replace("\\\\", "\\"))
+def path_functions(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.openable(u).alias("uri"), T.is_pdf(u).alias("is_pdf"), T.file_name(u).alias("name"), T.path_key(u).alias("key"), T.log_name(u).alias("log_name"))
+
+
+@query("""
+WITH b AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM benchmark)
+SELECT a.item_id, round(levenshtein(a.text, b.text)::DOUBLE / greatest(length(a.text), length(b.text)), 6) AS distance FROM b a JOIN b ON b.item_id = a.item_id + 1
+""")
+def edit_distance(spark, sf_dir):
+    """Normalised edit distance of each item to the next, with ? for what is not ASCII (DuckDB compares bytes)."""
+    b = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return b.join(other, "item_id").select("item_id", F.round(T.edit_distance(F.col("text"), F.col("other")), 6).alias("distance"))
+
+
+@query(r"""
+WITH n AS (SELECT doc_id, n_chars * n_chars * 37 AS b FROM documents),
+m AS (SELECT doc_id, b, CASE WHEN b < 1024 THEN 0 WHEN b < 1048576 THEN 1 WHEN b < 1073741824 THEN 2 WHEN b < 1099511627776 THEN 3 ELSE 4 END AS k FROM n),
+r AS (SELECT doc_id, b, CASE WHEN round(b::DECIMAL(38,10) / (1024 ** k)::BIGINT, 1) >= 1000 THEN k + 1 ELSE k END AS k FROM m)
+SELECT doc_id, printf('%.1f', round((b::DECIMAL(38,10) / (1024 ** k)::BIGINT)::DECIMAL(38,10), 1)) || ' ' || ['bytes', 'KB', 'MB', 'GB', 'TB', 'PB'][k + 1] AS label FROM r
+""")
+def size_label(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.size_label(F.col("n_chars") * F.col("n_chars") * 37).alias("label"))
+
+
+@query("""
+SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d 00:00:00 +01:00') AS shown, 'D:' || o_orderkey AS raw FROM orders
+""")
+def pdf_dates(spark, sf_dir):
+    d = F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("000000+01'00'"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.pdf_date(d).alias("shown"), T.pdf_date(F.concat(F.lit("D:"), F.col("o_orderkey").cast("string"))).alias("raw"))
+
+
+_P4 = "p AS (SELECT vec_id, embedding[1]::DOUBLE AS ax, embedding[2]::DOUBLE AS ay, embedding[3]::DOUBLE AS bx, embedding[4]::DOUBLE AS b_y, embedding[5]::DOUBLE AS cx, embedding[6]::DOUBLE AS cy FROM embeddings)"
+
+
+@query(
+    "WITH " + _P4 + """ SELECT vec_id, round(sqrt((ax-bx)*(ax-bx)+(ay-b_y)*(ay-b_y)), 6) AS euclidean, round(sqrt(2*(ax-bx)*(ax-bx)+3*(ay-b_y)*(ay-b_y)), 6) AS weighted, round(abs(ax-bx)+abs(ay-b_y), 6) AS manhattan,
+  round(degrees(atan2(b_y-ay, bx-ax)), 6) AS angle, round(((cx-ax)*(bx-ax)+(cy-ay)*(b_y-ay))/nullif((bx-ax)*(bx-ax)+(b_y-ay)*(b_y-ay),0), 6) AS s,
+  round(3*degrees(atan2(b_y-ay, bx-ax)) - 360*floor((3*degrees(atan2(b_y-ay, bx-ax))+180)/360), 6) AS bound,
+  CASE WHEN abs(b_y-ay) < 0.02 THEN CASE WHEN bx > ax THEN 'Horizontal' ELSE 'Rotate180' END WHEN abs(bx-ax) < 0.02 THEN CASE WHEN b_y > ay THEN 'Rotate90' ELSE 'Rotate270' END ELSE 'Other' END AS orientation,
+  round(greatest(least(greatest(ax,bx),0.1)-greatest(least(ax,bx),-0.1),0)*greatest(least(greatest(ay,b_y),0.1)-greatest(least(ay,b_y),-0.1),0), 6) AS overlap FROM p"""
+)
+def geometry_scalars(spark, sf_dir):
+    e = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    ax, ay, bx, by, cx, cy = map(e, range(6))
+    r = lambda c, name: F.round(c, 6).alias(name)
+    box = F.least(ax, bx), F.least(ay, by), F.greatest(ax, bx), F.greatest(ay, by)
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", r(G.euclidean(ax, ay, bx, by), "euclidean"), r(G.euclidean(ax, ay, bx, by, 2.0, 3.0), "weighted"), r(G.manhattan(ax, ay, bx, by), "manhattan"), r(G.angle(ax, ay, bx, by), "angle"),
+        r(G.projection(cx, cy, ax, ay, bx, by), "s"), r(G.bound_180(3 * G.angle(ax, ay, bx, by)), "bound"), G.orientation(ax, ay, bx, by, eps=0.02).alias("orientation"),
+        r(G.overlap_area(*box, *map(F.lit, (-0.1, -0.1, 0.1, 0.1))), "overlap"),
+    )
+
+
+@query("""
+WITH z AS (SELECT event_id, value / 20 AS level, (event_id % 4) * 90 AS rotation, 100.0 + event_id % 50 AS w, 200.0 + event_id % 30 AS h FROM events)
+SELECT event_id, coalesce(list_min(list_filter(l, lambda x: x > level)), 64.0)::DOUBLE AS zoom_in, coalesce(list_max(list_filter(l, lambda x: x < level)), 0.08)::DOUBLE AS zoom_out,
+  ((rotation + 90) % 360)::BIGINT AS turned, ((rotation + 270) % 360)::BIGINT AS turned_back, (CASE WHEN rotation IN (90, 270) THEN h ELSE w END)::DOUBLE AS shown_w, greatest(floor(w / h * 135), 1)::INT AS thumb_w
+FROM (SELECT *, [0.08, 0.125, 0.25, 0.33, 0.5, 0.67, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0, 64.0]::DOUBLE[] AS l FROM z)
+""")
+def view_functions(spark, sf_dir):
+    level, rotation = F.col("value") / 20, (F.col("event_id") % 4) * 90
+    w, h = (F.lit(100.0) + F.col("event_id") % 50), (F.lit(200.0) + F.col("event_id") % 30)
+    return table(spark, sf_dir, "events").select(
+        "event_id", G.zoom_step(level).alias("zoom_in"), G.zoom_step(level, False).alias("zoom_out"), G.quarter_turn(rotation).alias("turned"), G.quarter_turn(rotation, True).alias("turned_back"),
+        G.shown_size(w, h, rotation)[0].alias("shown_w"), G.thumbnail_width(w, h).alias("thumb_w"),
+    )
+
+
+@query(r"""
+WITH t AS (SELECT page_id, regexp_extract_all(html, '(?s)<h[1-6][^>]*>.*?</h[1-6]>') AS t FROM pages),
+n AS (SELECT page_id AS doc_id, (i - 1)::INT AS node_id, regexp_extract(t[i], '<h([1-6])', 1)::INT AS level,
+  trim(regexp_replace(regexp_replace(t[i], '(?s)^<h[1-6][^>]*>|</h[1-6]>$', '', 'g'), '<[^>]*>', '', 'g'), ' ') AS title FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM t)),
+a AS (SELECT n.*, (SELECT max(m.node_id) FROM n m WHERE m.doc_id = n.doc_id AND m.node_id < n.node_id AND m.level < n.level) AS parent_id FROM n)
+SELECT doc_id, node_id, parent_id, level, title FROM a
+""")
+def outline_headings(spark, sf_dir):
+    return outline.from_headings(table(spark, sf_dir, "pages")).select("doc_id", "node_id", "parent_id", "level", "title")
+
+
+@query(r"""
+WITH RECURSIVE t AS (SELECT page_id, regexp_extract_all(html, '(?s)<h[1-6][^>]*>.*?</h[1-6]>') AS t FROM pages),
+n AS (SELECT page_id AS doc_id, (i - 1)::INT AS node_id, regexp_extract(t[i], '<h([1-6])', 1)::INT AS level FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM t)),
+a AS (SELECT n.*, (SELECT max(m.node_id) FROM n m WHERE m.doc_id = n.doc_id AND m.node_id < n.node_id AND m.level < n.level) AS parent_id FROM n),
+w AS (SELECT doc_id, node_id, 0 AS depth, node_id::VARCHAR AS path FROM a WHERE parent_id IS NULL UNION ALL SELECT a.doc_id, a.node_id, w.depth + 1, w.path || '/' || a.node_id FROM a JOIN w ON a.doc_id = w.doc_id AND a.parent_id = w.node_id)
+SELECT doc_id, node_id, depth, path FROM w
+""")
+def outline_flatten(spark, sf_dir):
+    flat = outline.flatten(outline.from_headings(table(spark, sf_dir, "pages")))
+    return flat.select("doc_id", "node_id", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
+
+
+@query("""
+SELECT event_id, row_number() OVER (ORDER BY user_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 ELSE 3 END, event_id) AS place FROM events WHERE value >= 1
+""")
+def priority_schedule(spark, sf_dir):
+    """Requests in order of work: page, then type; cancelled ones are skipped. A place in one queue is a global order by nature."""
+    from pyspark.sql import Window as W
+
+    kind = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", 2).otherwise(3)
+    r = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("page_no"), kind.alias("type"), (F.col("value") < 1).alias("cancelled"))
+    return order.priority(r).select("event_id", F.row_number().over(W.orderBy("page_no", "type", "event_id")).cast("bigint").alias("place"))
+
+
+@query("""
+SELECT regexp_replace(url, '[?#].*$', '') AS path, min(page_id) AS page_id, count(*) AS opened FROM pages GROUP BY 1
+""")
+def open_once(spark, sf_dir):
+    """A path opens one document, however often it is asked for."""
+    p = table(spark, sf_dir, "pages").withColumn("path", F.regexp_replace("url", "[?#].*$", ""))
+    return p.groupBy("path").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("opened"))
+
+
+@query("""
+SELECT event_id, CASE WHEN coalesce(k, 0) <= 0 THEN 350 ELSE k END::INT AS pane_size, CASE WHEN w <= 0 THEN 1000 ELSE w END::INT AS width FROM (SELECT event_id, (props->>'k')::INT AS k, coalesce((props->>'width')::INT, 1000) AS w FROM events)
+""")
+def settings_json(spark, sf_dir):
+    from ..sources.settings import parse
+
+    e = table(spark, sf_dir, "events").select("event_id", F.regexp_replace("props", '"k"', '"PaneSize"').alias("json"))
+    return parse(e, "json").select("event_id", "pane_size", "width")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity - 5 AS width, l_tax * 100 - 2 AS height, l_returnflag = 'R' AS is_link, CASE WHEN l_linestatus = 'O' THEN l_linestatus END AS action, CASE WHEN l_discount > 0.05 THEN 'note' ELSE '' END AS content FROM lineitem)
+SELECT l_orderkey, l_linenumber, is_link AND action IS NOT NULL AS is_interactive FROM a WHERE width > 0 AND height > 0 AND (is_link OR action IS NOT NULL OR content <> '')
+""")
+def annotations_kept(spark, sf_dir):
+    a = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") - 5).alias("width"), (F.col("l_tax") * 100 - 2).alias("height"), (F.col("l_returnflag") == "R").alias("is_link"), F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).alias("action"), F.when(F.col("l_discount") > 0.05, "note").otherwise("").alias("content"))
+    return lookup.keep_annotations(a).select("l_orderkey", "l_linenumber", "is_interactive")
