@@ -1,32 +1,48 @@
 """Overlapping duplicates of letters: the same character drawn again within a third of its mean character width.
 
-A sequential rule, so it is a fold: letters of one page and value are gathered in order and folded within the JVM. The group is one
-character of one page, bounded by what a page holds.
+A sequential rule over the letters of a page, so a page is one grouped Arrow call that filters its rows in place: one shuffle, no join
+back. (A fold in SQL functions copies the slots at every letter and was slower by two orders of magnitude.)
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+
+def kept(values: list[str], x: np.ndarray, y: np.ndarray, width: np.ndarray, keep_last: bool = True) -> np.ndarray:
+    """Which letters stay. Each letter looks through the standing representatives of its value in slot order for the first whose
+    corner is within its own tolerance, border included, on both axes. keep_last: it takes over that slot; else it is dropped."""
+    out = np.ones(len(values), bool)
+    slots: dict[str, list] = {}
+    for i, v in enumerate(values):
+        tol = width[i] / max(len(v), 1) / 3
+        held = slots.setdefault(v, [np.empty(8), np.empty(8), [], 0])
+        n = held[3]
+        near = np.flatnonzero((np.abs(held[0][:n] - x[i]) <= tol) & (np.abs(held[1][:n] - y[i]) <= tol))
+        if len(near):
+            if not keep_last:
+                out[i] = False
+                continue
+            k = int(near[0])
+            out[held[2][k]] = False
+            held[2][k] = i
+        else:
+            if n == len(held[0]):
+                held[0], held[1] = np.resize(held[0], 2 * n), np.resize(held[1], 2 * n)
+            k = n
+            held[2].append(i)
+            held[3] += 1
+        held[0][k], held[1][k] = x[i], y[i]
+    return out
 
 
 def dedup(letters: DataFrame, keep_last: bool = True) -> DataFrame:
-    """letters (doc_id, page_no, seq, value, x, y, width) without duplicates.
-
-    Each letter looks through the standing representatives in slot order for the first whose corner is within its own
-    tolerance, border included, on both axes. keep_last: it takes over that slot; else it is dropped."""
-    one = F.struct("seq", "x", "y", (F.col("width") / F.length("value") / 3).alias("tol"))
-    kept = F.array().cast("array<struct<seq:bigint,x:double,y:double,tol:double>>")
-
-    def step(slots, l):  # noqa: E741
-        near = lambda s: (F.abs(s["x"] - l["x"]) <= l["tol"]) & (F.abs(s["y"] - l["y"]) <= l["tol"])
-        at = F.array_position(F.transform(slots, near), True)
-        if not keep_last:
-            return F.when(at > 0, slots).otherwise(F.concat(slots, F.array(l)))
-        taken = F.transform(slots, lambda s, i: F.when(i == at - 1, l).otherwise(s))
-        return F.when(at > 0, taken).otherwise(F.concat(slots, F.array(l)))
-
-    typed = F.transform(F.array_sort(F.collect_list(one)), lambda l: F.struct(l["seq"].cast("bigint").alias("seq"), l["x"].cast("double").alias("x"), l["y"].cast("double").alias("y"), l["tol"].cast("double").alias("tol")))  # noqa: E741
-    groups = letters.groupBy("doc_id", "page_no", "value").agg(typed.alias("ls"))
-    kept_seq = groups.select("doc_id", "page_no", F.explode(F.transform(F.aggregate("ls", kept, step), lambda s: s["seq"])).alias("seq"))
-    return letters.join(kept_seq, ["doc_id", "page_no", "seq"], "left_semi")
+    """letters (doc_id, page_no, seq, value, x, y, width, ...) without duplicates."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        return t.filter(pa.array(kept(t["value"].to_pylist(), *(t[k].to_numpy() for k in ("x", "y", "width")), keep_last)))
+
+    return letters.groupBy("doc_id", "page_no").applyInArrow(run, letters.schema)

@@ -408,3 +408,58 @@ SELECT l_orderkey, l_linenumber, is_link AND action IS NOT NULL AS is_interactiv
 def annotations_kept(spark, sf_dir):
     a = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") - 5).alias("width"), (F.col("l_tax") * 100 - 2).alias("height"), (F.col("l_returnflag") == "R").alias("is_link"), F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).alias("action"), F.when(F.col("l_discount") > 0.05, "note").otherwise("").alias("content"))
     return lookup.keep_annotations(a).select("l_orderkey", "l_linenumber", "is_interactive")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT user_id, n, event_id, event_type AS msg, ts AS seen, true AS shown FROM o WHERE n = 1 UNION ALL
+  SELECT o.user_id, o.n, o.event_id, CASE WHEN o.event_type = msg AND epoch(o.ts) - epoch(seen) < 10800 THEN msg ELSE o.event_type END, CASE WHEN o.event_type = msg AND epoch(o.ts) - epoch(seen) < 10800 THEN seen ELSE o.ts END,
+  NOT (o.event_type = msg AND epoch(o.ts) - epoch(seen) < 10800) FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
+SELECT user_id, event_id FROM w WHERE shown
+""")
+def notification_suppress(spark, sf_dir):
+    """Events of a user without those that repeat the one shown last within three hours."""
+    from ..streaming.live import suppressed_batch
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("event_type").alias("message"))
+    return suppressed_batch(e, 10800).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"))
+
+
+@query(ORACLE["search_by_page"])
+def search_stream(spark, sf_dir):
+    """The same as search_by_page, with the documents arriving as a stream of files."""
+    import tempfile
+
+    from ..streaming.live import documents, live_search, start
+
+    found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagelattice-stream-")
+    import uuid
+
+    base = f"{found}/stream-{uuid.uuid4().hex}"
+    docs = documents(spark, f"{sf_dir}/documents.parquet*", "doc_id bigint, text string")
+    start(live_search(docs, PHRASE), f"{base}/hits", f"{base}/checkpoint").awaitTermination()
+    return search.by_page(spark.read.schema("doc_id bigint, page_no int, word_idx int, word_count int, char_pos int, sample string").parquet(f"{base}/hits"))
+
+
+def grid_letters(paged: DataFrame) -> DataFrame:
+    """Letters of the grid with their boxes, as `layout` takes them."""
+    x, y = (F.col("c") * L.CELL).cast("double"), (F.col("r") * L.PITCH).cast("double")
+    return L.letters(paged).select("doc_id", "page_no", "seq", "value", x.alias("left"), (y - L.HEIGHT).alias("top"), (x + L.CELL).alias("right"), y.alias("bottom"), F.lit(L.POINT).alias("point_size"), F.lit("Horizontal").alias("orientation"))
+
+
+@query(_with(_LETTERS, _WORDS) + "SELECT doc_id, page_no::INT AS page_no, count(*) AS n_words, sum(n_letters)::BIGINT AS n_letters FROM words GROUP BY 1, 2")
+def layout_words(spark, sf_dir):
+    """Letters of whole documents through the general layout (neighbours, lines, blocks), summed by page."""
+    from ..operators.layout import layout
+
+    return layout(grid_letters(_pages(spark, sf_dir))).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_words"), F.sum("n_letters").cast("bigint").alias("n_letters"))
+
+
+@query(_with(_LETTERS, _WORDS) + ", g AS (SELECT doc_id, page_no, ch, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY r, c) AS n FROM letters) SELECT doc_id, page_no::INT AS page_no, count(*) AS n_letters FROM g GROUP BY 1, 2")
+def dedup_overlap(spark, sf_dir):
+    """Each letter drawn twice, the second time a little to the right: one of each pair stays."""
+    from ..operators.overlap import dedup
+
+    one = L.letters(_pages(spark, sf_dir)).select("doc_id", "page_no", (F.col("seq") * 2).alias("seq"), "value", (F.col("c") * L.CELL).cast("double").alias("x"), (F.col("r") * L.PITCH).cast("double").alias("y"), F.lit(float(L.CELL)).alias("width"))
+    two = one.withColumns({"seq": F.col("seq") + 1, "x": F.col("x") + 1.5})
+    return dedup(one.unionByName(two)).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_letters"))

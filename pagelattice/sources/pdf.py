@@ -1,0 +1,474 @@
+"""PDF files as tables: letters, pages, annotations, outline, properties, attachments.
+
+Files are read by Spark (binaryFile), one file a row, and parsed in Arrow batches; a parser takes only what a table needs (page content
+is not touched for the outline). Objects are found by scanning, so broken cross-reference tables do no harm. Files that can't be
+read, among them encrypted ones without the right password, give no rows but one in `errors`.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.geometry import PPI_SCALE
+
+_TOKEN = re.compile(
+    rb"%[^\r\n]*|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))|/(?P<name>[^\x00\t\n\f\r ()<>\[\]{}/%]*)|(?P<open><<|\[)|(?P<close>>>|\])|<(?P<hex>[0-9A-Fa-f\s]*)>|(?P<str>\()|(?P<op>[^\x00\t\n\f\r ()<>\[\]{}/%]+)"
+)
+#: Escapes in strings, and the operators that text needs; all others are dropped with their operands.
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"(": b"(", b")": b")", b"\\": b"\\"}
+TEXT_OPS = frozenset("cm q Q gs BT ET Tc Tf Tz TL Tr Ts Tw Do T* ' Td TD \" Tm Tj TJ BX EX".split())
+
+
+class PdfError(ValueError):
+    """The file can't be read."""
+
+
+class Name(str):
+    pass
+
+
+class Ref(tuple):
+    pass
+
+
+class Op(str):
+    pass
+
+
+def _string(data: bytes, at: int) -> tuple[bytes, int]:
+    out, depth = bytearray(), 1
+    while at < len(data):
+        c = data[at : at + 1]
+        if c == b"\\":
+            nxt = data[at + 1 : at + 2]
+            octal = re.match(rb"[0-7]{1,3}", data[at + 1 : at + 4])
+            if octal:
+                out.append(int(octal[0], 8) & 255)
+                at += 1 + len(octal[0])
+            elif nxt in (b"\n", b"\r"):
+                at += 3 if data[at + 1 : at + 3] == b"\r\n" else 2
+            else:
+                out += _ESCAPES.get(nxt, nxt)
+                at += 2
+            continue
+        depth += (c == b"(") - (c == b")")
+        at += 1
+        if not depth:
+            break
+        out += c
+    return bytes(out), at
+
+
+def parse(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[object, int]]:
+    """Values and operators of a byte string, with the place after each."""
+    stack: list[tuple[bytes, list]] = []
+    end = len(data) if end is None else end
+    while at < end:
+        m = _TOKEN.search(data, at, end)
+        if not m:
+            return
+        at, kind = m.end(), m.lastgroup
+        if kind is None:
+            continue
+        if kind == "open":
+            stack.append((m[0], []))
+            continue
+        if kind == "num":
+            v: object = float(m["num"]) if b"." in m["num"] else int(m["num"])
+        elif kind == "name":
+            v = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), m["name"]).decode("latin-1"))
+        elif kind == "hex":
+            h = re.sub(rb"\s", b"", m["hex"])
+            v = bytes.fromhex((h + b"0" * (len(h) % 2)).decode())
+        elif kind == "str":
+            v, at = _string(data, at)
+        elif kind == "close":
+            if not stack:
+                continue
+            what, items = stack.pop()
+            v = items if what == b"[" else {k: x for k, x in zip(items[::2], items[1::2], strict=False) if isinstance(k, Name)}
+        else:
+            word = m["op"].decode("latin-1")
+            v = {"true": True, "false": False, "null": None}.get(word, Op(word))
+            if word == "inf":
+                v = 0
+            if word == "R" and stack and len(stack[-1][1]) > 1:
+                g, n = stack[-1][1].pop(), stack[-1][1].pop()
+                v = Ref((n, g))
+        if stack:
+            stack[-1][1].append(v)
+        else:
+            yield v, at
+
+
+class Pdf:
+    def __init__(self, data: bytes, password: str = ""):
+        if b"%PDF-" not in data[:1024]:
+            raise PdfError("not a PDF file")
+        self.data, self.password = data, password
+        self.at = {int(m[1]): m.end() for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", data)}
+        self.cache: dict[int, object] = {}
+        self.trailer: dict = {}
+        for m in re.finditer(rb"trailer", data):
+            t = next((v for v, _ in parse(data, m.end())), None)
+            if isinstance(t, dict):
+                self.trailer |= t
+        for n in list(self.at):
+            head = data[self.at[n] : self.at[n] + 300]
+            if b"/ObjStm" in head or b"/XRef" in head:
+                o = self.get(Ref((n, 0)))
+                d = o[0] if isinstance(o, tuple) else {}
+                if d.get("Type") == "XRef":
+                    self.trailer = d | self.trailer
+                elif d.get("Type") == "ObjStm":
+                    self._unpack(o)
+        if "Encrypt" in self.trailer:
+            raise PdfError("encrypted: a password is needed" if not password else "encrypted: the password is wrong or the method unknown")
+
+    def _unpack(self, o: tuple) -> None:
+        body, first = self.stream(o), int(self.get(o[0]["First"]))
+        nums = [v for v, _ in parse(body, 0, first)]
+        for n, off in zip(nums[::2], nums[1::2], strict=False):
+            if n not in self.at:
+                self.cache[n] = next((v for v, _ in parse(body, first + off)), None)
+
+    def get(self, v):
+        """What a reference stands for; streams are (dict, bytes)."""
+        seen = 0
+        while isinstance(v, Ref) and seen < 20:
+            seen += 1
+            n = v[0]
+            if n not in self.cache:
+                self.cache[n] = None
+                if n in self.at:
+                    self.cache[n] = self._object(self.at[n])
+            v = self.cache[n]
+        return v
+
+    def _object(self, at: int):
+        items: list = []
+        for v, end in parse(self.data, at):
+            if isinstance(v, Op):
+                if v == "stream" and items and isinstance(items[-1], dict):
+                    start = end + (2 if self.data[end : end + 2] == b"\r\n" else 1)
+                    n = self.get(items[-1].get("Length"))
+                    stop = start + n if isinstance(n, int) and self.data[start + n : start + n + 20].lstrip().startswith(b"endstream") else self.data.find(b"endstream", start)
+                    return items[-1], self.data[start:stop]
+                if v == "R" and len(items) > 1:
+                    g, n = items.pop(), items.pop()
+                    items.append(Ref((n, g)))
+                    continue
+                break
+            items.append(v)
+            if isinstance(v, (dict, list, bytes, Name)) and not self.data[end : end + 20].lstrip().startswith(b"stream"):
+                break
+        return items[-1] if items else None
+
+    def stream(self, o) -> bytes:
+        d, body = o
+        filters = self.get(d.get("Filter")) or []
+        for f in filters if isinstance(filters, list) else [filters]:
+            if f in ("FlateDecode", "Fl"):
+                body = zlib.decompressobj().decompress(body)
+            elif f in ("ASCIIHexDecode", "AHx"):
+                h = re.sub(rb"[^0-9A-Fa-f]", b"", body.split(b">")[0])
+                body = bytes.fromhex((h + b"0" * (len(h) % 2)).decode())
+            else:
+                raise PdfError(f"filter {f}")
+        return body
+
+    def pages(self) -> list[dict]:
+        out, root = [], self.get(self.trailer.get("Root")) or next((o for o in map(self.get, [Ref((n, 0)) for n in self.at]) if isinstance(o, dict) and o.get("Type") == "Catalog"), {})
+        self.root = root
+
+        def walk(node, held, depth):
+            d = self.get(node)
+            if not isinstance(d, dict) or depth > 60:
+                return
+            held = held | {k: d[k] for k in ("MediaBox", "CropBox", "Rotate", "Resources") if k in d}
+            if "Kids" in d:
+                for k in self.get(d["Kids"]) or []:
+                    walk(k, held, depth + 1)
+            else:
+                out.append(held | d | {"_ref": node})
+
+        walk(root.get("Pages"), {}, 0)
+        return out
+
+
+def text_of(raw: object) -> str | None:
+    """A text string: UTF-16 with its mark, else Latin-1."""
+    if not isinstance(raw, bytes):
+        return None
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+
+
+def page_box(pdf: Pdf, page: dict) -> tuple[float, float, float, float]:
+    """What the media box and the crop box share."""
+
+    def box(k):
+        b = [float(pdf.get(x)) for x in pdf.get(page[k])] if k in page else None
+        return b and (min(b[0], b[2]), min(b[1], b[3]), max(b[0], b[2]), max(b[1], b[3]))
+
+    m = box("MediaBox") or (0.0, 0.0, 612.0, 792.0)
+    c = box("CropBox") or m
+    return max(m[0], c[0]), max(m[1], c[1]), min(m[2], c[2]), min(m[3], c[3])
+
+
+def _mul(a, b):
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+
+
+class Font:
+    """Widths and characters of codes."""
+
+    def __init__(self, pdf: Pdf, d: dict):
+        self.wide = d.get("Subtype") == "Type0"
+        inner = pdf.get(pdf.get(d["DescendantFonts"])[0]) if self.wide else d
+        desc = pdf.get(inner.get("FontDescriptor")) or {}
+        self.ascent = float(pdf.get(desc.get("Ascent")) or 750) / 1000
+        self.default = float(pdf.get(inner.get("DW", 1000)) if self.wide else pdf.get(desc.get("MissingWidth", 500)))
+        self.widths: dict[int, float] = {}
+        if self.wide:
+            w = [pdf.get(x) for x in pdf.get(inner.get("W")) or []]
+            i = 0
+            while i + 1 < len(w):
+                if isinstance(w[i + 1], list):
+                    self.widths.update({w[i] + k: float(pdf.get(x)) for k, x in enumerate(w[i + 1])})
+                    i += 2
+                else:
+                    self.widths.update({c: float(w[i + 2]) for c in range(w[i], w[i + 1] + 1)})
+                    i += 3
+        else:
+            first = int(pdf.get(d.get("FirstChar")) or 0)
+            self.widths = {first + k: float(pdf.get(x)) for k, x in enumerate(pdf.get(d.get("Widths")) or [])}
+        self.chars: dict[int, str] = {}
+        if isinstance(pdf.get(d.get("ToUnicode")), tuple):
+            self._cmap(pdf.stream(pdf.get(d["ToUnicode"])))
+
+    def _cmap(self, data: bytes) -> None:
+        held: list = []
+        uni = lambda b: b.decode("utf-16-be", "replace")
+        for v, _ in parse(data):
+            if not isinstance(v, Op):
+                held.append(v)
+                continue
+            if v == "endbfchar":
+                for a, b in zip(held[::2], held[1::2], strict=False):
+                    self.chars[int.from_bytes(a)] = uni(b)
+            elif v == "endbfrange":
+                for a, b, c in zip(held[::3], held[1::3], held[2::3], strict=False):
+                    for k in range(int.from_bytes(b) - int.from_bytes(a) + 1):
+                        to = c[k] if isinstance(c, list) else (int.from_bytes(c) + k).to_bytes(len(c))
+                        self.chars[int.from_bytes(a) + k] = uni(to)
+            held = []
+
+    def glyphs(self, s: bytes) -> Iterator[tuple[int, str, float]]:
+        step = 2 if self.wide else 1
+        for i in range(0, len(s) - step + 1, step):
+            c = int.from_bytes(s[i : i + step])
+            yield c, self.chars.get(c, chr(c) if not self.wide else "�"), self.widths.get(c, self.default) / 1000
+
+
+def letters(pdf: Pdf, page: dict) -> list[tuple]:
+    """seq, value, text_sequence, point_size and the corners bl, br, tl, tr of a page's letters, y downward, scaled."""
+    left, _, _, top = page_box(pdf, page)
+    out: list[list] = []
+    state = {"ctm": (1, 0, 0, 1, 0, 0), "font": None, "size": 0.0, "tc": 0.0, "tw": 0.0, "tz": 1.0, "tl": 0.0, "ts": 0.0}
+    saved: list[dict] = []
+    seq = 0
+
+    def show(s: bytes, tm, now: int):
+        font = state["font"]
+        if font is None or not isinstance(s, bytes):
+            return tm
+        for code, value, w in font.glyphs(s):
+            m = _mul(_mul((state["size"] * state["tz"], 0, 0, state["size"], 0, state["ts"]), tm), state["ctm"])
+            at = lambda x, y: ((x * m[0] + y * m[2] + m[4] - left) * PPI_SCALE, (top - (x * m[1] + y * m[3] + m[5])) * PPI_SCALE)  # noqa: E731, B023
+            mark = all(unicodedata.combining(c) for c in value) and value
+            if mark and out and out[-1][1] == now:
+                out[-1][0] = unicodedata.normalize("NFC", out[-1][0] + value)
+            else:
+                size = (m[2] ** 2 + m[3] ** 2) ** 0.5 * PPI_SCALE
+                out.append([value, now, size, *at(0, 0), *at(w, 0), *at(0, font.ascent), *at(w, font.ascent)])
+            step = (w * state["size"] + state["tc"] + (state["tw"] if code == 32 and not font.wide else 0)) * state["tz"]
+            tm = _mul((1, 0, 0, 1, step, 0), tm)
+        return tm
+
+    def run(body: bytes, resources: dict, depth: int):
+        nonlocal state, seq
+        tm = line = (1, 0, 0, 1, 0, 0)
+        args: list = []
+        for v, _ in parse(body):
+            if not isinstance(v, Op):
+                args.append(v)
+                continue
+            op, a, args = v, args, []
+            if op not in TEXT_OPS:
+                continue
+            try:
+                if op == "q":
+                    saved.append(dict(state))
+                elif op == "Q":
+                    state = saved.pop() if saved else state
+                elif op == "cm":
+                    state["ctm"] = _mul(tuple(a[-6:]), state["ctm"])
+                elif op == "gs":
+                    g = pdf.get((pdf.get(resources.get("ExtGState")) or {}).get(a[0])) or {}
+                    if "Font" in g:
+                        f, size = pdf.get(g["Font"])
+                        state["font"], state["size"] = Font(pdf, pdf.get(f)), float(size)
+                elif op == "BT":
+                    tm = line = (1, 0, 0, 1, 0, 0)
+                elif op == "Tf":
+                    d = pdf.get((pdf.get(resources.get("Font")) or {}).get(a[0]))
+                    state["font"], state["size"] = (Font(pdf, d) if isinstance(d, dict) else None), float(a[1])
+                elif op in ("Tc", "Tw", "TL", "Ts"):
+                    state[op.lower()] = float(a[0])
+                elif op == "Tz":
+                    state["tz"] = a[0] / 100
+                elif op in ("Td", "TD"):
+                    state["tl"] = -a[1] if op == "TD" else state["tl"]
+                    tm = line = _mul((1, 0, 0, 1, a[0], a[1]), line)
+                elif op == "Tm":
+                    tm = line = tuple(a[-6:])
+                elif op == "T*":
+                    tm = line = _mul((1, 0, 0, 1, 0, -state["tl"]), line)
+                elif op in ("Tj", "TJ", "'", '"'):
+                    if op in "'\"":
+                        if op == '"':
+                            state["tw"], state["tc"] = a[0], a[1]
+                        tm = line = _mul((1, 0, 0, 1, 0, -state["tl"]), line)
+                    seq += 1
+                    for x in a[-1] if isinstance(a[-1], list) else [a[-1]]:
+                        tm = show(x, tm, seq) if isinstance(x, bytes) else _mul((1, 0, 0, 1, -x / 1000 * state["size"] * state["tz"], 0), tm)
+                elif op == "Do" and depth < 12:
+                    x = pdf.get((pdf.get(resources.get("XObject")) or {}).get(a[0]))
+                    if isinstance(x, tuple) and x[0].get("Subtype") == "Form":
+                        saved.append(dict(state))
+                        state["ctm"] = _mul(tuple(pdf.get(x[0].get("Matrix")) or (1, 0, 0, 1, 0, 0)), state["ctm"])
+                        run(pdf.stream(x), pdf.get(x[0].get("Resources")) or resources, depth + 1)
+                        state = saved.pop()
+            except (IndexError, TypeError, KeyError):  # an operator without its operands is passed over
+                continue
+
+    content = pdf.get(page.get("Contents"))
+    parts = [pdf.get(x) for x in content] if isinstance(content, list) else [content]
+    run(b"\n".join(pdf.stream(p) for p in parts if isinstance(p, tuple)), pdf.get(page.get("Resources")) or {}, 0)
+    return [(i, x[0], x[1], *x[2:]) for i, x in enumerate(out)]
+
+
+def annotations(pdf: Pdf, page: dict, numbers: dict) -> list[tuple]:
+    """ord, box, is_link, uri, page, content, date of a page's annotations."""
+    left, _, _, top = page_box(pdf, page)
+    out = []
+    for i, ref in enumerate(pdf.get(page.get("Annots")) or []):
+        a = pdf.get(ref)
+        if not isinstance(a, dict) or "Rect" not in a:
+            continue
+        r = [float(pdf.get(x)) for x in pdf.get(a["Rect"])]
+        act = pdf.get(a.get("A")) or {}
+        dest = pdf.get(a.get("Dest") or act.get("D"))
+        to = numbers.get(dest[0]) if isinstance(dest, list) and dest else None
+        box = ((min(r[0], r[2]) - left) * PPI_SCALE, (top - max(r[1], r[3])) * PPI_SCALE, abs(r[2] - r[0]) * PPI_SCALE, abs(r[3] - r[1]) * PPI_SCALE)
+        out.append((i, *box, a.get("Subtype") == "Link", text_of(pdf.get(act.get("URI"))), to, text_of(pdf.get(a.get("Contents"))), text_of(pdf.get(a.get("M")))))
+    return out
+
+
+def outline(pdf: Pdf, pages: list[dict], numbers: dict) -> list[tuple]:
+    """node_id, parent_id, ord, title, page_no, offset_y."""
+    out: list[tuple] = []
+
+    def walk(first, parent, depth):
+        n, node, seen = 0, pdf.get(first), 0
+        while isinstance(node, dict) and depth < 60 and seen < 100_000:
+            dest = pdf.get(node.get("Dest") or (pdf.get(node.get("A")) or {}).get("D"))
+            page = numbers.get(dest[0]) if isinstance(dest, list) and dest else None
+            y = dest[3] if page and len(dest) > 3 and dest[1] == "XYZ" and isinstance(dest[3], (int, float)) else None
+            me = len(out)
+            out.append((me, parent, n, text_of(pdf.get(node.get("Title"))) or "", page, y * PPI_SCALE if y is not None else None))
+            walk(node.get("First"), me, depth + 1)
+            node, n, seen = pdf.get(node.get("Next")), n + 1, seen + 1
+
+    walk((pdf.get(pdf.root.get("Outlines")) or {}).get("First"), None, 0)
+    return out
+
+
+def attachments(pdf: Pdf) -> list[tuple]:
+    """name, data."""
+    out: list[tuple] = []
+
+    def walk(node, depth):
+        d = pdf.get(node) or {}
+        names = pdf.get(d.get("Names")) or []
+        for _, spec in zip(names[::2], names[1::2], strict=False):
+            s = pdf.get(spec)
+            f = pdf.get((pdf.get(s.get("EF")) or {}).get("F"))
+            if isinstance(f, tuple):
+                out.append((text_of(pdf.get(s.get("UF") or s.get("F"))), pdf.stream(f)))
+        for k in (pdf.get(d.get("Kids")) or []) if depth < 30 else []:
+            walk(k, depth + 1)
+
+    walk((pdf.get(pdf.root.get("Names")) or {}).get("EmbeddedFiles"), 0)
+    return out
+
+
+_CORNERS = [f"{c}_{a}" for c in ("bl", "br", "tl", "tr") for a in "xy"]
+TABLES = {
+    "letters": [("page_no", pa.int32()), ("seq", pa.int32()), ("value", pa.string()), ("text_sequence", pa.int32()), ("point_size", pa.float64()), *((c, pa.float64()) for c in _CORNERS)],
+    "pages": [("page_no", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("rotation", pa.int32())],
+    "annotations": [("page_no", pa.int32()), ("ord", pa.int32()), *((c, pa.float64()) for c in ("left", "top", "width", "height")), ("is_link", pa.bool_()), ("uri", pa.string()), ("to_page", pa.int32()), ("content", pa.string()), ("date", pa.string())],
+    "outline": [("node_id", pa.int32()), ("parent_id", pa.int32()), ("ord", pa.int32()), ("title", pa.string()), ("page_no", pa.int32()), ("offset_y", pa.float64())],
+    "attachments": [("name", pa.string()), ("data", pa.binary())],
+    "properties": [("page_count", pa.int32()), ("pdf_version", pa.string()), ("others", pa.map_(pa.string(), pa.string()))],
+    "errors": [("message", pa.string())],
+}
+_SQL = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean", pa.binary(): "binary", pa.map_(pa.string(), pa.string()): "map<string,string>"}
+
+
+def rows(data: bytes, table: str, password: str = "") -> list[tuple]:
+    """The rows of one table of one file."""
+    try:
+        pdf = Pdf(data, password)
+        pages = pdf.pages()
+        numbers = {p["_ref"]: i for i, p in enumerate(pages, 1) if isinstance(p["_ref"], Ref)}
+        if table == "letters":
+            return [(i, *x) for i, p in enumerate(pages, 1) for x in letters(pdf, p)]
+        if table == "annotations":
+            return [(i, *x) for i, p in enumerate(pages, 1) for x in annotations(pdf, p, numbers)]
+        if table == "pages":
+            boxes = [page_box(pdf, p) for p in pages]
+            return [(i, (b[2] - b[0]) * PPI_SCALE, (b[3] - b[1]) * PPI_SCALE, int(pdf.get(p.get("Rotate")) or 0) % 360) for i, (p, b) in enumerate(zip(pages, boxes, strict=True), 1)]
+        if table == "outline":
+            return outline(pdf, pages, numbers)
+        if table == "attachments":
+            return attachments(pdf)
+        if table == "properties":
+            info = pdf.get(pdf.trailer.get("Info")) or {}
+            version = re.search(rb"%PDF-(\d\.\d)", data)
+            return [(len(pages), version[1].decode() if version else None, {str(k): t for k, v in info.items() if (t := text_of(pdf.get(v))) is not None})]
+        return []
+    except (PdfError, zlib.error, ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError) as e:
+        return [(f"{type(e).__name__}: {e}",)] if table == "errors" else []
+
+
+def read(spark: SparkSession, path: str, table: str, password: str = "") -> DataFrame:
+    """path and the columns of a table, of all PDF files under a path."""
+    fields = [("path", pa.string()), *TABLES[table]]
+    schema = pa.schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, d in zip(batch.column("path"), batch.column("content"), strict=True):
+                found = [(p.as_py(), *r) for r in rows(d.as_py(), table, password)]
+                cols = list(zip(*found, strict=True)) or [()] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], schema=schema)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(run, ", ".join(f"{n} {_SQL[t]}" for n, t in fields))
