@@ -7,9 +7,10 @@ puts the prefix that any link must meet into inverted lists.
 Index level: a list is sorted by set size, and each entry sees only the block of entries whose size and position still allow a
 link. Answer level: a class that is linked to a class takes over its component, so only entries of different components are
 compared; and where two classes have known distances to one leader, the triangle inequality of the symmetric difference
-decides most of the rest (|xy| >= ||xl|-|yl|| refutes, |xy| <= |xl|+|yl| confirms). While the entry pairs of different
-components outnumber the entries, rounds of star and random partners (linear in the entries) merge components; then all
-remaining pairs are judged, so no link is lost. Pairs are refuted by parity bitmaps or counted exactly over whole sets.
+decides most of the rest (|xy| >= ||xl|-|yl|| refutes, |xy| <= |xl|+|yl| confirms). A round of stars, and rounds of random partners
+while the entry pairs of different components far outnumber the entries, merge components (both linear in the entries); then
+all remaining pairs are judged, so no link is lost. Pairs are refuted by parity bitmaps within the lists or counted exactly over
+whole sets.
 
 Classes are told apart by 64-bit hashes of their sets. Defined results: null, empty and blank texts have the empty set, 0
 shingles, and are linked with nothing; texts with fewer words than a shingle are one shingle; rows with one doc_id are joined
@@ -52,8 +53,9 @@ class Rule:
 
 
 SKETCH_BITS, SKETCH_PARTS = 20, 64
-#: Random partners of an entry in a round, and rounds at most before all remaining pairs are judged.
-PARTNERS, ROUNDS = 4, 4
+#: Random partners of an entry in a round, rounds at most, and pairs for each entry at which no further round is worth it: then all
+#: remaining pairs are judged.
+PARTNERS, ROUNDS, OPEN_PAIRS = 4, 4, 20
 RANGE_BYTES = 4 << 20
 
 _U = np.uint64
@@ -118,14 +120,6 @@ def bitmap(x: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def bitmap_distance(a: bytes, b: bytes) -> int:
-    """At most the size of the symmetric difference."""
-    if len(a) > len(b):
-        a, b = b, a
-    folded = np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, len(a)), axis=0)
-    return int(np.bitwise_count(folded ^ np.frombuffer(a, np.uint8)).sum())
-
-
 _OUT = pa.schema([("kind", pa.int8()), ("part", pa.int64()), ("data", pa.binary()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("bits", pa.binary())])
 _ENTRY = pa.schema([("part", pa.int64()), ("o", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
 _PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64())])
@@ -191,23 +185,56 @@ def _allowed(rule, n1, p1, n2, p2, c1, c2):
     return (c1 != c2) & (DEN * small >= rule.num * large) & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= rule.overlap(n1 + n2))
 
 
+class Bitmaps:
+    """The bitmaps of a table's entries by length, for distances of many pairs at once."""
+
+    def __init__(self, bits: list[bytes]):
+        self.size = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.row = np.zeros(len(bits), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for n in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == n)
+            self.row[own] = np.arange(len(own))
+            self.of[n] = np.frombuffer(b"".join([bits[k] for k in own.tolist()]), np.uint8).reshape(-1, n)
+
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """At most the symmetric difference of each pair of entries."""
+        out = np.zeros(len(i), np.int64)
+        swap = self.size[i] > self.size[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        kind = self.size[i] << 32 | self.size[j]
+        for k in np.unique(kind).tolist():
+            small, large = k >> 32, k & 0xFFFFFFFF
+            at = np.flatnonzero(kind == k)
+            for part in np.array_split(at, max(1, len(at) * large // (16 << 20))):
+                b = self.of[large][self.row[j[part]]].reshape(len(part), -1, small)
+                x = self.of[small][self.row[i[part]]] ^ np.bitwise_xor.reduce(b, axis=1)
+                out[part] = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _pairs(rule: Rule, mode: str, salt: int):
-    """Pairs of classes from the lists of one range: with the list's leader, with random partners, or all that are allowed."""
+    """Pairs of classes from the lists of one range, that neither sizes, positions nor bitmaps refute: with the list's leader, with random
+    partners, or all."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         o, d, n, pos, c = (table[k].to_numpy() for k in ("o", "d", "n", "pos", "c"))
         order = np.lexsort((d, n, o))
         o, d, n, pos, c = o[order], d[order], n[order], pos[order], c[order]
+        maps = Bitmaps([b.as_py() for b in table["bits"].take(pa.array(order))])
         first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
         size = np.diff(np.append(first, len(o)))
         base, length = np.repeat(first, size), np.repeat(size, size)
         here = np.arange(len(o))
-        left, right = [], []
+        found: list[np.ndarray] = []
 
         def take(i, j):
             ok = _allowed(rule, n[i], pos[i], n[j], pos[j], c[i], c[j])
-            left.append(d[i[ok]])
-            right.append(d[j[ok]])
+            i, j = i[ok], j[ok]
+            total = n[i] + n[j]
+            near = maps.distance(i, j) <= total - 2 * rule.overlap(total)
+            x, y = d[i[near]], d[j[near]]
+            found.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
 
         if mode == "star":
             mix = hs.mixed(d.astype(_U))
@@ -225,33 +252,18 @@ def _pairs(rule: Rule, mode: str, salt: int):
                 if len(i):
                     take(i, i + step)
                 step += 1
-        if not left:
-            return _PAIR.empty_table()
-        x, y = np.concatenate(left), np.concatenate(right)
-        both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=_PAIR)
 
     return run
 
 
 def _judge(rule: Rule):
-    """0: no link, 1: link, 2: to be counted; of pairs with sizes, bitmaps and distances to a leader."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            verdict = []
-            for nx, ny, bx, by, lx, ly, dx, dy in zip(*(batch.column(k).to_pylist() for k in ("nx", "ny", "bx", "by", "lx", "ly", "dx", "dy")), strict=True):
-                most = nx + ny - 2 * rule.overlap(nx + ny)
-                led = lx is not None and lx == ly
-                if led and dx + dy <= most:
-                    verdict.append(1)
-                elif (led and abs(dx - dy) > most) or bitmap_distance(bx, by) > most:
-                    verdict.append(0)
-                else:
-                    verdict.append(2)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(verdict, pa.int32())], ["x", "y", "verdict"])
-
-    return run
+    """0: no link, 1: link, 2: to be counted; of pairs with sizes and distances to a common leader."""
+    total = F.col("nx") + F.col("ny")
+    most = total - 2 * F.ceil(F.lit(rule.num) * total / (DEN + rule.num))
+    led = F.col("lx").isNotNull() & (F.col("lx") == F.col("ly"))
+    return F.when(led & (F.col("dx") + F.col("dy") <= most), 1).when(led & (F.abs(F.col("dx") - F.col("dy")) > most), 0).otherwise(2)
 
 
 def _count(rule: Rule):
@@ -300,7 +312,7 @@ class SetJoin:
         for x in self.links[1:]:
             edges = edges.unionByName(x)
         self.labels = common.staged(components(edges), "set-components")
-        return self.entries.join(self.labels.select(F.col("node").alias("d"), "label"), "d", "left").withColumn("c", F.coalesce("label", "d")).drop("label")
+        return common.staged(self.entries.join(self.labels.select(F.col("node").alias("d"), "label"), "d", "left").withColumn("c", F.coalesce("label", "d")).drop("label"), "set-entries")
 
     def _open(self, entries: DataFrame) -> tuple[int, int]:
         """Entries of lists with several components, and pairs of entries of different components in them."""
@@ -309,13 +321,19 @@ class SetJoin:
         return int(r.entries or 0), int(r.pairs or 0)
 
     def _round(self, entries: DataFrame, mode: str, salt: int) -> None:
-        pairs = entries.groupBy("part").applyInArrow(_pairs(self.rule, mode, salt), "x bigint, y bigint").distinct()
-        for t in self.tested:
-            pairs = pairs.join(t.select("x", "y"), ["x", "y"], "left_anti")
-        about = self.classes.select("d", "n", "bits")
+        # only lists that still have classes of several components take part, with the bitmaps of their entries
+        split = entries.groupBy("part", "o").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("part", "o")
+        open_ = entries.join(split, ["part", "o"], "left_semi").join(self.classes.select("d", "bits"), "d")
+        pairs = open_.groupBy("part").applyInArrow(_pairs(self.rule, mode, salt), "x bigint, y bigint").distinct()
+        if self.tested:
+            before = self.tested[0].select("x", "y")
+            for t in self.tested[1:]:
+                before = before.unionByName(t.select("x", "y"))
+            pairs = pairs.join(before, ["x", "y"], "left_anti")
+        about = self.classes.select("d", "n")
         about = about.join(self.near, "d", "left") if self.near is not None else about.withColumns({"l": F.lit(None).cast("bigint"), "dist": F.lit(None).cast("bigint")})
-        side = lambda k: about.select(F.col("d").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"), F.col("l").alias(f"l{k}"), F.col("dist").alias(f"d{k}"))
-        judged = common.staged(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_judge(self.rule), "x bigint, y bigint, verdict int"), "set-judged")
+        side = lambda k: about.select(F.col("d").alias(k), F.col("n").alias(f"n{k}"), F.col("l").alias(f"l{k}"), F.col("dist").alias(f"d{k}"))
+        judged = common.staged(pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", _judge(self.rule).alias("verdict")), "set-judged")
         self.tested.append(judged)
         self.links.append(judged.where("verdict = 1").select("x", "y"))
         todo = judged.where("verdict = 2").select("x", "y")
@@ -341,12 +359,16 @@ class SetJoin:
         common.release(self.spark)
 
     def run(self) -> None:
+        self._round(self._with_components(), "star", 0)
         entries = self._with_components()
+        before = None
         for k in range(ROUNDS):
             held, pairs = self._open(entries)
-            if pairs <= 2 * held:
+            # what a round hardly lessens are pairs that are no links: those are refuted where they stand
+            if pairs <= OPEN_PAIRS * held or (before is not None and pairs > 0.7 * before):
                 break
-            self._round(entries, "star" if k == 0 else "random", k)
+            before = pairs
+            self._round(entries, "random", k)
             entries = self._with_components()
         self._round(entries, "all", 0)
         self._with_components()
@@ -385,3 +407,15 @@ def survivors(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:
 
 def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+common AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+low AS (SELECT x AS rid, min(doc_id) AS m FROM reach JOIN d ON d.rid = y GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN m < doc_id THEN m ELSE doc_id END AS component_id FROM d LEFT JOIN n USING (rid) LEFT JOIN low USING (rid)
+"""

@@ -96,7 +96,9 @@ def test_components(spark):
 def test_bounds(a, b):
     pack = lambda s: np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     if a and b:
-        assert sj.bitmap_distance(sj.bitmap(pack(a)), sj.bitmap(pack(b))) <= len(a ^ b)
+        maps = sj.Bitmaps([sj.bitmap(pack(a)), sj.bitmap(pack(b))])
+        assert maps.distance(np.array([0, 1]), np.array([1, 1])).tolist() == [maps.distance(np.array([1]), np.array([0]))[0], 0]
+        assert maps.distance(np.array([0]), np.array([1]))[0] <= len(a ^ b)
         linked = 100 * len(a & b) >= 90 * len(a | b)
         rule = sj.Rule()
         assert linked == (len(a & b) >= rule.overlap(len(a) + len(b)))
