@@ -2,8 +2,7 @@
 
 A block holds BLOCK ids and starts from nothing: it can be read alone, and carries a CRC32 of its ids. Each id is coded as one of
 three outcomes (it is what the order-2 context predicts, what the order-1 context predicts, or neither); the probabilities
-come from two adaptive tables, one by how sure both contexts are, one by the outcomes before, mixed with a weight that follows
-whichever did better. Otherwise the id is coded by the order-0 model: frequencies of the block's ids so far, taken
+are the mean of two adaptive tables, one by how sure both contexts are and whether they agree, one by the outcomes before. Otherwise the id is coded by the order-0 model: frequencies of the block's ids so far, taken
 anew whenever the block has doubled; an id that it has not seen is escaped and coded flat.
 
 All blocks of a segment are coded in lockstep: one NumPy step takes an id of each. All arithmetic is on integers, so that
@@ -75,124 +74,142 @@ class _Order0:
         return self.keys[e] & 0xFFFF, np.where(out, used, self.cum[e]), np.where(out, SLOTS - used, self.freq[e]), out
 
 
+#: By outcome: what two packed 16-bit probabilities (order 2 above order 1, the latter given that order 2 was wrong) lose and gain.
+_LOSE = np.array([0x0FFF0000, 0x0FFF0FFF, 0x0FFF0FFF], np.int64)
+_GAIN = np.array([0x0FFF0000, 0x00000FFF, 0], np.int64)
+_HALVES = 0x7FFF7FFF
+
+
 class _Model:
     """Order-1 and order-2 predictions of each block, and the mixed probabilities of the three outcomes."""
 
     def __init__(self, lanes: int):
         self.row = np.arange(lanes) << _TABLE
         # an entry: the id seen last in this context << 2 | how often it was right in a row (0..3); ESCAPE: none
-        self.one = np.full(lanes << _TABLE, ESCAPE << 2, np.int32)
-        self.two = np.full(lanes << _TABLE, ESCAPE << 2, np.int32)
-        self.a = np.zeros(lanes * 64 * 2, np.int32)
-        self.b = np.zeros(lanes * 64 * 2, np.int32)
-        for table in (self.a, self.b):
-            table[0::2], table[1::2] = 12000, 9000  # of 65536: order 2, order 1
-        self.weight = np.full(lanes, 8, np.int32)
+        self.one = np.full(lanes << _TABLE, ESCAPE << 2, np.int64)
+        self.two = np.full(lanes << _TABLE, ESCAPE << 2, np.int64)
+        self.a = np.full(lanes * 32, 12000 << 16 | 9000, np.int64)
+        self.b = self.a.copy()
+        self.base = np.arange(lanes) << 5
         self.before = np.zeros(lanes, np.int64)
-        self.prev = np.zeros((2, lanes), np.int64)
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the first n blocks: both predictions, and the shares (of 65536) of outcomes 2 and 1; each 64 at least."""
-        p1, p2 = self.prev[0, :n], self.prev[1, :n]
-        row = self.row[:n]
-        self.i1 = row + (p1 * 40503 >> 4 & _SIDE - 1)
-        self.i2 = row + ((p1 * 31153 + p2 * 52711) >> 3 & _SIDE - 1)
+        self.first = np.zeros(lanes, np.int64)  # the id before, and the hash term of the one before that
+        self.second = np.zeros(lanes, np.int64)
+        self.edges = np.zeros((lanes, 4), np.int64)
+        self.edges[:, 3] = 65536
+        self.flat, self.four = self.edges.reshape(-1), 4 * np.arange(lanes)
+
+    def predict(self) -> None:
+        """Sets both predictions (g1, g2) and the edges of the three outcomes within 65536."""
+        self.i1 = (self.first * 40503 >> 4 & _SIDE - 1) + self.row
+        self.i2 = (self.first * 31153 + self.second >> 3 & _SIDE - 1) + self.row
         e1, e2 = self.one[self.i1], self.two[self.i2]
-        self.e1, self.e2 = e1, e2
-        g1, g2 = e1 >> 2, e2 >> 2
-        self.same = g1 == g2
-        sure = (e2 & 3) << 2 | e1 & 3 | self.same << 4 | (g2 == ESCAPE) << 5
-        base = self.row[:n] >> _TABLE << 6
-        self.ca, self.cb = 2 * (base + sure), 2 * (base + self.before[:n])
-        self.qa = self.a[self.ca], self.a[self.ca + 1]
-        self.qb = self.b[self.cb], self.b[self.cb + 1]
-        w = self.weight[:n]
-        two = (self.qa[0] * w + self.qb[0] * (16 - w)) >> 4
-        one = (self.qa[1] * w + self.qb[1] * (16 - w)) >> 4
-        two, one = np.clip(two, 64, 48000), np.clip(one, 64, 16000)
-        return g2, g1, two, one
-
-    def update(self, n: int, ids: np.ndarray, outcome: np.ndarray) -> None:
+        self.e1, self.e2, self.c1, self.c2 = e1, e2, e1 & 3, e2 & 3
+        self.g1, self.g2 = e1 >> 2, e2 >> 2
+        self.ia = self.base + (self.c2 << 2) + self.c1 + ((self.g1 == self.g2).view(np.int8) << 4)
+        self.ib = self.base + self.before
+        self.qa, self.qb = self.a[self.ia], self.b[self.ib]
+        q = (self.qa >> 1 & _HALVES) + (self.qb >> 1 & _HALVES)
+        two = ((q >> 16) * 63 >> 6) + 32
+        self.edges[:, 1] = two
+        self.edges[:, 2] = two + 16 + ((65536 - two) * ((q & 0xFFFF) * 15 >> 4) >> 16)
+
+    def spans(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """cum and freq of an outcome (of 65536) in each block."""
+        at = self.four + outcome
+        low = self.flat[at]
+        return low.view(_U), (self.flat[at + 1] - low).view(_U)
+
+    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         """outcome: 0 for order 2, 1 for order 1, 2 for neither."""
-        hit2, hit1 = (outcome == 0).astype(np.int32), (outcome == 1).astype(np.int32)
-        for table, at, q in ((self.a, self.ca, self.qa), (self.b, self.cb, self.qb)):
-            table[at] = q[0] + ((hit2 * 65535 - q[0]) >> 4)
-            table[at + 1] = q[1] + ((hit1 * 65535 - q[1]) >> 4)
-        share = lambda q: np.where(outcome == 0, q[0], np.where(outcome == 1, q[1], 65536 - q[0] - q[1]))
-        a, b = share(self.qa), share(self.qb)
-        self.weight[:n] = np.clip(self.weight[:n] + (a > b) - (a < b), 1, 15)
-        for table, at, e in ((self.one, self.i1, self.e1), (self.two, self.i2, self.e2)):
-            right = e >> 2 == ids
-            c = e & 3
-            # a right entry grows surer; a wrong one is replaced once it is not sure at all
-            table[at] = np.where(right, (e & ~3) | np.minimum(c + 1, 3), np.where(c > 0, (e & ~3) | (c - 1), ids.astype(np.int32) << 2))
-        self.before[:n] = (self.before[:n] * 3 + outcome) % 27
-        self.prev[1, :n] = self.prev[0, :n]
-        self.prev[0, :n] = ids
-
-
-def _lanes(ids: np.ndarray) -> tuple[np.ndarray, int]:
-    """ids as [blocks, BLOCK], filled with zeros, and the size of the last block."""
-    lanes = -(-len(ids) // BLOCK)
-    out = np.zeros((lanes, BLOCK), np.int64)
-    out.ravel()[: len(ids)] = ids
-    return out, len(ids) - (lanes - 1) * BLOCK
+        lose, gain = _LOSE[outcome], _GAIN[outcome]
+        self.a[self.ia] = self.qa - (self.qa >> 4 & lose) + gain
+        self.b[self.ib] = self.qb - (self.qb >> 4 & lose) + gain
+        new = ids << 2
+        # a right entry grows surer; a wrong one is replaced once it is not sure at all
+        self.one[self.i1] = np.where(self.g1 == ids, self.e1 + (self.c1 < 3), np.where(self.c1 > 0, self.e1 - 1, new))
+        self.two[self.i2] = np.where(self.g2 == ids, self.e2 + (self.c2 < 3), np.where(self.c2 > 0, self.e2 - 1, new))
+        self.before = (self.before << 2 | outcome) & 31
+        self.second = self.first * 52711
+        self.first = ids
+
+
+class _Coder:
+    """Range coder states of all blocks: 64 bits, 16 of which are settled at a time; without carries."""
+
+    def __init__(self, lanes: int):
+        self.low, self.rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+
+    def narrow(self, who, cum: np.ndarray, freq: np.ndarray, bits, settle) -> None:
+        """Takes an interval in each of `who` (None: all blocks); settle(blocks, low) moves 16 bits where the range got thin."""
+        if who is None:
+            r = self.rng >> bits
+            low = self.low + r * cum
+            self.low = low
+            self.rng = r = r * freq
+            thin = np.flatnonzero(r < _FLOOR)
+        else:
+            r = self.rng[who] >> bits
+            self.low[who] += r * cum
+            r = r * freq
+            self.rng[who] = r
+            thin = who[r < _FLOOR]
+        while len(thin):
+            x, y = self.low[thin], self.rng[thin]
+            y = np.where((x ^ (x + y)) >> _B48 != 0, (_U(0) - x) & _LOW, y)  # cut at a border that is about to be crossed
+            settle(thin, x)
+            y <<= _B16
+            self.low[thin], self.rng[thin] = x << _B16, y
+            thin = thin[y < _FLOOR]
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
-    """The coded blocks of a list of ids."""
+    """The coded blocks of a list of ids; the last block is filled up with zeros where there are others."""
     if not len(ids):
         return []
     if int(ids.max()) >= ESCAPE or int(ids.min()) < 0:
         raise ValueError("ids must be from 0 to 65534")
-    grid, short = _lanes(np.asarray(ids, np.int64))
-    lanes = len(grid)
-    low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    words = np.zeros((lanes, 3 * BLOCK + 16), np.uint16)
-    flat, wide = words.reshape(-1), words.shape[1]
+    lanes = -(-len(ids) // BLOCK)
+    steps = min(BLOCK, len(ids))
+    grid = np.zeros((lanes, steps), np.int64)
+    grid.ravel()[: len(ids)] = ids
+    columns = np.ascontiguousarray(grid.T)
+    wide = 3 * steps + 16
+    flat = np.zeros(lanes * wide, np.uint16)
     cur = np.arange(lanes) * wide
 
-    def put(who, cum, freq, bits):
-        """Codes an interval of each of `who` (None: the first n) and writes the settled 16 bits."""
-        r = rng[who] >> bits
-        l2 = low[who] + r * cum
-        r = r * freq
-        thin = np.flatnonzero(r < _FLOOR)
-        while len(thin):
-            x, y = l2[thin], r[thin]
-            y = np.where((x ^ (x + y)) >> _B48 != 0, (_U(0) - x) & _LOW, y)  # cut at a border that is about to be crossed
-            k = thin if isinstance(who, slice) else who[thin]
-            flat[cur[k]] = (x >> _B48).astype(np.uint16)
-            cur[k] += 1
-            l2[thin], r[thin] = x << _B16, y << _B16
-            thin = thin[r[thin] < _FLOOR]
-        low[who], rng[who] = l2, r
-
-    model, zero = _Model(lanes), None
+    def settle(blocks, low):
+        at = cur[blocks]
+        flat[at] = low >> _B48
+        cur[blocks] = at + 1
+
+    coder, model, zero, begin = _Coder(lanes), _Model(lanes), None, 0
     every = np.arange(lanes)
-    for t in range(min(BLOCK, len(ids))):
-        n = lanes if t < short else lanes - 1
+    ones = np.ones(lanes, _U)
+    fresh = [t for t in FRESH if t < steps]
+    for t in range(steps):
         if t in FRESH:
-            zero = _Order0(grid[:, :t])
-        x = grid[:n, t]
-        g2, g1, two, one = model.predict(n)
-        outcome = np.where(x == g2, 0, np.where(x == g1, 1, 2))
-        cum = np.where(outcome == 0, 0, np.where(outcome == 1, two, two + one)).astype(_U)
-        freq = np.where(outcome == 0, two, np.where(outcome == 1, one, 65536 - two - one)).astype(_U)
-        put(slice(0, n), cum, freq, _B16)
+            zero, begin = _Order0(grid[:, :t]), t
+            stop = next((f for f in fresh if f > t), steps)
+            # where the ids until the next time stand in this model, all at once
+            c, f, out = zero.find(np.repeat(every, stop - t), grid[:, t:stop].ravel())
+            zcum, zfreq, zout = (np.ascontiguousarray(x.reshape(lanes, -1).T) for x in (c.astype(_U), f.astype(_U), out))
+        x = columns[t]
+        model.predict()
+        outcome = ((2 - (x == model.g1).view(np.int8)) * (1 - (x == model.g2).view(np.int8))).astype(np.int64)
+        cum, freq = model.spans(outcome)
+        coder.narrow(None, cum, freq, _B16, settle)
         rest = np.flatnonzero(outcome == 2)
         if zero is not None and len(rest):
-            c, f, out = zero.find(rest, x[rest])
-            put(rest, c.astype(_U), f.astype(_U), _U(12))
-            rest = rest[out]
+            k = t - begin
+            coder.narrow(rest, zcum[k][rest], zfreq[k][rest], _U(12), settle)
+            rest = rest[zout[k][rest]]
         if len(rest):
-            put(rest, x[rest].astype(_U), np.ones(len(rest), _U), _B16)
-        model.update(n, x, outcome)
-    for k in range(4):
-        flat[cur] = (low >> _B48).astype(np.uint16)
-        cur += 1
-        low <<= _B16
-    return [words[i, : cur[i] - i * wide].tobytes() for i in every.tolist()]
+            coder.narrow(rest, x[rest].view(_U), ones[: len(rest)], _B16, settle)
+        model.update(x, outcome)
+    for _ in range(4):
+        settle(every, coder.low)
+        coder.low <<= _B16
+    return [flat[a:b].tobytes() for a, b in zip((every * wide).tolist(), cur.tolist(), strict=True)]
 
 
 def decode(blocks: list[bytes], total: int) -> np.ndarray:
@@ -200,62 +217,49 @@ def decode(blocks: list[bytes], total: int) -> np.ndarray:
     lanes = len(blocks)
     if not lanes:
         return np.zeros(0, np.int64)
-    short = total - (lanes - 1) * BLOCK
-    grid = np.zeros((lanes, BLOCK), np.int64)
+    steps = min(BLOCK, total) if lanes == 1 else BLOCK
+    columns = np.zeros((steps, lanes), np.int64)
     sizes = np.array([len(b) // 2 for b in blocks])
     flat = np.concatenate((np.frombuffer(b"".join(blocks), np.uint16), np.zeros(8, np.uint16))).astype(_U)
     cur = np.cumsum(sizes) - sizes
-    ends = np.cumsum(sizes)
-    low, rng, code = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U), np.zeros(lanes, _U)
+    ends, last = np.cumsum(sizes), len(flat) - 1
+    code = np.zeros(lanes, _U)
     for _ in range(4):
-        code = code << _B16 | flat[cur]
+        code = code << _B16 | flat[np.minimum(cur, last)]
         cur += 1
 
-    def value(who, bits):
-        return ((code[who] - low[who]) // (rng[who] >> bits)).astype(np.int64)
+    def settle(who, _):
+        at = cur[who]
+        code[who] = code[who] << _B16 | flat[np.minimum(at, last)]
+        cur[who] = at + 1
 
-    def take(who, cum, freq, bits):
-        r = rng[who] >> bits
-        l2 = low[who] + r * cum
-        r = r * freq
-        thin = np.flatnonzero(r < _FLOOR)
-        while len(thin):
-            x, y = l2[thin], r[thin]
-            y = np.where((x ^ (x + y)) >> _B48 != 0, (_U(0) - x) & _LOW, y)
-            k = thin if isinstance(who, slice) else who[thin]
-            code[k] = code[k] << _B16 | flat[np.minimum(cur[k], len(flat) - 1)]
-            cur[k] += 1
-            l2[thin], r[thin] = x << _B16, y << _B16
-            thin = thin[r[thin] < _FLOOR]
-        low[who], rng[who] = l2, r
-
-    model, zero = _Model(lanes), None
-    for t in range(min(BLOCK, total)):
-        n = lanes if t < short else lanes - 1
+    coder, model, zero = _Coder(lanes), _Model(lanes), None
+    ones = np.ones(lanes, _U)
+    for t in range(steps):
         if t in FRESH:
-            zero = _Order0(grid[:, :t])
-        g2, g1, two, one = model.predict(n)
-        v = value(slice(0, n), _B16)
-        outcome = np.where(v < two, 0, np.where(v < two + one, 1, 2))
-        cum = np.where(outcome == 0, 0, np.where(outcome == 1, two, two + one)).astype(_U)
-        freq = np.where(outcome == 0, two, np.where(outcome == 1, one, 65536 - two - one)).astype(_U)
-        take(slice(0, n), cum, freq, _B16)
-        x = np.where(outcome == 0, g2, g1).astype(np.int64)
+            zero = _Order0(np.ascontiguousarray(columns[:t].T))
+        model.predict()
+        v = ((code - coder.low) // (coder.rng >> _B16)).view(np.int64)
+        outcome = (v >= model.edges[:, 1]).astype(np.int64) + (v >= model.edges[:, 2])
+        cum, freq = model.spans(outcome)
+        coder.narrow(None, cum, freq, _B16, settle)
+        x = np.where(outcome == 0, model.g2, model.g1)
         rest = np.flatnonzero(outcome == 2)
         if zero is not None and len(rest):
-            got, c, f, out = zero.at_slot(rest, np.minimum(value(rest, _U(12)), SLOTS - 1))
-            take(rest, c.astype(_U), f.astype(_U), _U(12))
+            v = ((code[rest] - coder.low[rest]) // (coder.rng[rest] >> _U(12))).view(np.int64)
+            got, c, f, out = zero.at_slot(rest, np.minimum(v, SLOTS - 1))
+            coder.narrow(rest, c.view(_U), f.view(_U), _U(12), settle)
             x[rest] = got
             rest = rest[out]
         if len(rest):
-            v = np.minimum(value(rest, _B16), 65535)
-            take(rest, v.astype(_U), np.ones(len(rest), _U), _B16)
-            x[rest] = v
-        grid[:n, t] = x
-        model.update(n, x, outcome)
+            v = np.minimum((code[rest] - coder.low[rest]) // (coder.rng[rest] >> _B16), _U(65535))
+            coder.narrow(rest, v, ones[: len(rest)], _B16, settle)
+            x[rest] = v.view(np.int64)
+        columns[t] = x
+        model.update(x, outcome)
     if (cur > ends + 4).any():
         raise BadFile("a block ends early")
-    return grid.ravel()[:total]
+    return columns.T.ravel()[:total] if lanes > 1 else columns[:, 0].copy()
 
 
 def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:

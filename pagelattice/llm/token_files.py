@@ -28,7 +28,7 @@ from . import range_coder as rc
 
 END = 2
 #: Ids in a segment, about; bytes of input in a part; words that a worker remembers.
-SEGMENT, PART_BYTES, MEMO = 4_000_000, 8 << 20, 500_000
+SEGMENT, PART_BYTES, MEMO = 6_000_000, 8 << 20, 500_000
 #: White space that surely parts words of the vocabulary file; all else is left to the library.
 _WORDS = re.compile("[^ \t\n\r]+").findall
 
