@@ -2,7 +2,7 @@
 
 Every text is cut into reference blocks of 18 words that do not overlap; every rolling window of 18 words probes them.
 Two equal runs of 35 words anywhere hold, on each side, a whole reference block that the other side's rolling windows meet, so no
-repeat is missed. Blocks that were met are extended: the 35-word windows that contain them are compared by 96 bits of
+repeat is missed. Blocks that were met are extended: the 35-word windows that contain them are compared by 80 bits of
 hash with all other such windows, and neighbouring equal windows join to maximal repeats.
 
 What is shuffled are sorted hash lists: one row for each slice of texts and hash range, each hash once a slice however often
@@ -32,14 +32,14 @@ from . import hashing as hs
 WINDOW, BLOCK = 35, 18
 #: Bytes of text that a slice holds, and of input for each range of hashes.
 SLICE, RANGE_BYTES = 16 << 20, 2 << 20
-#: Bits of the hashes of phase one; a false meeting only costs a comparison in phase two.
-ANCHOR_BITS = 48
+#: Bits of the first hash of phase two; a second one adds 32.
+WINDOW_BITS = 48
 
 # rows between the phases: part is a range of hashes (or, for rows that only pass through, -1 - a spread), chunk a slice
 _ROW = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _ROW_SQL = "part bigint, chunk bigint, kind tinyint, a binary, b binary, c binary"
-_HIT = pa.schema([("chunk", pa.int64()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary())])
-_HIT_SQL = "chunk bigint, kind tinyint, a binary, b binary"
+_HIT = pa.schema([("chunk", pa.int64()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_HIT_SQL = "chunk bigint, kind tinyint, a binary, b binary, c binary"
 _DOC = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.binary())])
 _DOC_SQL = "k1 bigint, k2 bigint, at binary"
 LIST, TABLE, LOCAL = 0, 1, 2
@@ -57,9 +57,21 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
         yield task << 32 | n, batch
 
 
-def _table_row(chunk: int, batch: pa.RecordBatch) -> tuple:
+def anchor_bits(size: int) -> int:
+    """Bits of the hashes of phase one, for `size` bytes of input: 16 more than its blocks need, so that few meet by chance. A false
+    meeting only costs a comparison in phase two."""
+    return min(64, max(40, (size // 32).bit_length() + 16))
+
+
+def _part(value: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """The range of hashes that each hash is in."""
+    return ((value >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _table_row(chunk: int, batch: pa.RecordBatch, sizes: np.ndarray) -> tuple:
+    """The slice's keys and word counts, by which places (counted in words through the slice) become texts and words."""
     keys = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in ("k1", "k2")]
-    return (-1 - chunk % 4093, chunk, TABLE, *keys, b"")
+    return (-1 - chunk % 4093, chunk, TABLE, *keys, sizes.astype(np.uint32).tobytes())
 
 
 def _once(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,9 +82,9 @@ def _once(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, np.diff(np.append(first, len(s)))
 
 
-def _probe(parts: int):
+def _probe(parts: int, bits: int):
     """Phase one, by slice: the distinct hashes of all rolling windows, and the reference blocks with their places."""
-    shift = np.uint64(64 - ANCHOR_BITS)
+    shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, batch in _chunks(batches):
@@ -83,19 +95,17 @@ def _probe(parts: int):
             key = hs.windows(h, BLOCK)[at] >> shift
             order, first, count = _once(key)
             value = key[order][first]
-            part = (value >> np.uint64(ANCHOR_BITS - 32)) * np.uint64(parts) >> np.uint64(32)
             begin = np.cumsum(sizes) - sizes
-            doc = np.searchsorted(begin + sizes, at, side="right")
-            off = at - begin[doc]
+            off = at - begin[np.searchsorted(begin + sizes, at, side="right")]
             block = np.flatnonzero(off % BLOCK == 0)
             block = block[np.argsort(key[block], kind="stable")]
-            bkey = key[block]
-            rows = [_table_row(chunk, batch)]
-            for p, s in hs.cut_by_bucket(part):
-                lo, hi = np.searchsorted(bkey, value[s.start]), np.searchsorted(bkey, value[s.stop - 1], side="right")
-                b = block[lo:hi]
-                places = doc[b].astype(np.uint64) << np.uint64(32) | off[b].astype(np.uint64)
-                rows.append((p, chunk, LIST, hs.pack_sorted(value[s]), np.packbits(count[s] > 1).tobytes(), bkey[lo:hi].tobytes() + places.tobytes()))
+            bkey, place = key[block], at[block].astype(np.uint32)
+            entry = np.searchsorted(value, bkey)
+            rows = [_table_row(chunk, batch, sizes)]
+            for p, s in hs.cut_by_bucket(_part(value, bits, parts)):
+                lo, hi = np.searchsorted(entry, s.start), np.searchsorted(entry, s.stop)
+                mine = (entry[lo:hi] - s.start).astype(np.uint32)
+                rows.append((p, chunk, LIST, hs.pack_sorted(value[s]), np.packbits(count[s] > 1).tobytes(), mine.tobytes() + place[lo:hi].tobytes()))
             yield hs.batch_of(rows, _ROW)
 
     return run
@@ -116,13 +126,13 @@ def _met(key: tuple, table: pa.Table) -> pa.Table:
         total = np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], first)
         often = value[order][first][total > 1]
         rows = []
-        for chunk, c in zip(lists["chunk"].to_pylist(), lists["c"].to_pylist(), strict=True):
-            both = np.frombuffer(c, np.uint64)
-            keys, places = both[: len(both) // 2], both[len(both) // 2 :]
+        for chunk, v, c in zip(lists["chunk"].to_pylist(), values, lists["c"].to_pylist(), strict=True):
+            both = np.frombuffer(c, np.uint32)
+            keys, places = v[both[: len(both) // 2]], both[len(both) // 2 :]
             if len(keys) and len(often):
                 hit = often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys
                 if hit.any():
-                    rows.append((chunk, LIST, places[hit].tobytes(), b""))
+                    rows.append((chunk, LIST, places[hit].tobytes(), b"", b""))
         out.append(pa.Table.from_batches([hs.batch_of(rows, _HIT)]))
     return pa.concat_tables(out)
 
@@ -130,14 +140,17 @@ def _met(key: tuple, table: pa.Table) -> pa.Table:
 def _by_doc(key: tuple, table: pa.Table) -> pa.Table:
     """For a slice: the places of each of its texts, rising."""
     kinds = table["kind"].to_pylist()
-    a, b = table["a"].to_pylist(), table["b"].to_pylist()
-    places = np.concatenate([np.frombuffer(x, np.uint64) for x, k in zip(a, kinds, strict=True) if k != TABLE] or [np.zeros(0, np.uint64)])
+    a, b, c = (table[x].to_pylist() for x in "abc")
+    places = np.concatenate([np.frombuffer(x, np.uint32) for x, k in zip(a, kinds, strict=True) if k != TABLE] or [np.zeros(0, np.uint32)])
     if not len(places):
         return _DOC.empty_table()
     tab = kinds.index(TABLE)
     k1, k2 = np.frombuffer(a[tab], np.int64), np.frombuffer(b[tab], np.int64)
-    places = np.unique(places)
-    rows = [(int(k1[d]), int(k2[d]), (places[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()) for d, s in hs.cut_by_bucket(places >> np.uint64(32))]
+    ends = np.cumsum(np.frombuffer(c[tab], np.uint32).astype(np.int64))
+    places = np.unique(places).astype(np.int64)
+    doc = np.searchsorted(ends, places, side="right")
+    begin = np.concatenate(([0], ends))
+    rows = [(int(k1[d]), int(k2[d]), (places[s] - begin[d]).astype(np.uint32).tobytes()) for d, s in hs.cut_by_bucket(doc)]
     return pa.Table.from_batches([hs.batch_of(rows, _DOC)])
 
 
@@ -157,21 +170,20 @@ def _extend(parts: int):
             at = at[np.cumsum(wanted)[at] > 0]
             if not len(at):
                 continue
-            key, more = hs.windows(h, WINDOW)[at], (hs.windows(h, WINDOW, 1)[at] >> np.uint64(32)).astype(np.uint32)
-            doc = np.searchsorted(begin + sizes, at, side="right")
-            place = doc.astype(np.uint64) << np.uint64(32) | (at - begin[doc]).astype(np.uint64)
+            key = hs.windows(h, WINDOW)[at] >> np.uint64(64 - WINDOW_BITS)
+            more = (hs.windows(h, WINDOW, 1)[at] >> np.uint64(32)).astype(np.uint32)
+            place = at.astype(np.uint32)
             order = np.lexsort((more, key))
             key, more, place = key[order], more[order], place[order]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])))
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(key)))
-            rows = [_table_row(chunk, batch)]
+            rows = [_table_row(chunk, batch, sizes)]
             here = place[np.repeat(count > 1, count)]  # known to be repeated without asking
             if len(here):
                 rows.append((-1 - chunk % 4093, chunk, LOCAL, here.tobytes(), b"", b""))
             key, more, place = key[first], more[first], place[first]
-            part = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            for p, s in hs.cut_by_bucket(part):
+            for p, s in hs.cut_by_bucket(_part(key, WINDOW_BITS, parts)):
                 lone = count[s] == 1
                 rows.append((p, chunk, LIST, hs.pack_sorted(key[s]), np.packbits(~lone).tobytes(), more[s].tobytes() + place[s][lone].tobytes()))
             yield hs.batch_of(rows, _ROW)
@@ -191,7 +203,7 @@ def _same(key: tuple, table: pa.Table) -> pa.Table:
             values.append(v)
             manys.append(np.unpackbits(np.frombuffer(b, np.uint8), count=len(v)).astype(bool))
             mores.append(np.frombuffer(c, np.uint32, count=len(v)))
-            lones.append(np.frombuffer(c[4 * len(v) :], np.uint64))
+            lones.append(np.frombuffer(c, np.uint32, offset=4 * len(v)))
         value, more, many = np.concatenate(values), np.concatenate(mores), np.concatenate(manys)
         order = np.lexsort((more, value))
         v, m = value[order], more[order]
@@ -204,7 +216,7 @@ def _same(key: tuple, table: pa.Table) -> pa.Table:
             hit = places[often[i : i + len(vs)][~ms]]
             i += len(vs)
             if len(hit):
-                rows.append((chunk, LIST, hit.tobytes(), b""))
+                rows.append((chunk, LIST, hit.tobytes(), b"", b""))
         out.append(pa.Table.from_batches([hs.batch_of(rows, _HIT)]))
     return pa.concat_tables(out)
 
@@ -223,7 +235,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(docs) // RANGE_BYTES)
     rows = keyed(docs)
-    met = _round(rows.select("k1", "k2", "text").mapInArrow(_probe(parts), _ROW_SQL), _met, "anchors-met")
+    bits = anchor_bits(common.input_bytes(docs))
+    met = _round(rows.select("k1", "k2", "text").mapInArrow(_probe(parts, bits), _ROW_SQL), _met, "anchors-met")
     near = rows.select("k1", "k2", "text").join(met, ["k1", "k2"]).sortWithinPartitions("k1", "k2")
     return _round(near.mapInArrow(_extend(parts), _ROW_SQL), _same, "anchor-repeats")
 
@@ -278,3 +291,15 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def op4_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, p, array_to_string(w[p:p + 34], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+rep AS (SELECT rid, p FROM win QUALIFY count(*) OVER (PARTITION BY s) > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + 35)) AS i FROM rep),
+words AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS k FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -62,21 +62,26 @@ def starts(sizes: np.ndarray, n: int, least: int | None = None) -> np.ndarray:
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
-    """A rising list of 64-bit numbers as differences, of 4 bytes each where they fit."""
+    """A rising list of 64-bit numbers: the first, then the differences, in as many bytes each as the largest needs (lowest bytes first)."""
     if not len(x):
         return b""
     gaps = np.diff(x)
-    narrow = not len(gaps) or int(gaps.max()) < 1 << 32
-    return bytes([4 if narrow else 8]) + x[:1].tobytes() + gaps.astype(np.uint32 if narrow else np.uint64).tobytes()
+    width = (int(gaps.max()).bit_length() + 7) // 8 if len(gaps) else 0
+    planes = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + x[:1].tobytes() + planes.tobytes()
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
-    gaps = np.frombuffer(data[9:], np.uint32 if data[0] == 4 else np.uint64)
-    out = np.empty(len(gaps) + 1, np.uint64)
+    width = data[0]
+    n = (len(data) - 9) // width if width else 0
+    wide = np.zeros((n, 8), np.uint8)
+    if n:
+        wide[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(width, n).T
+    out = np.empty(n + 1, np.uint64)
     out[0] = np.frombuffer(data[1:9], np.uint64)[0]
-    out[1:] = gaps
+    out[1:] = wide.view("<u8").ravel()
     return np.cumsum(out, dtype=np.uint64)
 
 
