@@ -16,7 +16,9 @@ counted alike; an empty table gives an empty result; other columns are ignored;
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +41,15 @@ class Spans:
         special, pieces = self.codec.special, [self.codec.pieces(c) if c not in self.codec.special else [] for c in chunks]
         distinct = list({p for ps in pieces for p in ps})
         ids, starts = self.codec.index.encode([p.encode() for p in distinct])
-        sizes = np.array([self.size[i] for i in ids.tolist()], np.int64)
-        at = {p: i for i, p in enumerate(distinct)}
+        sizes, starts = [self.size[i] for i in ids.tolist()], starts.tolist()
+        of = {p: sizes[starts[i] : starts[i + 1]] for i, p in enumerate(distinct)}
         for c, ps in zip(chunks, pieces, strict=True):
-            n = np.concatenate([sizes[starts[at[p]] : starts[at[p] + 1]] for p in ps]) if ps else np.array([len(c.encode())] if c in special else [], np.int64)
-            end = np.cumsum(n)
-            first, last = end - n, end - 1
-            if not c.isascii():  # from bytes to characters: a character begins at each byte that continues none
-                raw = np.frombuffer(c.encode(), np.uint8)
-                char = np.cumsum((raw & 0xC0) != 0x80) - 1
-                first, last = char[first], char[last]
-            self.memo[c] = first.astype(np.uint32).tobytes(), last.astype(np.uint32).tobytes(), len(n)
+            ends = list(accumulate([n for p in ps for n in of[p]])) if c not in special else [len(c.encode())]
+            first, last = [0, *ends[:-1]], [e - 1 for e in ends]
+            if not c.isascii():  # from bytes to characters
+                char = [k for k, x in enumerate(c) for _ in x.encode()]
+                first, last = [char[b] for b in first], [char[b] for b in last]
+            self.memo[c] = array("I", first).tobytes(), array("I", last).tobytes(), len(ends)
 
     def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """First and last character of each token of each text."""
