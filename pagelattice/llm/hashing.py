@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 
 #: Odd constants of the polynomial and of the finisher (fixed values: 2**64 over the golden ratio, and splitmix64's).
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -21,17 +21,65 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+_SOLID = np.array([b not in b"\x20\t\n\x0b\x0c\r" for b in range(256)])
+_LOWERED = np.frombuffer(LOWER, np.uint8)
+
+
+def flat(texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts (null: empty), end to end, and where each begins (one more at the end)."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.string())
+    if texts.type not in (pa.string(), pa.binary()):
+        texts = texts.cast(pa.string())
+    if texts.null_count:
+        texts = pc.fill_null(texts, "" if texts.type == pa.string() else b"")
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def tiles(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values that stand end to end in data, from at[i] to at[i + 1]; nothing is copied."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+
+def words(texts: pa.Array | list, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of each text, and all words as binary values: runs of other bytes than the six white-space bytes."""
+    data, at = flat(texts)
+    solid = _SOLID[data]
+    border = np.zeros(len(data) + 1, bool)
+    border[at] = True
+    after = np.concatenate((solid, [False]))  # is there a word's byte here, and was there one of the same text before?
+    before = np.concatenate(([False], solid)) & ~border
+    begin = np.flatnonzero(after & ~before)
+    ends = np.flatnonzero(np.concatenate(([False], solid)) & (~after | border))
+    sizes = np.diff(np.searchsorted(begin, at))
+    kept = data[solid]
+    return sizes, tiles(_LOWERED[kept] if lower else kept, np.concatenate(([0], np.cumsum(ends - begin))))
+
+
+def value_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the byte strings that stand end to end in data, eight bytes of all of them at a time."""
+    sizes = np.diff(at)
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    h = mixed(sizes.astype(np.uint64) + np.uint64(_BASES[0]))
+    who, begin, left = slice(None), at[:-1], sizes
+    while len(begin):
+        kept = np.uint64(8) * np.clip(left, 0, 8).astype(np.uint64)
+        value = np.where(kept < np.uint64(64), eights[begin] & ((np.uint64(1) << (kept & np.uint64(63))) - np.uint64(1)), eights[begin])
+        h[who] = mixed((h[who] ^ value) + np.uint64(_BASES[1]))
+        more = np.flatnonzero(left > 8)
+        who = more if isinstance(who, slice) else who[more]
+        begin, left = begin[more] + 8, left[more] - 8
+    return h
+
+
+def word_hashes(texts: pa.Array | list, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of all texts, end to end, and the number of words of each text."""
-    of = xxhash.xxh3_64_intdigest
-    parts, sizes = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            # bytes.split() parts at exactly the six white-space bytes of the contract
-            words = t.encode().translate(LOWER).split() if lower else t.encode().split()
-            sizes[i] = len(words)
-            parts.append(np.fromiter(map(of, words), np.uint64, len(words)))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), sizes
+    sizes, found = words(texts, lower)
+    _, at, data = found.buffers()
+    return value_hashes(np.frombuffer(data, np.uint8), np.frombuffer(at, np.int32).astype(np.int64)), sizes
 
 
 def windows(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:

@@ -15,7 +15,7 @@ ODD = ["", " ", "  a", "a  ", "a \n\n b", "\n \n", "don't we'll I'VE 's", "aaaaa
 def same(texts):
     for t, (ids, text) in zip(texts, pb.codec(PATH).encode(texts), strict=True):
         want = LIBRARY.encode(t, add_special_tokens=False).ids
-        assert [int(x) for x in ids.split(",") if x] == want, t
+        assert [int(x) for x in ids.split(b",") if x] == want, t
         assert text == LIBRARY.decode(want, skip_special_tokens=False) == pb.codec(PATH).decode(want)
 
 
