@@ -9,8 +9,10 @@ Scoring (a map over all documents, whole texts): forward and backward run over a
 first. Nothing is shuffled. The model is a few arrays with a documented bound.
 
 Defined results: null and empty texts have no tokens and get the score of the logistic layer at zero evidence; repeated rows get
-equal scores; where no row of one of the classes is labelled, every score is the share of toxic training rows (0 without any); an
-empty table gives an empty result; labels, lang, source, doc_id and columns of other names are never inputs of a score.
+equal scores; where no row of one of the classes is labelled, every score is the share of toxic training rows (0 without any); a
+labelled id that several rows have is learned from its least text, and is toxic if any of its labels says so; an empty table gives an
+empty result; labels, lang, source, doc_id and columns of other names are never inputs of a score. The sample is put in order of a hash
+of the ids before anything is fitted, so scores don't depend on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from . import hashing as hs
 
 #: Bounds of the training sample: rows of each class, and characters altogether.
 SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000_000
@@ -33,9 +36,11 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1200, 20_000_000
 #: features kept. Features of fewer documents are as a rule those of a few copies.
 SEED_DOCS, SEED_SHARE, SEED_ODDS, MOST_FEATURES = 4, 0.02, 3.0, 150_000
 STEPS, L2, CLIP = 40, 2e-4, 12.0
-MEMO = 400_000
+MEMO = 200_000
+#: Bytes of text that a worker holds at a time; what it makes of them is a few times that.
+SLICE = 4 << 20
 _CORE = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_TOKENS = re.compile(r"\S+")
+_TOKENS = re.compile(common.WORD)
 
 
 def features(token: str) -> list[str]:
@@ -112,18 +117,21 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.memo: dict[str, float] = {}
+        self.memo: dict[bytes, float] = {}
 
-    def marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def marginals(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each text, and the marginals of all tokens in order."""
-        split = [t.split() for t in texts]
+        sizes, found = hs.words(texts)
+        coded = found.dictionary_encode()
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        for w in set().union(*split).difference(memo):
-            memo[w] = self.model.emission(w)
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        e = np.array([memo[w] for ws in split for w in ws], np.float64)
+        weights = np.empty(len(coded.dictionary))
+        for i, w in enumerate(coded.dictionary.to_numpy(zero_copy_only=False).tolist()):
+            if (x := memo.get(w)) is None:
+                x = memo[w] = self.model.emission(w.decode())
+            weights[i] = x
+        e = weights[coded.indices.to_numpy(zero_copy_only=False)]
         steps = Lockstep(sizes)
         _, _, marg = forward_backward(steps.spread(e), self.model.trans, steps)
         return sizes, marg[steps.place]
@@ -168,10 +176,10 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
 
 def fit_chain(texts: list[str], toxic: np.ndarray) -> Model:
     """Token labels and the chain's weights."""
-    split = [t.split() for t in texts]
-    seen: dict[str, int] = {}
-    ids = np.array([seen.setdefault(w, len(seen)) for ws in split for w in ws], np.int64)
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    sizes, found = hs.words(texts)
+    coded = found.dictionary_encode()
+    seen = [w.decode() for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(ids):
         return Model()
     of_word = [features(w) for w in seen]
@@ -180,7 +188,7 @@ def fit_chain(texts: list[str], toxic: np.ndarray) -> Model:
     for d, y in enumerate(toxic.tolist()):
         df[y].update({f for w in set(ids[begin[d] : begin[d + 1]].tolist()) for f in of_word[w]})
     n1, n0 = int(toxic.sum()), int((~toxic.astype(bool)).sum())
-    kept = [f for f, _ in (df[0] + df[1]).most_common(MOST_FEATURES) if df[0][f] + df[1][f] >= SEED_DOCS]
+    kept = [f for f, n in sorted((df[0] + df[1]).items(), key=lambda x: (-x[1], x[0]))[:MOST_FEATURES] if n >= SEED_DOCS]
     number = {f: i for i, f in enumerate(kept)}
     seeds = {f for f, n in df[1].items() if n >= max(SEED_DOCS, SEED_SHARE * n1) and np.log((n + 0.5) / (n1 + 1)) - np.log((df[0][f] + 0.5) / (n0 + 1)) >= SEED_ODDS}
     seed_word = np.array([any(f in seeds for f in fs) for fs in of_word], bool)
@@ -227,16 +235,17 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of the labelled rows that are not held out: at most SAMPLE_ROWS of each class, by a hash of their ids."""
-    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("toxic") != 0).alias("y")).where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("toxic") != 0).alias("y")).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     if not counts:
         return Model()
-    picked = [known.where(F.col("y") == y).orderBy(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)).limit(SAMPLE_ROWS) for y in (True, False)]
+    known = known.withColumn("place", F.sha2(F.col("doc_id").cast("string").cast("binary"), 256))
+    picked = [known.where(F.col("y") == y).orderBy("place").limit(SAMPLE_ROWS) for y in (True, False)]
     wanted = picked[0].unionByName(picked[1])
     # both sides are bounded by SAMPLE_ROWS, so the ids may be broadcast
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").select("y", F.coalesce("text", F.lit("")).alias("text"), "doc_id").dropDuplicates(["doc_id"]).toLocalIterator()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
     texts, y, held = [], [], 0
-    for r in rows:
+    for r in rows.groupBy("place", "y").agg(F.min("text").alias("text")).orderBy("place").toLocalIterator():
         texts.append(r.text)
         y.append(r.y)
         held += len(r.text)
@@ -266,13 +275,13 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(box.value)
-        for batch in common.slices(batches, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        for batch in common.slices(batches, "text", SLICE):
+            texts = batch.column("text")
             sizes, marg = scorer.marginals(texts)
             score = scorer.score(sizes, marg)
             begin = np.concatenate(([0], np.cumsum(sizes)))
             hot = np.add.reduceat(np.concatenate((marg, [0.0])) >= 0.5, begin[:-1]) * (sizes > 0) if len(sizes) else sizes
-            found = [[{"start": a, "end": b} for a, b in spans(t, marg[begin[i] : begin[i + 1]])] if hot[i] else [] for i, t in enumerate(texts)]
+            found = [[{"start": a, "end": b} for a, b in spans(texts[i].as_py(), marg[begin[i] : begin[i + 1]])] if hot[i] else [] for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(found, _SPAN)], ["doc_id", "held_out", "score", "predicted", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), "text")
@@ -280,16 +289,18 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, that the model doesn't predict to be toxic."""
+    """The rows of docs, with all their columns, that the model doesn't predict to be toxic. Only texts go through Python."""
     box = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def passes(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(box.value)
-        for batch in common.slices(batches, "text"):
-            keep = scorer.score(*scorer.marginals([t or "" for t in batch.column("text").to_pylist()])) < 0.5
-            yield batch.filter(pa.array(keep))
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            good = [scorer.score(*scorer.marginals(part.column("text"))) < 0.5 for part in common.slices(iter([batch]), "text", SLICE)]
+            yield pa.array(np.concatenate(good) if good else np.zeros(0, bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(passes(F.col("text")))
 
 
 def op3_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,17 @@ def test_without_labels(spark):
     assert [r.score for r in tc.tag(df, tc.train(df, none)).collect()] == [0.0]
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert [r.score for r in tc.tag(df, tc.train(df, one)).collect()] == [1.0]
+
+
+def test_partitioning_changes_nothing(spark):
+    docs, labels = corpus(300)
+    docs += [(i, f"{t} again", s, x) for i, t, s, x in docs[:40]]  # ids with two texts
+    labels += [(i, 1 - y) for i, y in labels[50:60]]  # ids with two labels
+    found = set()
+    for n, adaptive in ((4, "true"), (32, "false")):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        df = spark.createDataFrame(docs[:: 1 if n == 4 else -1], "doc_id long, text string, source string, score double").repartition(n)
+        lab = spark.createDataFrame(labels, "doc_id long, toxic int").repartition(n)
+        found.add(tuple(sorted((r.doc_id, r.score, tuple(r.spans)) for r in tc.tag(df, tc.train(df, lab)).collect())))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(found) == 1
