@@ -88,7 +88,7 @@ def _probe(parts: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, batch in _chunks(batches):
-            h, sizes = hs.word_hashes(batch.column("text").to_pylist())
+            h, sizes = hs.word_hashes(batch.column("text"))
             at = hs.starts(sizes, BLOCK, WINDOW)
             if not len(at):
                 continue
@@ -159,7 +159,7 @@ def _extend(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, batch in _chunks(batches):
-            h, sizes = hs.word_hashes(batch.column("text").to_pylist())
+            h, sizes = hs.word_hashes(batch.column("text"))
             begin = np.cumsum(sizes) - sizes
             wanted = np.zeros(len(h) + 1, np.int32)
             for i, data in enumerate(batch.column("at").to_pylist()):
