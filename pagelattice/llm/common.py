@@ -16,22 +16,41 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process may do without: it has a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="pagelattice-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: tables between the steps are written there")
+        found = _own.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="pagelattice-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends, and a lost executor loses nothing."""
+#: Folders of sessions in one process that name no shared folder.
+_own: dict[str, str | None] = {}
+
+
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: lineage ends, and a lost executor loses nothing. by: a folder for each
+    value of this column, so that drop() may take one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame | None, part: str | None = None) -> None:
+    """Deletes a table that staged() wrote, or one of its parts ("column=value"). For tables whose results have all been written elsewhere."""
+    if table is None:
+        return
+    spark = table.sparkSession
+    root = shared_dir(spark)
+    for folder in {f[: f.index("/", f.index(root) + len(root) + 1)] for f in table.inputFiles() if root in f}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}" if part else folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df; 0 where it has none (rows that the driver or an RDD brought)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

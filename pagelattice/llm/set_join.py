@@ -4,13 +4,15 @@ A document's set is its distinct word shingles (of Rule.width words; two sets li
 fixed size over the whole corpus), then by hash; rare ones first. Equal sets are one class from the start. Each class
 puts the prefix that any link must meet into inverted lists.
 
-Index level: a list is sorted by set size, and each entry sees only the block of entries whose size and position still allow a
-link. Answer level: a class that is linked to a class takes over its component, so only entries of different components are
-compared; and where two classes have known distances to one leader, the triangle inequality of the symmetric difference
+Index level: a list is cut into blocks of one size and one component, each in order of position. Against an entry, a whole block is skipped
+when its size or the entry's own position rules a link out, and of the others all entries behind the last position that allows
+one. Answer level: a class that is linked to a class takes over its component, so blocks of its own component are
+skipped too. A pair that shares an earlier element is known by the least hash of the elements before: it is left to that element's list,
+so that near copies aren't met in each of the many lists that they share. And where two classes have known distances to one leader, the triangle inequality of the symmetric difference
 decides most of the rest (|xy| >= ||xl|-|yl|| refutes, |xy| <= |xl|+|yl| confirms). A round of stars, and rounds of random partners
 while the entry pairs of different components far outnumber the entries, merge components (both linear in the entries); then
-all remaining pairs are judged, so no link is lost. Pairs are refuted by parity bitmaps within the lists or counted exactly over
-whole sets.
+all remaining pairs are judged, so no link is lost. Pairs are refuted by parity bitmaps within the lists (of a length that follows from
+the differences that a link allows) or counted exactly over whole sets. Tables between the steps are deleted once they are used up.
 
 Classes are told apart by 64-bit hashes of their sets. Defined results: null, empty and blank texts have the empty set, 0
 shingles, and are linked with nothing; texts with fewer words than a shingle are one shingle; rows with one doc_id are joined
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from . import hashing as hs
 from .anchor_repeats import keyed
-from .components import components
+from .components import extended
 
 DEN = 100
 
@@ -51,6 +53,11 @@ class Rule:
         """Least intersection of two linked sets of together `total` elements."""
         return -(-self.num * total // (DEN + self.num))
 
+    def bits(self, n: int) -> int:
+        """Length of the bitmap of a set of n: a power of two, 128 or 3.5 times the most that a linked set of its size differs by. The
+        parities of unlike sets differ at about half of the places, which is more than a link allows."""
+        return 1 << max(7, int(7 * (n - self.overlap(2 * n))).bit_length())
+
 
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Random partners of an entry in a round, rounds at most, and pairs for each entry at which no further round is worth it: then all
@@ -61,14 +68,19 @@ RANGE_BYTES = 4 << 20
 _U = np.uint64
 
 
-def raw_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def raw_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The rising shingle hashes of each text."""
     h, sizes = hs.word_hashes(texts, lower=True)
     w = hs.windows(h, width)
     begin = 0
     for n in sizes.tolist():
         if n >= width:
-            yield np.unique(w[begin : begin + n - width + 1])
+            yield _distinct(w[begin : begin + n - width + 1])
         else:
             yield hs.windows(h[begin : begin + n], n) if n else np.zeros(0, _U)
         begin += n
@@ -76,19 +88,23 @@ def raw_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
 
 def ordered(x: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """A set in the global order: class of frequency in the top four bits, then 60 bits of hash."""
-    return np.unique(classes[(x >> _U(64 - SKETCH_BITS)).astype(np.int64)] << _U(60) | x >> _U(4))
+    return _distinct(classes[(x >> _U(64 - SKETCH_BITS)).astype(np.int64)] << _U(60) | x >> _U(4))
 
 
 def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
-    """The class (0: not frequent, up to 15) of each slot of the sketch: 2**SKETCH_BITS numbers whatever the corpus holds."""
+    """The class (0: not frequent, up to 15) of each slot of the sketch: 2**SKETCH_BITS numbers whatever the corpus holds.
+
+    It counts all shingles of all texts. A slot's count goes on as 16 bits from each task, which only coarsens the order; any order that all
+    sets share gives the same links."""
     slots = 1 << SKETCH_BITS
     own = slots // SKETCH_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for batch in common.slices(batches, "text"):
-            found = list(raw_sets(batch.column("text").to_pylist(), width))
-            total += np.bincount((np.concatenate(found) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=slots) if found else 0
+            h, sizes = hs.word_hashes(batch.column("text"), lower=True)
+            found = hs.windows(h, width)[hs.starts(sizes, width)] if len(h) >= width else h[:0]
+            total += np.bincount((found >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=slots)
         rows = []
         for p in range(SKETCH_PARTS):
             c = total[p * own : (p + 1) * own]
@@ -113,18 +129,23 @@ def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def bitmap(x: np.ndarray) -> bytes:
-    """Parities of the set's elements over a power of two of bits, two for each element at least."""
-    bits = max(128, 1 << int(2 * len(x) - 1).bit_length())
+def bitmap(x: np.ndarray, bits: int) -> bytes:
+    """Parities of the set's elements over `bits` places, a power of two."""
     odd = np.bincount((x & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 _OUT = pa.schema([("kind", pa.int8()), ("part", pa.int64()), ("data", pa.binary()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("bits", pa.binary())])
-_ENTRY = pa.schema([("part", pa.int64()), ("o", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
+_ENTRY = pa.schema([("part", pa.int64()), ("o", pa.int64()), ("d", pa.int64()), ("m", pa.int64()), ("pos", pa.int64())])
 _PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
 
+def _least_before(x: np.ndarray) -> np.ndarray:
+    """For each element the least hash (a bijection of elements) of those before it; nothing is before the first."""
+    h = hs.mixed(x + _U(0x2545F4914F6CDD1D))
+    return np.concatenate(([_U(0)], np.minimum.accumulate(h)[:-1])) if len(x) else h
+
+
 def _emit(box, parts: int, rule: Rule):
     """For each text its set's class and size; for each slice and range of hashes the prefix entries of its classes."""
 
@@ -132,28 +153,28 @@ def _emit(box, parts: int, rule: Rule):
         classes = box.value
         for batch in common.slices(batches, "text", 8 << 20):
             ids, k1s, k2s = (batch.column(c).to_pylist() for c in ("doc_id", "k1", "k2"))
-            rows, seen, o, meta = [], set(), [], []
-            for i, k1, k2, raw in zip(ids, k1s, k2s, raw_sets(batch.column("text").to_pylist(), rule.width), strict=True):
+            rows, seen, o, m, meta = [], set(), [], [], []
+            for i, k1, k2, raw in zip(ids, k1s, k2s, raw_sets(batch.column("text"), rule.width), strict=True):
                 x = ordered(raw, classes)
                 n = len(x)
                 d = xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
                 fresh = n and d not in seen
-                rows.append((1, None, None, i, k1, k2, n, d if n else None, bitmap(x) if fresh else None))
+                rows.append((1, None, None, i, k1, k2, n, d if n else None, bitmap(x, rule.bits(n)) if fresh else None))
                 if fresh:
                     seen.add(d)
                     p = rule.prefix(n)
                     o.append(x[:p])
-                    meta.append((d, n, p))
+                    m.append(_least_before(x[:p]))
+                    meta.append((d, p))
             if meta:
-                d, n, p = (np.array(c, np.int64) for c in zip(*meta, strict=True))
-                o = np.concatenate(o)
+                d, p = (np.array(c, np.int64) for c in zip(*meta, strict=True))
+                o, m = np.concatenate(o), np.concatenate(m)
                 pos = np.arange(len(o)) - np.repeat(np.cumsum(p) - p, p)
                 part = ((hs.mixed(o) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                four = np.stack((o.astype(np.int64), np.repeat(d, p), np.repeat(n, p), pos))[:, order]
+                three, pos = np.stack((o.astype(np.int64), np.repeat(d, p), m.astype(np.int64)))[:, order], pos[order].astype(np.uint32)
                 for k, s in hs.cut_by_bucket(part[order]):
-                    block = four[:, s]
-                    data = block[:2].tobytes() + block[2:].astype(np.uint32).tobytes()
+                    data = three[:, s].tobytes() + pos[s].tobytes()
                     rows.append((0, k, data, None, None, None, None, None, None))
             yield hs.batch_of(rows, _OUT)
 
@@ -164,19 +185,19 @@ def _lists(key: tuple, table: pa.Table) -> pa.Table:
     """The entries of lists that two classes or more share."""
     cols: list[list[np.ndarray]] = [[], [], [], []]
     for data in table["data"].to_pylist():
-        m = len(data) // 24
-        both, rest = np.frombuffer(data, np.int64, count=2 * m), np.frombuffer(data[16 * m :], np.uint32)
-        for c, v in zip(cols, (both[:m], both[m:], rest[:m], rest[m:]), strict=True):
+        k = len(data) // 28
+        three, pos = np.frombuffer(data, np.int64, 3 * k).reshape(3, k), np.frombuffer(data, np.uint32, k, 24 * k)
+        for c, v in zip(cols, (*three, pos), strict=True):
             c.append(v)
-    o, d, n, pos = (np.concatenate(c).astype(np.int64) for c in cols)
-    order = np.lexsort((d, n, o))
-    o, d, n, pos = o[order], d[order], n[order], pos[order]
+    o, d, m, pos = (np.concatenate(c).astype(np.int64) for c in cols)
+    order = np.lexsort((d, o))
+    o, d, m, pos = o[order], d[order], m[order], pos[order]
     new = np.concatenate(([True], (o[1:] != o[:-1]) | (d[1:] != d[:-1])))
-    o, d, n, pos = o[new], d[new], n[new], pos[new]
+    o, d, m, pos = o[new], d[new], m[new], pos[new]
     first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
     many = np.repeat(np.diff(np.append(first, len(o))), np.diff(np.append(first, len(o)))) > 1
     part = np.full(int(many.sum()), key[0].as_py())
-    return pa.Table.from_arrays([pa.array(v) for v in (part, o[many], d[many], n[many], pos[many])], schema=_ENTRY)
+    return pa.Table.from_arrays([pa.array(v) for v in (part, o[many], d[many], m[many], pos[many])], schema=_ENTRY)
 
 
 def _allowed(rule, n1, p1, n2, p2, c1, c2):
@@ -213,51 +234,110 @@ class Bitmaps:
         return out
 
 
+class Blocks:
+    """The entries of lists (o: list, n: set size, c: component, pos: place in the set) in blocks of one list, size and component.
+
+    order: the entries by list, size, component and position; all other arrays go by it."""
+
+    def __init__(self, rule: Rule, o: np.ndarray, n: np.ndarray, c: np.ndarray, pos: np.ndarray):
+        self.rule = rule
+        self.order = order = np.lexsort((pos, c, n, o))
+        o, n, c, self.pos = o[order], n[order], c[order], pos[order]
+        new = np.concatenate(([True], (o[1:] != o[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1]))) if len(o) else np.zeros(0, bool)
+        self.first = np.flatnonzero(new)
+        self.own = np.cumsum(new) - 1  # the block of each entry
+        self.n, self.c = n[self.first], c[self.first]
+        # of each block the first behind it whose list is another or whose sets are too large for a link
+        lists = np.cumsum(np.concatenate(([True], o[self.first][1:] != o[self.first][:-1]))) if len(o) else np.zeros(0, np.int64)
+        wide = int(n.max()) + 2 if len(n) else 2
+        self.stop = np.searchsorted(lists * wide + self.n, lists * wide + np.minimum(self.n * DEN // rule.num, wide - 1), side="right")
+        self.key = self.own * wide + np.minimum(self.pos, wide - 1)
+        self.wide = wide
+        self.seen = self.skipped = self.cut = 0  # blocks looked at, skipped whole, and entries left out of the others
+
+    def pairs(self, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of entries (places in `order`) that sizes, positions and components allow, each pair of a list once; in slices."""
+        count = self.stop[self.own] - self.own - 1 if len(self.own) else np.zeros(0, np.int64)
+        for a, b in _runs(count, most):
+            i = np.repeat(np.arange(a, b), count[a:b])
+            k = np.arange(len(i)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b]) + self.own[i] + 1
+            self.seen += len(k)
+            n1, n2 = self.n[self.own[i]], self.n[k]
+            need = self.rule.overlap(n1 + n2)
+            good = (self.c[self.own[i]] != self.c[k]) & (self.pos[i] <= n1 - need)
+            i, k, last = i[good], k[good], (n2 - need)[good]
+            begin = self.first[k]
+            end = np.searchsorted(self.key, k * self.wide + np.clip(last, -1, self.wide - 1), side="right")
+            size = np.maximum(end - begin, 0)
+            self.skipped += len(good) - int((size > 0).sum())
+            self.cut += int((np.append(self.first, len(self.own))[k + 1] - begin - size)[size > 0].sum())
+            for c, d in _runs(size, most):
+                part = size[c:d]
+                yield np.repeat(i[c:d], part), np.arange(int(part.sum())) - np.repeat(np.cumsum(part) - part, part) + np.repeat(begin[c:d], part)
+
+
+def _runs(count: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Slices of an array of counts, each of about `most` altogether (one count may be more)."""
+    ends = np.cumsum(count)
+    a = 0
+    while a < len(count):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
 def _pairs(rule: Rule, mode: str, salt: int):
     """Pairs of classes from the lists of one range, that neither sizes, positions nor bitmaps refute: with the list's leader, with random
     partners, or all."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        o, d, n, pos, c = (table[k].to_numpy() for k in ("o", "d", "n", "pos", "c"))
-        order = np.lexsort((d, n, o))
-        o, d, n, pos, c = o[order], d[order], n[order], pos[order], c[order]
-        maps = Bitmaps([b.as_py() for b in table["bits"].take(pa.array(order))])
-        first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-        size = np.diff(np.append(first, len(o)))
-        base, length = np.repeat(first, size), np.repeat(size, size)
-        here = np.arange(len(o))
+        o, d, m, n, pos, c = (table[k].to_numpy() for k in ("o", "d", "m", "n", "pos", "c"))
+        blocks = Blocks(rule, o, n, c, pos) if mode == "all" else None
+        order = blocks.order if blocks else np.lexsort((d, n, o))
+        o, d, m, n, pos, c = o[order], d[order], m[order], n[order], pos[order], c[order]
+        maps = Bitmaps(table["bits"].take(pa.array(order)).to_pylist())
         found: list[np.ndarray] = []
 
-        def take(i, j):
-            ok = _allowed(rule, n[i], pos[i], n[j], pos[j], c[i], c[j])
-            i, j = i[ok], j[ok]
+        def take(i, j, checked=False):
+            if checked:
+                first = (m[i] != m[j]) | (pos[i] == 0) | (pos[j] == 0)  # others meet in the list of the element that both have before
+                i, j = i[first], j[first]
+            else:
+                ok = _allowed(rule, n[i], pos[i], n[j], pos[j], c[i], c[j])
+                i, j = i[ok], j[ok]
             total = n[i] + n[j]
             near = maps.distance(i, j) <= total - 2 * rule.overlap(total)
             x, y = d[i[near]], d[j[near]]
-            found.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
-
-        if mode == "star":
-            mix = hs.mixed(d.astype(_U))
-            by = np.lexsort((mix, o))
-            take(here, np.repeat(by[first], size))
-        elif mode == "random":
-            for k in range(PARTNERS):
-                r = hs.mixed(d.astype(_U) ^ hs.mixed(o.astype(_U) + _U(salt * PARTNERS + k + 1)))
-                take(here, base + (r % length.astype(_U)).astype(np.int64))
-        else:
-            step, i = 1, here
-            while len(i):  # a list is sorted by size: past the first entry that is too large, the rest of it is skipped
-                i = i[(i - base[i]) + step < length[i]]
-                i = i[DEN * n[i] >= rule.num * n[i + step]]
-                if len(i):
-                    take(i, i + step)
-                step += 1
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=_PAIR)
+            found.append(_distinct_pairs(np.minimum(x, y), np.maximum(x, y)))
+
+        if mode == "all":
+            for i, j in blocks.pairs():
+                take(i, j, True)
+        elif len(o):
+            first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+            size = np.diff(np.append(first, len(o)))
+            base, length = np.repeat(first, size), np.repeat(size, size)
+            here = np.arange(len(o))
+            if mode == "star":
+                by = np.lexsort((hs.mixed(d.astype(_U)), o))
+                take(here, np.repeat(by[first], size))
+            else:
+                for k in range(PARTNERS):
+                    r = hs.mixed(d.astype(_U) ^ hs.mixed(o.astype(_U) + _U(salt * PARTNERS + k + 1)))
+                    take(here, base + (r % length.astype(_U)).astype(np.int64))
+        both = _distinct_pairs(*np.concatenate(found, axis=1)) if found else np.zeros((2, 0), np.int64)
+        return pa.Table.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=_PAIR)
 
     return run
 
 
+def _distinct_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, bool)
+    return np.stack((x[new], y[new]))
+
+
 def _judge(rule: Rule):
     """0: no link, 1: link, 2: to be counted; of pairs with sizes and distances to a common leader."""
     total = F.col("nx") + F.col("ny")
@@ -293,37 +373,44 @@ class SetJoin:
         self.box = self.spark.sparkContext.broadcast(frequency_classes(docs, rule.width))
         parts = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(docs) // RANGE_BYTES)
         sql = "kind tinyint, part bigint, data binary, doc_id bigint, k1 bigint, k2 bigint, n bigint, d bigint, bits binary"
-        out = common.staged(self.docs.select("doc_id", "k1", "k2", "text").mapInArrow(_emit(self.box, parts, rule), sql), "sets")
+        out = common.staged(self.docs.select("doc_id", "k1", "k2", "text").mapInArrow(_emit(self.box, parts, rule), sql), "sets", "kind")
         self.rows_ = out.where("kind = 1").select("doc_id", "k1", "k2", "n", "d", "bits")
-        lists = out.where("kind = 0").select("part", "data").groupBy("part").applyInArrow(_lists, "part bigint, o bigint, d bigint, n bigint, pos bigint")
+        lists = out.where("kind = 0").select("part", "data").groupBy("part").applyInArrow(_lists, "part bigint, o bigint, d bigint, m bigint, pos bigint")
         self.entries = common.staged(lists, "set-lists")
         live = self.entries.select("d").distinct()
         # one row of each class that is in a list: its size, bitmap, and the key of a text that has it
         self.classes = common.staged(self.rows_.where("bits is not null").join(live, "d", "left_semi").groupBy("d").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.min(F.struct("k1", "k2")).alias("key")), "set-classes")
+        common.drop(out, "kind=0")
         self.near: DataFrame | None = None  # d, l, dist: a leader of a class and the distance to it
         self.tested: list[DataFrame] = []
-        self.links: list[DataFrame] = []
+        self.fresh: list[DataFrame] = []  # links that the labels don't know yet
+        self.labels: DataFrame | None = None
+        self.now = self.entries.withColumn("c", F.col("d"))
         common.release(self.spark)
 
-    def _with_components(self) -> DataFrame:
-        if not self.links:
-            return self.entries.withColumn("c", F.col("d"))
-        edges = self.links[0]
-        for x in self.links[1:]:
-            edges = edges.unionByName(x)
-        self.labels = common.staged(components(edges), "set-components")
-        return common.staged(self.entries.join(self.labels.select(F.col("node").alias("d"), "label"), "d", "left").withColumn("c", F.coalesce("label", "d")).drop("label"), "set-entries")
-
-    def _open(self, entries: DataFrame) -> tuple[int, int]:
+    def _relabel(self) -> None:
+        """Takes the new links into the components, and leaves the entries of lists that still have several of them."""
+        links = self.fresh[0]
+        for x in self.fresh[1:]:
+            links = links.unionByName(x)
+        before, self.labels = self.labels, extended(self.labels, links)
+        common.drop(before)
+        common.drop(self.fresh[-1])  # the counted pairs; the judged ones are asked again
+        self.fresh = []
+        last = self.now.drop("c")
+        named = last.join(self.labels.select(F.col("node").alias("d"), "label"), "d", "left").withColumn("c", F.coalesce("label", "d")).drop("label")
+        split = named.groupBy("part", "o").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("part", "o")
+        self.now = common.staged(named.join(split, ["part", "o"], "left_semi"), "set-entries")
+        common.drop(last)
+
+    def _open(self) -> tuple[int, int]:
         """Entries of lists with several components, and pairs of entries of different components in them."""
-        per = entries.groupBy("part", "o", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("part", "o").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"), F.count(F.lit(1)).alias("k"))
+        per = self.now.groupBy("part", "o", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("part", "o").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"), F.count(F.lit(1)).alias("k"))
         r = per.where("k > 1").agg(F.sum("m").alias("entries"), F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs")).first()
         return int(r.entries or 0), int(r.pairs or 0)
 
-    def _round(self, entries: DataFrame, mode: str, salt: int) -> None:
-        # only lists that still have classes of several components take part, with the bitmaps of their entries
-        split = entries.groupBy("part", "o").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("part", "o")
-        open_ = entries.join(split, ["part", "o"], "left_semi").join(self.classes.select("d", "bits"), "d")
+    def _round(self, mode: str, salt: int) -> None:
+        open_ = self.now.join(self.classes.select("d", "n", "bits"), "d")
         pairs = open_.groupBy("part").applyInArrow(_pairs(self.rule, mode, salt), "x bigint, y bigint").distinct()
         if self.tested:
             before = self.tested[0].select("x", "y")
@@ -335,7 +422,7 @@ class SetJoin:
         side = lambda k: about.select(F.col("d").alias(k), F.col("n").alias(f"n{k}"), F.col("l").alias(f"l{k}"), F.col("dist").alias(f"d{k}"))
         judged = common.staged(pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", _judge(self.rule).alias("verdict")), "set-judged")
         self.tested.append(judged)
-        self.links.append(judged.where("verdict = 1").select("x", "y"))
+        self.fresh.append(judged.where("verdict = 1").select("x", "y"))
         todo = judged.where("verdict = 2").select("x", "y")
         wanted = todo.select(F.col("x").alias("d")).unionByName(todo.select(F.col("y").alias("d"))).distinct()
         keys = wanted.join(self.classes, "d").select("d", "key.k1", "key.k2")
@@ -343,7 +430,7 @@ class SetJoin:
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in common.slices(batches, "text", 8 << 20):
-                found = [ordered(x, box.value).tobytes() for x in raw_sets(batch.column("text").to_pylist(), width)]
+                found = [ordered(x, box.value).tobytes() for x in raw_sets(batch.column("text"), width)]
                 yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(found, pa.binary())], ["d", "s"])
 
         texts = self.docs.select("k1", "k2", "text").join(keys, ["k1", "k2"]).select("d", "text")
@@ -352,26 +439,29 @@ class SetJoin:
             todo.join(sets.select(F.col("d").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("d").alias("y"), F.col("s").alias("sy")), "y").mapInArrow(_count(self.rule), "x bigint, y bigint, dist bigint, link boolean"),
             "set-counted",
         )
-        self.links.append(counted.where("link").select("x", "y"))
+        common.drop(sets)
+        self.fresh.append(counted.where("link").select("x", "y"))
         if mode == "star":
             both = counted.select(F.col("x").alias("d"), F.col("y").alias("l"), "dist").unionByName(counted.select(F.col("y").alias("d"), F.col("x").alias("l"), "dist"))
             self.near = common.staged(both.groupBy("d").agg(F.min(F.struct(F.xxhash64("l").alias("h"), "l", "dist")).alias("b")).select("d", "b.l", "b.dist"), "set-leaders")
         common.release(self.spark)
 
     def run(self) -> None:
-        self._round(self._with_components(), "star", 0)
-        entries = self._with_components()
+        self._round("star", 0)
+        self._relabel()
         before = None
         for k in range(ROUNDS):
-            held, pairs = self._open(entries)
+            held, pairs = self._open()
             # what a round hardly lessens are pairs that are no links: those are refuted where they stand
             if pairs <= OPEN_PAIRS * held or (before is not None and pairs > 0.7 * before):
                 break
             before = pairs
-            self._round(entries, "random", k)
-            entries = self._with_components()
-        self._round(entries, "all", 0)
-        self._with_components()
+            self._round("random", k)
+            self._relabel()
+        self._round("all", 0)
+        self._relabel()
+        for t in (self.now, self.classes, *self.tested, self.near):
+            common.drop(t)
 
     def rows(self) -> DataFrame:
         """doc_id, k1, k2, n_shingles, component_id, group (null: empty set) of every row of the table."""
@@ -392,17 +482,17 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def survivors(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:
     """The rows of docs, with all columns, of which each component keeps one: the smallest doc_id, null last. Empty sets all stay."""
     found = common.staged(SetJoin(docs, rule).rows(), "set-components")
-    alone = found.where("n_shingles = 0").select("k1", "k2")
+    alone = found.where("n_shingles = 0").select("k1", "k2").distinct()
     best = found.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("b")).select("b.k1", "b.k2")
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_k2": F.xxhash64(text)})
-    kept = best.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    # the caller's columns travel in one struct, so that no name of theirs meets one of ours
+    marked = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("k1"), F.xxhash64(text).alias("k2"))
     same = found.where("n_shingles > 0").groupBy("k1", "k2").count().where("count > 1").limit(1).count()
-    out = marked.join(kept, ["_k1", "_k2"], "left_semi")
+    out = marked.join(best, ["k1", "k2"], "left_semi")
     if same:  # equal rows: one of them
-        out = out.dropDuplicates(["_k1", "_k2"])
-    blank = marked.join(alone.distinct().select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), ["_k1", "_k2"], "left_semi")
-    return out.unionByName(blank).drop("_k1", "_k2")
+        out = out.dropDuplicates(["k1", "k2"])
+    blank = marked.join(alone, ["k1", "k2"], "left_semi")
+    return out.unionByName(blank).select("row.*")
 
 
 def op10_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:

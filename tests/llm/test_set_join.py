@@ -70,9 +70,9 @@ def test_by_brute_force(spark):
 
 def test_survivors(spark):
     rows = [r for r in corpus() if r[0] not in (8, None)] + [(8, "a b c"), (8, "a b c")]
-    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, k1 string, n int").repartition(3)
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, _k1 string, k2 int").repartition(3)
     out = sj.survivors(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and {(r._k1, r.k2) for r in out.collect()} == {("clash", 1)}
     want = {c for k, n, c in brute(rows, 5, 80) if n} | {k for k, n, _ in brute(rows, 5, 80) if not n}
     assert sorted(r.doc_id for r in out.collect()) == sorted(want)
 
@@ -96,12 +96,55 @@ def test_components(spark):
 def test_bounds(a, b):
     pack = lambda s: np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     if a and b:
-        maps = sj.Bitmaps([sj.bitmap(pack(a)), sj.bitmap(pack(b))])
+        rule = sj.Rule()
+        maps = sj.Bitmaps([sj.bitmap(pack(x), rule.bits(len(x))) for x in (a, b)])
         assert maps.distance(np.array([0, 1]), np.array([1, 1])).tolist() == [maps.distance(np.array([1]), np.array([0]))[0], 0]
         assert maps.distance(np.array([0]), np.array([1]))[0] <= len(a ^ b)
         linked = 100 * len(a & b) >= 90 * len(a | b)
-        rule = sj.Rule()
         assert linked == (len(a & b) >= rule.overlap(len(a) + len(b)))
         if linked:
             order = sorted(a | b)
             assert set([x for x in order if x in a][: rule.prefix(len(a))]) & set([x for x in order if x in b][: rule.prefix(len(b))])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 60), st.integers(0, 3), st.integers(0, 7)), max_size=40))
+def test_blocks_leave_out_nothing(entries):
+    rule = sj.Rule()
+    o, n, c, pos = np.array([(o, n, c, min(p, n - 1)) for o, n, c, p in entries], np.int64).reshape(-1, 4).T
+    blocks = sj.Blocks(rule, o, n, c, pos)
+    got = [tuple(sorted(map(int, blocks.order[[a, b]]))) for i, j in blocks.pairs(16) for a, b in zip(i, j, strict=True)]
+    want = [(i, j) for i in range(len(o)) for j in range(i + 1, len(o)) if o[i] == o[j] and sj._allowed(rule, n[i], pos[i], n[j], pos[j], c[i], c[j])]
+    assert sorted(got) == want
+
+
+def test_blocks_are_skipped():
+    n = np.repeat([100, 105, 150], 50)
+    pos = np.tile(np.arange(50) % 12, 3)
+    blocks = sj.Blocks(sj.Rule(), np.zeros(150, np.int64), n, np.arange(150) // 50 % 2, pos)
+    found = sum(len(i) for i, _ in blocks.pairs())
+    assert 0 < found < 50 * 50 and blocks.skipped > 0 and blocks.cut > 0
+
+
+def test_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from pagelattice.llm import common
+
+    root = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    df = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    sj.join(df).count()
+    left = {p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before}
+    assert left <= {"sets", "set-lists", "labels", "cc-labels", "set-result", "set-judged", "set-counted"}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 50), unique=True, max_size=20), st.lists(st.integers(0, 50), unique=True, max_size=20))
+def test_least_before_tells_of_an_earlier_meeting(a, b):
+    a, b = np.array(sorted(a), np.uint64), np.array(sorted(b), np.uint64)
+    la, lb = sj._least_before(a), sj._least_before(b)
+    for i in range(1, len(a)):
+        for j in range(1, len(b)):
+            if la[i] == lb[j]:
+                assert set(a[:i].tolist()) & set(b[:j].tolist())
