@@ -5,8 +5,8 @@ document is a slice of the SHA-256 of its id under one of eight seeds; for each
 comes nearest to the target, so reruns agree and totals stay close. A document is never split.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a source of size 0 has target 0
-and takes nothing; repeated doc_ids draw alike; an empty table gives an empty result; further columns are ignored by mix() and
-kept by repeated().
+and takes nothing; repeated doc_ids draw alike, and rows without doc_id by their texts; an empty table gives an empty result; further
+columns are ignored by mix() and kept by repeated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -49,12 +49,16 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return s.select("_key", "source_size", F.when(full, F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({
-        "_size": word_count(F.col("text")),
-        "_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
-        "_hash": F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), 256),
-    })
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, _size, _key, _hash and source of each row, and further columns. The caller's columns keep clear of these names in a struct."""
+    return docs.select(
+        "doc_id",
+        "source",
+        word_count(F.col("text")).alias("_size"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_key"),
+        F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text")), F.lit("")).cast("binary"), 256).alias("_hash"),
+        *more,
+    )
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -73,30 +77,26 @@ def _with(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sources) if small else sources, "_key")
 
 
-def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """docs with _size, source_size, target and copies (0, 1 or 2 with the usual cap) of each row."""
-    sized = _sized(docs)
-    # only these narrow rows are kept: the texts are read once for the sums and once for the result
-    narrow = common.staged(sized.select("_key", "source", "_size", "_hash"), "mix-sizes")
-    with_plan = _with(sized, plan(narrow, weights, share, cap))
+def _taken() -> Column:
+    """How often a row with its source's rate and seed is taken."""
     draws = F.element_at(F.array(*(_draw(k) for k in range(SEEDS))), F.col("seed") + 1)
-    n = F.floor("rate") + (draws < F.col("rate") - F.floor("rate")).cast("bigint")
-    return with_plan.withColumn("_copies", n.cast("bigint"))
+    return (F.floor("rate") + (draws < F.col("rate") - F.floor("rate")).cast("bigint")).cast("bigint")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row."""
-    narrow = docs.select("doc_id", "source", F.col("text"))
-    sized = common.staged(_sized(narrow).select("doc_id", "source", "_size", "_key", "_hash"), "mix-sizes")
-    draws = F.element_at(F.array(*(_draw(k) for k in range(SEEDS))), F.col("seed") + 1)
-    n = (F.floor("rate") + (draws < F.col("rate") - F.floor("rate")).cast("bigint")).cast("bigint")
-    return _with(sized, plan(sized, weights, share, cap)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * n).alias("taken"))
+    sized = common.staged(_sized(docs), "mix-sizes")
+    with_plan = _with(sized, plan(sized, weights, share, cap))
+    return with_plan.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * _taken()).alias("taken"))
 
 
 def repeated(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken (a row is at most ceil(cap) rows)."""
-    out = copies(docs, weights, share, cap).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    # only narrow rows are kept: the texts are read once for the sums and once for the result
+    narrow = common.staged(_sized(docs), "mix-sizes")
+    with_plan = _with(_sized(docs, F.struct("*").alias("_own")), plan(narrow, weights, share, cap))
+    out = with_plan.select("_own", _taken().cast("int").alias("_copies")).where("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_own.*")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ def oracle(documents: str = "documents") -> str:
     return rf"""
 WITH d0 AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         coalesce('s' || source, 'n') AS k, sha256(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         coalesce('s' || source, 'n') AS k, sha256(coalesce(CAST(doc_id AS VARCHAR), 'text ' || text, '')) AS h
   FROM {documents}),
 d AS (SELECT {draws} doc_id, source, size, k FROM d0),
 t AS (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY k),

@@ -80,3 +80,44 @@ def test_mix_targets_and_copies(spark):
 def test_mix_of_nothing(spark):
     assert sm.mix(rows(spark, [])).count() == 0
     assert [r.taken for r in sm.mix(rows(spark, [(1, "", "a"), (2, None, None)])).collect()] == [0, 0]
+
+
+def test_counts_over_many_batches(spark):
+    index = dd.new_index(spark, 4)
+    for k in range(1, 5):
+        (r,) = dd.dedup(rows(spark, [(k, "a" + " " * k, "x")]), index).collect()
+        assert (r.keep_id, r.group_size, r.kept) == (1, k, k == 1)
+    assert spark.table(index.name).count() == 4
+
+
+def test_batches_give_what_one_does(spark):
+    data = [(i % 37 if i % 11 else None, "ab "[i % 3] * (i % 5) + " " * (i % 7), "x") for i in range(200)]
+    one = dd.dedup(rows(spark, data), dd.new_index(spark, 4)).collect()
+    out = dd.dedup_in_batches(rows(spark, data), dd.new_index(spark, 4), 3).collect()
+    key = lambda r: (str(r.doc_id), r.keep_id, r.group_size, r.text_sha256)
+    assert sorted(map(key, one)) == sorted(map(key, out))
+    assert sum(r.kept for r in one) == sum(r.kept for r in out) == len({r.text_sha256 for r in out})
+    assert all(r.doc_id == r.keep_id for r in out if r.kept)
+
+
+def test_names_of_the_caller_stay(spark):
+    names = ["row", "own", "_row", "digest", "best", "n", "target", "rate", "seed", "source_size", "_size", "_hash", "_key", "_copies", "_own", "taken"]
+    data = [(i, f"word {i % 4}", "s", *range(len(names))) for i in range(8)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for out in (dd.survivors(df, dd.new_index(spark, 4)), sm.repeated(df)):
+        assert out.columns == df.columns and {tuple(r)[3:] for r in out.collect()} == {tuple(range(len(names)))}
+    assert dd.survivors(df, dd.new_index(spark, 4)).count() == 4
+
+
+def test_rows_without_id_draw_by_text(spark):
+    data = [(None, f"w {i}", "a") for i in range(400)] + [(i, "w w", "b") for i in range(400)]
+    out = sm.mix(rows(spark, data)).collect()
+    taken, target = sum(r.taken for r in out if r.doc_id is None), next(r.target for r in out if r.doc_id is None)
+    assert abs(taken - target) <= 0.05 * target
+
+
+def test_a_very_long_text(spark):
+    data = [(1, "ab " * 400_000, "a"), (2, "ab" * 400_000, "a"), (3, "x", "a")]
+    out = {r.doc_id: r for r in dd.dedup(rows(spark, data), dd.new_index(spark, 4)).collect()}
+    assert (out[2].keep_id, out[2].group_size, out[1].kept) == (1, 2, True)
+    assert {r.doc_id: r["size"] for r in sm.mix(rows(spark, data)).collect()} == {1: 400_000, 2: 1, 3: 1}
