@@ -11,7 +11,6 @@ stand in order of their texts; an empty table gives an empty result; further col
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +28,31 @@ from . import range_coder as rc
 END = 2
 #: Ids in a segment, about; bytes of input in a part; words that a worker remembers.
 SEGMENT, PART_BYTES, MEMO = 6_000_000, 8 << 20, 500_000
-#: White space that surely parts words of the vocabulary file; all else is left to the library.
-_WORDS = re.compile("[^ \t\n\r]+").findall
+#: Words that go to the library in one call.
+CALL = 20_000
+
+
+#: What a byte is for the cuts between words: an ASCII letter or digit, an ASCII sign other than the apostrophe, or neither.
+_PLAIN, _SIGN, _ELSE = 1, 2, 0
+_KIND = np.array([_ELSE if b >= 128 or b == 39 else _PLAIN if chr(b).isalnum() else _SIGN if 32 < b < 127 else _ELSE for b in range(256)], np.int8)
+
+
+def units(texts: pa.Array | list, special: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The units of all texts, ASCII letters in lower case, and how many of them each text has: words, cut between ASCII letters or
+    digits and ASCII signs, where the vocabulary's pattern always cuts and no normal form joins. Where a text of the slice has a special
+    token, which stands for itself as it is written, the units are the words as they are."""
+    sizes, found = hs.words(texts, lower=True)
+    raw = hs.flat(texts)[0].tobytes().lower()
+    if any(x.lower() in raw for x in special):
+        return hs.words(texts)
+    _, at, data = found.buffers()
+    data, at = np.frombuffer(data, np.uint8), np.frombuffer(at, np.int32, len(found) + 1)
+    kind = _KIND[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[at] = True
+    cut[1:-1] |= kind[1:] * kind[:-1] == _PLAIN * _SIGN
+    edges = np.flatnonzero(cut) if len(data) else np.zeros(1, np.int64)
+    return np.diff(np.searchsorted(edges, at[np.concatenate(([0], np.cumsum(sizes)))])), hs.tiles(data, edges)
 
 
 class Encoder:
@@ -43,22 +65,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end: int = END) -> tuple[np.ndarray, np.ndarray]:
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        self.ids, self.starts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Puts words into the memo. They are encoded as one text, a word a line; offsets tell whose each id is."""
+        for a in range(0, len(words), CALL):
+            part = words[a : a + CALL]
+            text = b"\n".join(part).decode()
+            e = self.library.encode(text, add_special_tokens=False)
+            ids = np.array(e.ids, np.int64)
+            begin = np.array([x for x, _ in e.offsets], np.int64)
+            ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10)
+            counts = np.bincount(np.searchsorted(ends, begin, side="right"), minlength=len(part))
+            for i, w in enumerate(part):
+                self.rows[w] = len(self.starts) - 1 + i
+            self.ids = np.concatenate((self.ids, ids.astype(np.uint16)))
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
+
+    def encode(self, texts: pa.Array | list, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, with the end id, and all ids."""
-        split = [_WORDS(t) for t in texts]
-        new = list(set().union(*split).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(set().union(*split))
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, np.uint16).tobytes()
-        memo, last = self.memo, np.array([end], np.uint16).tobytes()
-        data = [b"".join([memo[w] for w in ws]) + last for ws in split]
-        return np.array([len(d) // 2 for d in data], np.int64), np.frombuffer(b"".join(data), np.uint16)
+        sizes, found = units(texts, self.special)
+        coded = found.dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in known if w not in self.rows]
+        if len(self.rows) + len(new) > MEMO:
+            self._forget()
+            new = known
+        self._learn(new)
+        of = self.rows
+        rows = np.fromiter((of[w] for w in known), np.int64, len(known))[coded.indices.to_numpy(zero_copy_only=False)]
+        n = (self.starts[1:] - self.starts[:-1])[rows]
+        begin = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.arange(begin[-1]) + np.repeat(self.starts[rows] - begin[:-1], n)]
+        stops = begin[np.cumsum(sizes)]
+        return np.diff(stops, prepend=0) + 1, np.insert(ids, stops, np.uint16(end))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -95,7 +140,7 @@ def write(docs: DataFrame, path: str) -> DataFrame:
                 ids, sizes, tokens = ids[n:], sizes[n:], tokens[k:]
 
         for batch in common.slices(batches, "text", 8 << 20):
-            s, t = encoder(path).encode(batch.column("text").to_pylist())
+            s, t = encoder(path).encode(batch.column("text"))
             ids, sizes, tokens = ids + batch.column("doc_id").to_pylist(), np.concatenate((sizes, s)), np.concatenate((tokens, t))
             for r in rows_of(SEGMENT):
                 yield hs.batch_of([r], _SEGMENT)

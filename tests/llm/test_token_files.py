@@ -12,7 +12,7 @@ from pagelattice.llm import token_files as tf
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-ODD = ["", " ", "Hello  WORLD's 123", "é é ́x ΑΣ Σ ΌΣΟΣ.", "a b　c\x1cd\x85e", "x<|endoftext|>y <|startoftext|>", "漢字 🎉 İstanbul ẞ", "a\r\nb\tc\x0bd"]
+ODD = ["", " ", "<|ENDOFTEXT|> Q", "(a)b.c,D;e-f ..x9?!\u0301z", "Hello  WORLD's 123", "é é ́x ΑΣ Σ ΌΣΟΣ.", "a b　c\x1cd\x85e", "x<|endoftext|>y <|startoftext|>", "漢字 🎉 İstanbul ẞ", "a\r\nb\tc\x0bd"]
 
 
 @settings(max_examples=40, deadline=None)
