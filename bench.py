@@ -9,7 +9,7 @@ import time
 from pagelattice.plans import catalog
 from pagelattice.session import local_session
 
-HEADLINE = ("page_text", "search_phrase", "search_by_page", "words_from_letters", "hit_boxes", "nearest_line_point", "selection_text", "peak_histogram_events", "url_extract", "outline_flatten", "annotations_kept")
+HEADLINE = ("page_text", "search_phrase", "search_by_page", "words_from_letters", "hit_boxes", "nearest_line_point", "selection_text", "peak_histogram_events", "url_extract", "outline_flatten", "annotations_kept", "priority_schedule", "notification_suppress", "token_spacing", "ordinals", "letter_places")
 
 
 def main() -> None:

@@ -31,6 +31,25 @@ def nearest_line(points: DataFrame, lines: DataFrame, y_weight: float = 4.0) ->
     return both.groupBy("p.doc_id", "p.page_no", "p.x", "p.y").agg(best).select("doc_id", "page_no", "x", "y", "m.line_idx", "m.dist", "m.past_end")
 
 
+def nearest_line_in_row(paged: DataFrame, y_weight: float = 4.0) -> DataFrame:
+    """nearest_line() of pages (doc_id, page_no, x, y, lines: array of line_idx and box), without a shuffle. Pages whose point falls before
+    all lines go."""
+
+    def near(a):
+        s = G.projection(F.col("x"), F.col("y"), a["left"], a["bottom"], a["right"], a["bottom"])
+        nx = F.when(s > 1, a["right"]).otherwise(a["left"] + s * (a["right"] - a["left"]))
+        return F.when(s >= 0, F.struct(G.euclidean(F.col("x"), F.col("y"), nx, a["bottom"], 1.0, y_weight).alias("dist"), a["line_idx"].alias("line_idx"), (s >= 1).alias("past_end")))
+
+    best = paged.withColumn("m", F.array_min(F.transform("lines", near))).where("m is not null")
+    return best.select("doc_id", "page_no", "x", "y", "m.line_idx", "m.dist", "m.past_end")
+
+
+def under_in_row(paged: DataFrame, boxes: str = "words") -> DataFrame:
+    """under() of pages (doc_id, page_no, x, y, boxes: array with box), without a shuffle: `idx` is the place of the first box that holds the point."""
+    hit = F.transform(boxes, lambda b: G.in_box(F.col("x"), F.col("y"), b["left"], b["top"], b["right"], b["bottom"]))
+    return paged.select("doc_id", "page_no", "x", "y", (F.array_position(hit, True) - 1).cast("int").alias("idx")).where("idx >= 0")
+
+
 def nearest_word(points: DataFrame, words: DataFrame) -> DataFrame:
     """points (with line_idx) with the word of that line whose lower left or right corner is nearest."""
     d = lambda c: G.euclidean(F.col("p.x"), F.col("p.y"), F.col(f"w.{c}"), F.col("w.bottom"))

@@ -1,7 +1,7 @@
 """Nearest-neighbour joins within a page, as bucketed equi-joins and rank filters.
 
-1-NN has a radius beyond which a link is refused anyway, so a grid of that size with its 3 x 3 neighbours finds every link
-without a page-wide join. k-NN for spacing has no radius; it joins within a page, whose size bounds the work.
+1-NN has a radius beyond which a link is refused anyway, so a grid of twice that size finds every link without a page-wide join; pivots
+go to the one to four cells that they reach, candidates stay single. k-NN for spacing has no radius; it joins within a page, whose size bounds the work.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ def nearest(letters: DataFrame, radius: float, limit: Callable[[str, str], Colum
 
     letters: doc_id, page_no, orientation, seq, value, sx, sy, ex, ey, and what limit(a, b) reads. The nearest letter is chosen first;
     if it may not be linked (blank, punctuation, too far) there is no link: the next nearest is not tried."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("bigint")
-    a = letters.where(~links_to_nothing(F.col("value"))).alias("a").withColumns({"gx": cell("ex"), "gy": cell("ey")}).alias("a")
-    b = letters.withColumns({"_x": cell("sx"), "_y": cell("sy")})
-    b = b.withColumn("gx", F.explode(F.sequence(F.col("_x") - 1, F.col("_x") + 1))).withColumn("gy", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1))).alias("b")
+    # cells twice as wide as the radius: a candidate is in one, what a pivot reaches in at most two each way
+    cell = lambda c, off=0.0: F.floor((F.col(c) + off) / (2 * radius)).cast("bigint")
+    reach = lambda c: F.explode(F.array_distinct(F.array(cell(c, -radius), cell(c, radius))))
+    a = letters.where(~links_to_nothing(F.col("value"))).withColumn("gx", reach("ex")).withColumn("gy", reach("ey")).alias("a")
+    b = letters.withColumns({"gx": cell("sx"), "gy": cell("sy")}).alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("doc_id", "page_no", "orientation", "gx", "gy")]
     pairs = a.join(b, [*on, F.col("a.seq") != F.col("b.seq")])
     dist = distance(F.col("a.ex"), F.col("a.ey"), F.col("b.sx"), F.col("b.sy"))

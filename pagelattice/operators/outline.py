@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def from_headings(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -18,13 +20,40 @@ def from_headings(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     return flat.select("doc_id", F.col("n.i").alias("node_id"), parent.alias("parent_id"), sibling.alias("ord"), F.col("n.level").alias("level"), F.col("n.title").alias("title"))
 
 
-def flatten(outline: DataFrame, depth: int = 64) -> DataFrame:
-    """outline (doc_id, node_id, parent_id, title, ...) with depth from 0 and path of node ids, down to `depth` levels."""
-    outline.createOrReplaceTempView("_outline")
-    walked = outline.sparkSession.sql(f"""
-        WITH RECURSIVE t(doc_id, node_id, depth, path) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT doc_id, node_id, 0, array(node_id) FROM _outline WHERE parent_id IS NULL
-          UNION ALL
-          SELECT o.doc_id, o.node_id, t.depth + 1, concat(t.path, array(o.node_id)) FROM _outline o JOIN t ON o.doc_id = t.doc_id AND o.parent_id = t.node_id)
-        SELECT * FROM t""")
-    return outline.join(walked, ["doc_id", "node_id"])
+def walk(nodes: list, parents: list) -> list[tuple[int, list] | None]:
+    """Depth and path of ids of each node; None for what hangs on no root. Any depth, in any order."""
+    place = {n: i for i, n in enumerate(nodes)}
+    out: list[tuple[int, list] | None] = [None] * len(nodes)
+    done = [False] * len(nodes)
+    for i in range(len(nodes)):
+        up, k, seen = [], i, set()
+        while k is not None and not done[k] and k not in seen:
+            seen.add(k)
+            up.append(k)
+            k = None if parents[k] is None else place.get(parents[k], -1)
+            if k == -1:
+                break
+        root = k is None
+        base = out[k] if k not in (None, -1) and done[k] else None
+        for j in reversed(up):
+            if root or base:
+                base = (base[0] + 1, [*base[1], nodes[j]]) if base else (0, [nodes[j]])
+                out[j] = base
+            done[j] = True
+    return out
+
+
+def flatten(outline: DataFrame) -> DataFrame:
+    """outline (doc_id, node_id, parent_id, title, ...) with depth from 0 and path of node ids.
+
+    One exchange: the nodes of a document are walked together. Nodes that hang on no root (a missing parent, a circle) go."""
+    more = T.StructType(outline.schema.fields + [T.StructField("depth", T.IntegerType()), T.StructField("path", T.ArrayType(outline.schema["node_id"].dataType))])
+
+    def run(t: pa.Table) -> pa.Table:
+        found = walk(t["node_id"].to_pylist(), t["parent_id"].to_pylist())
+        kept = [x is not None for x in found]
+        node = t.schema.field("node_id").type
+        t = t.append_column("depth", pa.array([x and x[0] for x in found], pa.int32())).append_column("path", pa.array([x and x[1] for x in found], pa.list_(node)))
+        return t.filter(pa.array(kept))
+
+    return outline.groupBy("doc_id").applyInArrow(run, more)

@@ -30,20 +30,20 @@ def cleaned(query: str) -> tuple[str, int]:
     return out, out.count(" ") + 1 - out.startswith(" ") - (out.endswith(" ") and len(out) > 1)
 
 
-def search(texts: DataFrame, query: str) -> DataFrame:
-    """doc_id, page_no, word_idx, word_count, char_pos, sample of every hit; no hit overlaps one before it."""
+def search(texts: DataFrame, query: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, page_no, word_idx, word_count, char_pos, sample of every hit, and columns of its page to keep; no hit overlaps one before it."""
     q, n = cleaned(query)
     if not q:
-        return texts.limit(0).select("doc_id", "page_no", F.lit(0).alias("word_idx"), F.lit(0).alias("word_count"), F.lit(0).alias("char_pos"), F.lit("").alias("sample"))
+        return texts.limit(0).select("doc_id", "page_no", F.lit(0).alias("word_idx"), F.lit(0).alias("word_count"), F.lit(0).alias("char_pos"), F.lit("").alias("sample"), *keep)
     low = q.lower()
     # pieces between hits: a hit stands after the pieces before it and as many queries
     pieces = F.split(F.lower("text"), literal(low), -1)
     sizes = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), F.length)
     ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda a, s: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)) + len(low), F.lit(0)) + s)))
-    hits = texts.where(F.lower("text").contains(low)).select("doc_id", "page_no", "text", F.explode(ends).alias("char_pos"))
+    hits = texts.where(F.lower("text").contains(low)).select("doc_id", "page_no", "text", F.explode(ends).alias("char_pos"), *keep)
     before = F.substr("text", F.lit(1), F.col("char_pos"))
     word = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
-    return hits.select("doc_id", "page_no", word.alias("word_idx"), F.lit(n).alias("word_count"), "char_pos", T.sample(F.col("text"), F.col("char_pos")).alias("sample"))
+    return hits.select("doc_id", "page_no", word.alias("word_idx"), F.lit(n).alias("word_count"), "char_pos", T.sample(F.col("text"), F.col("char_pos")).alias("sample"), *keep)
 
 
 def by_page(hits: DataFrame) -> DataFrame:
@@ -58,6 +58,14 @@ def hit_boxes(hits: DataFrame, words: DataFrame) -> DataFrame:
     return spread.join(words, ["doc_id", "page_no", "word_idx"]).select("doc_id", "page_no", "hit", "word_idx", "left", "top", "right", "bottom")
 
 
+def boxes_in_row(paged: DataFrame, query: str) -> DataFrame:
+    """hit_boxes() of pages (doc_id, page_no, words: array with value and box), without a shuffle: each box is taken by its place."""
+    texts = paged.withColumn("text", F.array_join(F.transform("words", lambda w: w["value"]), " "))
+    hits = search(texts, query, ("words",))
+    spread = hits.select("doc_id", "page_no", F.col("word_idx").alias("hit"), "words", F.explode(F.sequence(F.col("word_idx"), F.col("word_idx") + F.col("word_count") - 1)).alias("word_idx"))
+    return spread.withColumn("w", F.get("words", F.col("word_idx"))).select("doc_id", "page_no", "hit", "word_idx", "w.left", "w.top", "w.right", "w.bottom")
+
+
 def unsearched(pages: DataFrame, hits: DataFrame) -> DataFrame:
     """Pages that have no hit yet."""
     return pages.join(hits.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,3 +60,8 @@ def by_clicks(words: DataFrame, clicks: int, at: DataFrame) -> DataFrame:
     level = {2: "word_idx", 3: "line_idx", 4: "block_idx"}[clicks]
     hit = words.join(at, ["doc_id", "page_no", "word_idx"], "left_semi").select("doc_id", "page_no", level)
     return words.join(hit, ["doc_id", "page_no", level], "left_semi")
+
+
+def projected(words: DataFrame, full: Callable[[DataFrame], Column], partial: Callable[[DataFrame], Column], name: str = "value") -> DataFrame:
+    """selected_words() with a column of the caller's: `full` of words that are taken whole, `partial` of the others."""
+    return words.withColumn(name, F.when(F.col("partial"), partial(words)).otherwise(full(words)))

@@ -105,7 +105,7 @@ def search_by_page(spark, sf_dir):
 
 @query(_with(_LETTERS, _WORDS, _PAGES, _HITS) + 'SELECT h.doc_id, h.page_no, h.word_idx AS hit, w.word_idx, "left", top, "right", bottom FROM found h JOIN words w ON w.doc_id = h.doc_id AND w.page_no = h.page_no AND w.word_idx BETWEEN h.word_idx AND h.word_idx + word_count - 1')
 def hit_boxes(spark, sf_dir):
-    return search.hit_boxes(search.search(_texts(spark, sf_dir), PHRASE), _words(spark, sf_dir))
+    return search.boxes_in_row(L.boxed(L.words(_pages(spark, sf_dir))), PHRASE)
 
 
 @query(_with(_LETTERS, _WORDS, _PAGES, _HITS) + "SELECT doc_id, page_no::INT AS page_no, length(text)::INT AS n FROM page_text ANTI JOIN found USING (doc_id, page_no)")
@@ -211,15 +211,15 @@ def ordinals(spark, sf_dir):
 _POINTS = "points AS (SELECT doc_id, page_no, 240.0 + 6 * (doc_id % 7) AS x, 14.0 * (page_no % 20) - 5 AS y FROM (SELECT DISTINCT doc_id, page_no FROM words))"
 
 
-def _points(words):
-    return words.select("doc_id", "page_no").distinct().select("doc_id", "page_no", (240.0 + 6 * (F.col("doc_id") % 7)).cast("double").alias("x"), (14.0 * (F.col("page_no") % 20) - 5).cast("double").alias("y"))
+def _pointed(paged):
+    """Pages with a point."""
+    return paged.withColumns({"x": (240.0 + 6 * (F.col("doc_id") % 7)).cast("double"), "y": (14.0 * (F.col("page_no") % 20) - 5).cast("double")})
 
 
 @query(_with(_LETTERS, _WORDS, _POINTS) + 'SELECT p.doc_id, p.page_no::INT AS page_no, p.x::DOUBLE AS x, p.y::DOUBLE AS y, min(word_idx) AS word_idx FROM points p JOIN words w ON w.doc_id = p.doc_id AND w.page_no = p.page_no AND x BETWEEN "left" AND "right" AND y BETWEEN top AND bottom GROUP BY ALL')
 def point_in_box(spark, sf_dir):
     """The word under a point of each page."""
-    w = _words(spark, sf_dir)
-    return lookup.under(_points(w), w, "word_idx")
+    return lookup.under_in_row(_pointed(L.boxed(L.words(_pages(spark, sf_dir))))).withColumnRenamed("idx", "word_idx")
 
 
 @query(
@@ -230,8 +230,7 @@ def point_in_box(spark, sf_dir):
   QUALIFY row_number() OVER (PARTITION BY doc_id, page_no ORDER BY sqrt((x - nx) * (x - nx) + 4.0 * (y - bottom) * (y - bottom)), line_idx) = 1"""
 )
 def nearest_line_point(spark, sf_dir):
-    w = _lined(spark, sf_dir)
-    return lookup.nearest_line(_points(w), lookup.lines(w)).withColumn("dist", F.round("dist", 6))
+    return lookup.nearest_line_in_row(_pointed(L.line_boxes(_pages(spark, sf_dir)))).withColumn("dist", F.round("dist", 6))
 
 
 _TOKENS = r"""
@@ -251,7 +250,8 @@ def token_spacing(spark, sf_dir):
 def selection_text(spark, sf_dir):
     """Every document selected as a whole, from its first letter to its last, and reflowed."""
     w = _lined(spark, sf_dir)
-    ends = w.groupBy("doc_id").agg(F.max(F.struct("page_no", "word_idx")).alias("e"))
+    counts = L.word_values(_pages(spark, sf_dir)).select("doc_id", "page_no", (F.size("values") - 1).alias("word_idx")).where("word_idx >= 0")
+    ends = counts.groupBy("doc_id").agg(F.max(F.struct("page_no", "word_idx")).alias("e"))
     whole = ends.select("doc_id", F.col("e.page_no").alias("anchor_page"), F.col("e.word_idx").alias("anchor_word"), F.lit(-1).alias("anchor_off"), F.lit(1).alias("focus_page"), F.lit(0).alias("focus_word"), F.lit(-1).alias("focus_off"))
     return selection.selection_text(selection.selected_words(whole, w))
 
@@ -264,10 +264,16 @@ def url_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.url_of(F.col("url")).alias("link"), T.url_of(F.col("html")).alias("first_link"))
 
 
-@query(_with(_LETTERS, _WORDS, _LINES) + f"SELECT doc_id, page_no::INT AS page_no, line_idx, regexp_extract(joined, '{_URL_SQL}', 0) AS link FROM lines WHERE regexp_matches(joined, '{_URL_SQL}')")
+_LINKED = "(SELECT page_id AS doc_id, rpad('See page ' || page_id, 80, ' ') || rpad(left(url, 80), 80, ' ') || 'or not.' AS text FROM pages)"
+
+
+@query(_with(_LETTERS, _WORDS, _LINES, docs=_LINKED) + f"SELECT doc_id, page_no::INT AS page_no, line_idx, regexp_extract(joined, '{_URL_SQL}', 0) AS link FROM lines WHERE regexp_matches(joined, '{_URL_SQL}')")
 def line_links(spark, sf_dir):
-    """Lines that are links: the pattern over a line's words put together without spaces."""
-    found = lookup.lines(_lined(spark, sf_dir)).select("doc_id", "page_no", "line_idx", T.url_of(F.col("joined")).alias("link"))
+    """Lines that are links: the pattern over a line's words put together without spaces. Each document has a page's address in a line of its own."""
+    text = F.concat(F.rpad(F.concat(F.lit("See page "), F.col("page_id").cast("string")), 80, " "), F.rpad(F.left("url", F.lit(80)), 80, " "), F.lit("or not."))
+    paged = L.pages(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text")))
+    lined = L.word_rows(L.words(paged)).withColumnRenamed("r", "line_idx")
+    found = lookup.lines(lined).select("doc_id", "page_no", "line_idx", T.url_of(F.col("joined")).alias("link"))
     return found.where("link is not null")
 
 
@@ -374,12 +380,10 @@ def outline_flatten(spark, sf_dir):
 SELECT event_id, row_number() OVER (ORDER BY user_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 ELSE 3 END, event_id) AS place FROM events WHERE value >= 1
 """)
 def priority_schedule(spark, sf_dir):
-    """Requests in order of work: page, then type; cancelled ones are skipped. A place in one queue is a global order by nature."""
-    from pyspark.sql import Window as W
-
+    """Requests in order of work: page, then type; cancelled ones are skipped."""
     kind = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", 2).otherwise(3)
     r = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("page_no"), kind.alias("type"), (F.col("value") < 1).alias("cancelled"))
-    return order.priority(r).select("event_id", F.row_number().over(W.orderBy("page_no", "type", "event_id")).cast("bigint").alias("place"))
+    return order.places(r, ["type", "event_id"]).select("event_id", "place")
 
 
 @query("""
@@ -447,19 +451,97 @@ def grid_letters(paged: DataFrame) -> DataFrame:
     return L.letters(paged).select("doc_id", "page_no", "seq", "value", x.alias("left"), (y - L.HEIGHT).alias("top"), (x + L.CELL).alias("right"), y.alias("bottom"), F.lit(L.POINT).alias("point_size"), F.lit("Horizontal").alias("orientation"))
 
 
-@query(_with(_LETTERS, _WORDS) + "SELECT doc_id, page_no::INT AS page_no, count(*) AS n_words, sum(n_letters)::BIGINT AS n_letters FROM words GROUP BY 1, 2")
+@query(_with(_LETTERS, _WORDS) + """SELECT doc_id, page_no::INT AS page_no, count(*) AS n_words, sum(n_letters)::BIGINT AS n_letters, sum("left")::DOUBLE AS sum_left, sum(bottom)::DOUBLE AS sum_bottom, sum(word_idx * unicode(value))::BIGINT AS sum_values FROM words GROUP BY 1, 2""")
 def layout_words(spark, sf_dir):
-    """Letters of whole documents through the general layout (neighbours, lines, blocks), summed by page."""
+    """Letters of whole documents through the general layout (neighbours, lines, blocks), summed by page: boxes, and values at their places."""
     from ..operators.layout import layout
 
-    return layout(grid_letters(_pages(spark, sf_dir))).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_words"), F.sum("n_letters").cast("bigint").alias("n_letters"))
+    sums = {"sum_left": F.sum("left"), "sum_bottom": F.sum("bottom"), "sum_values": F.sum(F.col("word_idx") * F.ascii("value").cast("bigint"))}
+    return layout(grid_letters(_pages(spark, sf_dir))).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_words"), F.sum("n_letters").cast("bigint").alias("n_letters"), *(c.alias(k) for k, c in sums.items()))
 
 
-@query(_with(_LETTERS, _WORDS) + ", g AS (SELECT doc_id, page_no, ch, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY r, c) AS n FROM letters) SELECT doc_id, page_no::INT AS page_no, count(*) AS n_letters FROM g GROUP BY 1, 2")
+@query(_with(_LETTERS) + "SELECT doc_id, page_no::INT AS page_no, count(*) AS n_letters, sum(2 * (80 * r + c) + 1)::BIGINT AS sum_seq, sum(6 * c + 1.5)::DOUBLE AS sum_x FROM letters GROUP BY 1, 2")
 def dedup_overlap(spark, sf_dir):
-    """Each letter drawn twice, the second time a little to the right: one of each pair stays."""
+    """Each letter drawn twice, the second time a little to the right: the second of each pair stays."""
     from ..operators.overlap import dedup
 
     one = L.letters(_pages(spark, sf_dir)).select("doc_id", "page_no", (F.col("seq") * 2).alias("seq"), "value", (F.col("c") * L.CELL).cast("double").alias("x"), (F.col("r") * L.PITCH).cast("double").alias("y"), F.lit(float(L.CELL)).alias("width"))
     two = one.withColumns({"seq": F.col("seq") + 1, "x": F.col("x") + 1.5})
-    return dedup(one.unionByName(two)).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_letters"))
+    return dedup(one.unionByName(two)).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_letters"), F.sum("seq").cast("bigint").alias("sum_seq"), F.sum("x").alias("sum_x"))
+
+
+_WIDE = """
+wide AS (SELECT *, list_transform(string_split(value, ''), lambda x: (3 + unicode(x) % 5)::DOUBLE) AS w FROM words),
+ends AS (SELECT doc_id, page_no, word_idx, "left" + list_sum(w) AS "right", "left", top, bottom, len(w) AS n, w, list_transform(range(1, len(w) + 1), lambda i: list_sum(w[1:i])) AS e, "left" + (doc_id * 7 + word_idx * 5) % 40 + 0.25 AS x FROM wide)
+"""
+
+
+@query(_with(_LETTERS, _WORDS, _WIDE) + """SELECT doc_id, page_no::INT AS page_no, word_idx, round(list_sum(w) / ("right" - "left"), 6)::DOUBLE AS ratio, e[-1]::DOUBLE AS total,
+  (CASE WHEN x > "right" THEN -1 ELSE coalesce(list_position(list_transform(e, lambda z: (x - "left") / ("right" - "left") <= z / ("right" - "left")), true), n) - 1 END)::INT AS under,
+  (list_position(list_transform(range(1, n + 1), lambda i: abs(x - "left" - (e[i] - w[i] / 2))), list_min(list_transform(range(1, n + 1), lambda i: abs(x - "left" - (e[i] - w[i] / 2))))) - 1)::INT AS nearest,
+  ("left" + w[1] * (n > 1)::INT)::DOUBLE AS span_left, ("left" + e[n])::DOUBLE AS span_right FROM ends""")
+def letter_places(spark, sf_dir):
+    """Letters of words with widths of their own: running places, ratio, the letter under a point, the nearest one, and the box of a span."""
+    from ..functions import letters as FL
+
+    widths = F.transform(F.split("value", ""), lambda x: (3 + F.ascii(x) % 5).cast("double"))
+    w = _words(spark, sf_dir).withColumn("w", F.filter(widths, lambda x: x.isNotNull())).withColumn("e", FL.positions(F.col("w")))
+    w = w.withColumn("right", F.col("left") + F.element_at("e", -1)).withColumn("x", F.col("left") + (F.col("doc_id") * 7 + F.col("word_idx") * 5) % 40 + 0.25)
+    box = (F.col("left"), F.col("top"), F.col("right"), F.col("bottom"))
+    some = FL.span(F.when(F.size("e") > 1, 1).otherwise(0), F.size("e") - 1, F.col("e"), F.col("left"), F.col("top"), F.col("bottom"))
+    return w.select(
+        "doc_id", "page_no", "word_idx", F.round(FL.width_ratio(F.col("w"), F.col("left"), F.col("right")), 6).alias("ratio"), F.element_at("e", -1).alias("total"), FL.letter_under(F.col("x"), F.col("bottom"), F.col("e"), *box).alias("under"),
+        FL.letter_nearest(F.col("x"), F.col("e"), F.col("left")).alias("nearest"), some["left"].alias("span_left"), some["right"].alias("span_right"),
+    )
+
+
+@query("""
+WITH n AS (SELECT p_partkey AS ord, 'file' || (p_partkey % 40) || CASE WHEN p_partkey % 3 = 0 THEN '.2' ELSE '' END || '.pdf' AS name FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) - 1 AS k, (regexp_matches(name, '[.]2[.]pdf$'))::INT AS is2 FROM n),
+h AS (SELECT k.*, (is2 = 0 AND replace(name, '.pdf', '.2.pdf') IN (SELECT name FROM n))::INT AS blocked FROM k)
+SELECT ord, name, CASE WHEN k = 0 THEN name ELSE replace(name, '.pdf', '') || '.' || (k + CASE WHEN blocked = 1 AND k >= 2 THEN 1 ELSE 0 END) || '.pdf' END AS stored FROM h
+""")
+def stored_names(spark, sf_dir):
+    """Names of stored files: one that is taken gets the next free number."""
+    from ..sources.settings import distinct_names
+
+    k = F.col("p_partkey")
+    named = F.concat(F.lit("file"), (k % 40).cast("string"), F.when(k % 3 == 0, ".2").otherwise(""), F.lit(".pdf"))
+    return distinct_names(table(spark, sf_dir, "part").select(k.alias("ord"), named.alias("name")), "name").select("ord", "name", "stored")
+
+
+@query("SELECT page_id, url AS path FROM pages WHERE page_id % 7 <> 3 AND url <> ''")
+def path_frames(spark, sf_dir):
+    """Path messages, cut out of frames; every seventh has a wrong key and goes."""
+    from ..sources.settings import FILE_PATH, frames
+
+    body = F.encode("url", "UTF-8")
+    size = F.octet_length(body)
+    byte = lambda n: F.unhex(F.lpad(F.hex(n.cast("bigint")), 2, "0"))
+    key = F.when(F.col("page_id") % 7 == 3, F.lit(b"wrong")).otherwise(F.lit(b"right"))
+    frame = F.concat(byte(size % 256), byte(F.floor(size / 256)), key, byte(F.lit(FILE_PATH)), body)
+    return frames(table(spark, sf_dir, "pages").select("page_id", frame.alias("frame")), "frame", b"right").select("page_id", "path")
+
+
+@query("""
+SELECT event_id, user_id, event_type AS selected, CASE WHEN lag(event_type) OVER w <> event_type THEN lag(event_type) OVER w END AS cleared FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def selected_documents(spark, sf_dir):
+    """Changes of the selected document: which one becomes active, and which one is cleared."""
+    from ..streaming.live import selected
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("window"), "ts", F.col("event_id").alias("id"), F.col("event_type").alias("doc_id"))
+    return selected(e).select(F.col("id").alias("event_id"), F.col("window").alias("user_id"), F.col("doc_id").alias("selected"), "cleared")
+
+
+@query(_with(_LETTERS, _WORDS) + """, s AS (SELECT *, list_aggregate([page_no, word_idx], 'string_agg', ' ') AS k FROM words WHERE (page_no = 1 AND word_idx >= 3) OR (page_no = 2 AND word_idx <= 5))
+SELECT doc_id, page_no::INT AS page_no, word_idx, CASE WHEN page_no = 1 AND word_idx = 3 THEN substring(value, least(2, length(value) - 1) + 1) WHEN page_no = 2 AND word_idx = 5 THEN left(value, least(2, length(value))) ELSE value END AS token,
+  CASE WHEN (page_no = 1 AND word_idx = 3 AND length(value) > 1) OR (page_no = 2 AND word_idx = 5 AND length(value) > 2) THEN 'part of ' ELSE 'all of ' END || value AS shown FROM s""")
+def selection_partial(spark, sf_dir):
+    """From the third letter of a page's fourth word to the second letter of the next page's sixth: whole and partial words, each by a
+    column of its own."""
+    w = _lined(spark, sf_dir)
+    of = w.select("doc_id").distinct().select("doc_id", F.lit(1).alias("anchor_page"), F.lit(3).alias("anchor_word"), F.lit(2).alias("anchor_off"), F.lit(2).alias("focus_page"), F.lit(5).alias("focus_word"), F.lit(1).alias("focus_off"))
+    taken = selection.selected_words(of, w).join(w.select("doc_id", "page_no", "word_idx", "value"), ["doc_id", "page_no", "word_idx"])
+    shown = selection.projected(taken, lambda _: F.concat(F.lit("all of "), "value"), lambda _: F.concat(F.lit("part of "), "value"), "shown")
+    return shown.select("doc_id", "page_no", "word_idx", "token", "shown")

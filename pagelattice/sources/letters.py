@@ -65,3 +65,31 @@ def word_rows(worded: DataFrame) -> DataFrame:
         (F.col("w.c") * CELL).cast("double").alias("left"), (F.col("w.r") * PITCH - HEIGHT).cast("double").alias("top"),
         ((F.col("w.c") + n) * CELL).cast("double").alias("right"), (F.col("w.r") * PITCH).cast("double").alias("bottom"),
     )
+
+
+def boxed(worded: DataFrame) -> DataFrame:
+    """words() with the box of each word in its struct: (value, r, left, top, right, bottom)."""
+
+    def box(w):
+        n = F.length(w["value"])
+        number = lambda c, name: c.cast("double").alias(name)
+        return F.struct(w["value"].alias("value"), w["r"].alias("r"), number(w["c"] * CELL, "left"), number(w["r"] * PITCH - HEIGHT, "top"), number((w["c"] + n) * CELL, "right"), number(w["r"] * PITCH, "bottom"))
+
+    return once(worded.withColumn("words", F.transform("words", box)), "words")
+
+
+def once(df: DataFrame, column: str) -> DataFrame:
+    """df with a column that is worked out once a row, however often it is used: a generator stands between, which plans don't merge across."""
+    return df.select(*(F.explode(F.array(F.col(c))).alias(c) if c == column else F.col(c) for c in df.columns))
+
+
+def line_boxes(paged: DataFrame) -> DataFrame:
+    """pages() with `lines`: (line_idx, left, top, right, bottom) of each row of the grid that has words, from its first to its last letter."""
+
+    def box(row, r):
+        number = lambda c, name: c.cast("double").alias(name)
+        first = F.length(row) - F.length(F.regexp_replace(row, f"^[{SPACE}]+", ""))
+        end = F.length(F.regexp_replace(row, f"[{SPACE}]+$", ""))
+        return F.struct(r.alias("line_idx"), number(first * CELL, "left"), number(r * PITCH - HEIGHT, "top"), number(end * CELL, "right"), number(r * PITCH, "bottom"))
+
+    return once(paged.withColumn("lines", F.filter(F.transform("rows", box), lambda a: a["left"] < a["right"])), "lines")

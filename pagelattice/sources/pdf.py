@@ -187,18 +187,19 @@ class Pdf:
         out, root = [], self.get(self.trailer.get("Root")) or next((o for o in map(self.get, [Ref((n, 0)) for n in self.at]) if isinstance(o, dict) and o.get("Type") == "Catalog"), {})
         self.root = root
 
-        def walk(node, held, depth):
+        # a tree of any depth; a node that is above itself is passed over, so circles end
+        left = [(root.get("Pages"), {}, ())]
+        while left:
+            node, held, above = left.pop()
             d = self.get(node)
-            if not isinstance(d, dict) or depth > 60:
-                return
+            if not isinstance(d, dict) or node in above:
+                continue
             held = held | {k: d[k] for k in ("MediaBox", "CropBox", "Rotate", "Resources") if k in d}
             if "Kids" in d:
-                for k in self.get(d["Kids"]) or []:
-                    walk(k, held, depth + 1)
+                above = (node, *above) if isinstance(node, Ref) else above
+                left += [(k, held, above) for k in reversed(self.get(d["Kids"]) or [])]
             else:
                 out.append(held | d | {"_ref": node})
-
-        walk(root.get("Pages"), {}, 0)
         return out
 
 
@@ -301,7 +302,7 @@ def letters(pdf: Pdf, page: dict) -> list[tuple]:
             tm = _mul((1, 0, 0, 1, step, 0), tm)
         return tm
 
-    def run(body: bytes, resources: dict, depth: int):
+    def run(body: bytes, resources: dict, above: tuple):
         nonlocal state, seq
         tm = line = (1, 0, 0, 1, 0, 0)
         args: list = []
@@ -348,19 +349,20 @@ def letters(pdf: Pdf, page: dict) -> list[tuple]:
                     seq += 1
                     for x in a[-1] if isinstance(a[-1], list) else [a[-1]]:
                         tm = show(x, tm, seq) if isinstance(x, bytes) else _mul((1, 0, 0, 1, -x / 1000 * state["size"] * state["tz"], 0), tm)
-                elif op == "Do" and depth < 12:
-                    x = pdf.get((pdf.get(resources.get("XObject")) or {}).get(a[0]))
-                    if isinstance(x, tuple) and x[0].get("Subtype") == "Form":
+                elif op == "Do":
+                    ref = (pdf.get(resources.get("XObject")) or {}).get(a[0])
+                    x = pdf.get(ref)
+                    if isinstance(x, tuple) and x[0].get("Subtype") == "Form" and ref not in above:  # a form doesn't draw itself
                         saved.append(dict(state))
                         state["ctm"] = _mul(tuple(pdf.get(x[0].get("Matrix")) or (1, 0, 0, 1, 0, 0)), state["ctm"])
-                        run(pdf.stream(x), pdf.get(x[0].get("Resources")) or resources, depth + 1)
+                        run(pdf.stream(x), pdf.get(x[0].get("Resources")) or resources, (*above, ref))
                         state = saved.pop()
             except (IndexError, TypeError, KeyError):  # an operator without its operands is passed over
                 continue
 
     content = pdf.get(page.get("Contents"))
     parts = [pdf.get(x) for x in content] if isinstance(content, list) else [content]
-    run(b"\n".join(pdf.stream(p) for p in parts if isinstance(p, tuple)), pdf.get(page.get("Resources")) or {}, 0)
+    run(b"\n".join(pdf.stream(p) for p in parts if isinstance(p, tuple)), pdf.get(page.get("Resources")) or {}, ())
     return [(i, x[0], x[1], *x[2:]) for i, x in enumerate(out)]
 
 
@@ -384,19 +386,19 @@ def annotations(pdf: Pdf, page: dict, numbers: dict) -> list[tuple]:
 def outline(pdf: Pdf, pages: list[dict], numbers: dict) -> list[tuple]:
     """node_id, parent_id, ord, title, page_no, offset_y."""
     out: list[tuple] = []
-
-    def walk(first, parent, depth):
-        n, node, seen = 0, pdf.get(first), 0
-        while isinstance(node, dict) and depth < 60 and seen < 100_000:
+    met: set = set()  # nodes that have been listed: an outline that runs in a circle ends
+    left = [((pdf.get(pdf.root.get("Outlines")) or {}).get("First"), None, 0)]
+    while left:
+        ref, parent, n = left.pop()
+        node = pdf.get(ref)
+        if isinstance(node, dict) and not (isinstance(ref, Ref) and ref in met):
+            met.add(ref if isinstance(ref, Ref) else id(node))
             dest = pdf.get(node.get("Dest") or (pdf.get(node.get("A")) or {}).get("D"))
             page = numbers.get(dest[0]) if isinstance(dest, list) and dest else None
             y = dest[3] if page and len(dest) > 3 and dest[1] == "XYZ" and isinstance(dest[3], (int, float)) else None
             me = len(out)
             out.append((me, parent, n, text_of(pdf.get(node.get("Title"))) or "", page, y * PPI_SCALE if y is not None else None))
-            walk(node.get("First"), me, depth + 1)
-            node, n, seen = pdf.get(node.get("Next")), n + 1, seen + 1
-
-    walk((pdf.get(pdf.root.get("Outlines")) or {}).get("First"), None, 0)
+            left += [(node.get("Next"), parent, n + 1), (node.get("First"), me, 0)]
     return out
 
 
@@ -404,7 +406,13 @@ def attachments(pdf: Pdf) -> list[tuple]:
     """name, data."""
     out: list[tuple] = []
 
-    def walk(node, depth):
+    met: set = set()
+    left = [(pdf.get(pdf.root.get("Names")) or {}).get("EmbeddedFiles")]
+    while left:
+        node = left.pop()
+        if isinstance(node, Ref) and node in met:
+            continue
+        met.add(node if isinstance(node, Ref) else None)
         d = pdf.get(node) or {}
         names = pdf.get(d.get("Names")) or []
         for _, spec in zip(names[::2], names[1::2], strict=False):
@@ -412,10 +420,7 @@ def attachments(pdf: Pdf) -> list[tuple]:
             f = pdf.get((pdf.get(s.get("EF")) or {}).get("F"))
             if isinstance(f, tuple):
                 out.append((text_of(pdf.get(s.get("UF") or s.get("F"))), pdf.stream(f)))
-        for k in (pdf.get(d.get("Kids")) or []) if depth < 30 else []:
-            walk(k, depth + 1)
-
-    walk((pdf.get(pdf.root.get("Names")) or {}).get("EmbeddedFiles"), 0)
+        left += reversed(pdf.get(d.get("Kids")) or [])
     return out
 
 

@@ -85,3 +85,35 @@ def suppressed_batch(notes: DataFrame, seconds: float = 3.0) -> DataFrame:
 
     per = notes.groupBy("key").agg(F.array_sort(F.collect_list(note)).alias("n"))
     return per.select("key", F.explode(F.aggregate("n", zero, step)["shown"]).alias("id"))
+
+
+def progress(done, total):
+    """Percent of the pages that are searched, rounded up; 0 of none."""
+    return F.coalesce(F.ceil(100.0 * done / F.nullif(total, F.lit(0))), F.lit(0)).cast("int")
+
+
+class Search:
+    """The one search that runs over a stream: a new query stops the one before, whose hits stay where they are."""
+
+    def __init__(self, docs: DataFrame, base: str, once: bool = False):
+        self.docs, self.base, self.once = docs, base, once
+        self.running: StreamingQuery | None = None
+        self.number = 0
+
+    def replace(self, query: str) -> str:
+        """Starts a query and gives the folder of its hits."""
+        if self.running is not None and self.running.isActive:
+            self.running.stop()
+        self.number += 1
+        sink = f"{self.base}/hits-{self.number}"
+        self.running = start(live_search(self.docs, query), sink, f"{self.base}/checkpoint-{self.number}", self.once)
+        return sink
+
+
+def selected(changes: DataFrame) -> DataFrame:
+    """What each change (window, ts, id, doc_id) of a window's selected document does: doc_id becomes active, and `cleared` is the one
+    that was, if it is another."""
+    from pyspark.sql import Window as W
+
+    before = F.lag("doc_id").over(W.partitionBy("window").orderBy("ts", "id"))
+    return changes.withColumn("cleared", F.when(before != F.col("doc_id"), before))

@@ -111,3 +111,51 @@ def test_streams(spark, tmp_path):
     seen = []
     live.in_order(live.documents(spark, f"{tmp_path}/req", "page_no int, type int, cancelled boolean"), lambda df, _: seen.extend((r.page_no, r.type) for r in df.collect()), f"{tmp_path}/c3").awaitTermination()
     assert seen == [(1, 0), (1, 3), (2, 0)]
+
+
+def test_outline_of_any_depth_and_order():
+    n = 3000
+    nodes, parents = list(range(n)), [None, *range(n - 1)]
+    found = outline.walk(nodes[::-1], parents[::-1])
+    assert found[0][0] == n - 1 and found[0][1] == nodes and found[-1] == (0, [0])
+    assert outline.walk([1, 2, 3, 4, 5], [None, 9, 4, 3, 1]) == [(0, [1]), None, None, None, (1, [1, 5])]
+
+
+def test_names_that_are_free(spark):
+    names = spark.createDataFrame([(1, "a.pdf"), (2, "a.1.pdf"), (3, "a.pdf"), (4, "a.pdf"), (5, "a.3.pdf"), (6, "a.pdf"), (7, None), (8, "b.1"), (9, "b")], "ord int, name string")
+    got = {r.ord: r.stored for r in settings.distinct_names(names, "name").collect()}
+    assert got == {1: "a.pdf", 2: "a.1.pdf", 3: "a.2.pdf", 4: "a.4.pdf", 5: "a.3.pdf", 6: "a.5.pdf", 7: None, 8: "b.1", 9: "b"}
+
+
+def test_frames(spark):
+    key = b"key"
+    frame = lambda body, kind=1, k=key, size=None: bytes([(size or len(body)) % 256, (size or len(body)) // 256]) + k + bytes([kind]) + body
+    long = ("/p/é" + "x" * 400).encode()
+    data = [(1, frame(b"/a.pdf")), (2, frame(long)), (3, frame(b"/a", k=b"kex")), (4, frame(b"")), (5, frame(b"/a", size=9)), (6, frame(b"\x01", 2)), (7, frame(b"/a", 7)), (8, None), (9, b"\x01")]
+    out = {r.i: (r.kind, r.path, r.command) for r in settings.frames(spark.createDataFrame(data, "i int, f binary"), "f", key).collect()}
+    assert out == {1: (1, "/a.pdf", None), 2: (1, long.decode(), None), 6: (2, None, 1)}
+
+
+def test_places_in_the_queue(spark):
+    from pagelattice.operators import order
+
+    rows = [(i, i * 37 % 9000, i % 4, i % 10 == 0) for i in range(800)]
+    df = spark.createDataFrame(rows, "i int, page_no int, type int, cancelled boolean")
+    got = {r.i: r.place for r in order.places(df, ["type", "i"], 16).collect()}
+    want = sorted((p, t, i) for i, p, t, c in rows if not c)
+    assert got == {i: k for k, (_, _, i) in enumerate(want, 1)}
+
+
+def test_progress_and_replaced_search(spark, tmp_path):
+    from pagelattice.streaming import live
+
+    p = spark.createDataFrame([(0, 0), (1, 3), (3, 3)], "a int, b int").select(live.progress(live.F.col("a"), live.F.col("b")).alias("p"))
+    assert [r.p for r in p.collect()] == [0, 34, 100]
+    spark.createDataFrame([(1, "one two"), (2, "two")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    s = live.Search(live.documents(spark, str(tmp_path / "in"), "doc_id long, text string"), str(tmp_path / "out"))
+    s.replace("one")
+    first = s.running
+    sink = s.replace("two")
+    s.running.processAllAvailable()
+    assert not first.isActive and spark.read.parquet(sink).count() == 2
+    s.running.stop()
