@@ -1,6 +1,6 @@
 """License scans by a positional index of rare words.
 
-A template is a word sequence with a label and a mandatory key phrase. The index has, for each template word, its postings
+A template is a word sequence (a phrase, a notice, or the text of a licence) with a label and a mandatory key phrase. The index has, for each template word, its postings
 (template, offset). In a file the licence words are looked up in order of falling IDF (document frequencies come from one pass
 over the whole corpus); each occurrence votes for the start that its posting implies, and the starts on which a template's
 rarest words agree are verified: the key phrase must stand there, and most of the template's weight. Both passes are maps; what
@@ -61,9 +61,43 @@ TEMPLATES = (
     Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose", "copy modify and or distribute"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
+    Template(
+        "mit-full",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "without limitation the rights to use copy modify merge publish distribute sublicense",
+    ),
+    Template(
+        "isc-full",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "with or without fee is hereby granted",
+    ),
+    Template(
+        "bsd-2-full",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "redistributions in binary form must reproduce the above copyright notice",
+    ),
+    Template(
+        "apache-header",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "you may not use this file except in compliance with the license",
+    ),
+    Template(
+        "gpl-header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "under the terms of the gnu general public license as published by the free software foundation",
+    ),
 )
-#: How many of a template's rarest words vote, how many must agree, and the share of its weight that must stand there.
-VOTERS, AGREE, SHARE = 3, 2, 0.7
+#: How many of a template's rarest words vote (of one with more words, one more for each VOTER_STEP of them), how many must agree, and the
+#: share of its weight that must stand there.
+VOTERS, VOTER_STEP, AGREE, SHARE = 3, 20, 2, 0.7
 
 
 def vocabulary(templates=TEMPLATES) -> frozenset[bytes]:
@@ -103,7 +137,7 @@ class PositionalIndex:
         for k, (t, seq) in enumerate(zip(templates, self.seq, strict=True)):
             key = words(t.key)
             self.key_at.append((next(i for i in range(len(seq)) if seq[i : i + len(key)] == key), key))
-            voters = sorted(set(seq), key=lambda w: (-self.idf[w], w))[:VOTERS]
+            voters = sorted(set(seq), key=lambda w: (-self.idf[w], w))[: VOTERS + len(seq) // VOTER_STEP]
             self.need.append(min(AGREE, len(voters)))
             for i, w in enumerate(seq):
                 if w in voters:
