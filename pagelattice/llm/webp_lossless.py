@@ -6,7 +6,8 @@ pixels of all images of a call are decoded in lockstep: one NumPy step takes a p
 Prefix codes that images share are built once.
 
 encode() stores bytes as RGBA samples, 16 pixels (64 bytes) a row, in tiles of at most TILE rows; a medium is the
-tiles' WebP files end to end. It uses one fixed prefix code, made for text, so that equal bytes give equal files.
+tiles' WebP files end to end. A tile in which REPEAT pixels or more stand again goes out with back-references, others without; either
+way the prefix codes are fixed, made for text, so that equal bytes give equal files. It makes no use of transforms and the colour cache.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from . import hashing as hs
+
 WIDTH, TILE = 16, 256
+#: Pixels of a tile that must stand there before, in one run, for a back-reference to them.
+REPEAT = 16
 #: Fixed values of the format: the order in which lengths of the code-length code are stored ...
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: ... and the (x, y) offsets that the first 120 distance codes stand for.
@@ -557,22 +562,71 @@ def text_weights() -> list[int]:
 
 
 _LENGTHS = code_lengths(text_weights(), 14)
-_BITS = np.array([canonical(_LENGTHS)[b][0] for b in range(256)], np.uint64)
-_SIZE = np.array(_LENGTHS, np.uint64)
+#: Codes of the green channel with lengths of back-references behind the bytes, and of distances (all are coded past the near ones).
+_WITH_RUNS = code_lengths([*text_weights(), *[2] * 24], 14)
+_DISTANCES = code_lengths([1] * 40)
+_RUN_CODE, _DISTANCE_CODE = canonical(_WITH_RUNS), canonical(_DISTANCES)
+_BITS = np.array([[canonical(lengths)[b][0] for b in range(256)] for lengths in (_LENGTHS, _WITH_RUNS)], np.uint64)
+_SIZE = np.array([_LENGTHS, _WITH_RUNS[:256]], np.uint64)
 
 
-def _fixed_header() -> tuple[int, int]:
+def _fixed_header(runs: bool) -> tuple[int, int]:
     """The bits between the size and the pixels: no transform, no cache, one group, the text code for every channel."""
     w = BitWriter()
     w.put(0, 3)
-    put_code(w, _LENGTHS + [0] * 24)
+    put_code(w, _WITH_RUNS if runs else _LENGTHS + [0] * 24)
     for _ in range(3):
         put_code(w, _LENGTHS)
-    put_simple(w, (0,))
+    if runs:
+        put_code(w, _DISTANCES)
+    else:
+        put_simple(w, (0,))
     return w.value, w.n
 
 
-_HEAD, _HEAD_BITS = _fixed_header()
+#: Without back-references, and with them: the header's whole bytes, the bits left over, and their number.
+_HEADS = [((v & ((1 << (n & ~7)) - 1)).to_bytes(n >> 3, "little"), v >> (n & ~7), n & 7) for v, n in map(_fixed_header, (False, True))]
+
+
+def _prefixed(value: int) -> tuple[int, int, int]:
+    """A length or distance code as prefix symbol, extra bits and their number."""
+    d = value - 1
+    if d < 4:
+        return d, 0, 0
+    top = d.bit_length() - 1
+    extra = top - 1
+    return 2 * top + (d >> extra & 1), d & ((1 << extra) - 1), extra
+
+
+def _reference(size: int, distance: int) -> tuple[int, int]:
+    """The bits of a back-reference, and their number."""
+    value, n = 0, 0
+    for code, (symbol, extra, width) in ((_RUN_CODE, _prefixed(size)), (_DISTANCE_CODE, _prefixed(distance + 120))):
+        symbol = symbol + 256 if code is _RUN_CODE else symbol
+        bits, length = code[symbol]
+        value |= (bits | extra << length) << n
+        n += length + width
+    return value, n
+
+
+def repeats(pixels: np.ndarray, tile: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of pixels that stand before in the same tile: place, size, distance. They rise and don't overlap; tile: the tile of each pixel."""
+    n = len(pixels) - REPEAT + 1
+    if n < 2:
+        return []
+    key = hs.windows(hs.mixed(pixels.astype(np.uint64)), REPEAT)
+    order = np.argsort(key, kind="stable")
+    same = (key[order[1:]] == key[order[:-1]]) & (tile[order[1:] + REPEAT - 1] == tile[order[:-1]])
+    back = np.zeros(n, np.int64)
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    cut = np.flatnonzero(np.concatenate(([True], back[1:] != back[:-1])))
+    out, free = [], 0
+    for a, b, d in zip(cut.tolist(), [*cut[1:].tolist(), n], back[cut].tolist(), strict=True):
+        a, end = max(a, free), b + REPEAT - 1
+        if d and a < b and np.array_equal(pixels[a:end], pixels[a - d : end - d]):
+            out.append((a, end - a, d))
+            free = end
+    return out
 
 
 def wrap(vp8l: bytes) -> bytes:
@@ -596,19 +650,28 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     if not sizes:
         return [b""] * len(payloads)
     pixels = np.array(sizes, np.int64)
-    b = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 4)  # R, G, B, A
+    raw = np.frombuffer(b"".join(payloads), np.uint8)
+    b = raw.reshape(-1, 4)  # R, G, B, A
+    tile_of = np.repeat(np.arange(len(pixels)), pixels)
+    runs_ = repeats(raw.view("<u4"), tile_of)
+    kind = np.zeros(len(pixels), np.int64)
+    kind[tile_of[[r[0] for r in runs_]]] = 1
     value = np.zeros(len(b), np.uint64)
     length = np.zeros(len(b), np.uint64)
     for channel in (1, 0, 2, 3):  # codes come as green, red, blue, alpha
-        value |= _BITS[b[:, channel]] << length
-        length += _SIZE[b[:, channel]]
+        which = kind[tile_of] if channel == 1 else 0
+        value |= _BITS[which, b[:, channel]] << length
+        length += _SIZE[which, b[:, channel]]
+    for a, n, d in runs_:  # the first pixel of a run bears the reference, the others nothing
+        value[a : a + n], length[a : a + n] = 0, 0
+        value[a], length[a] = _reference(n, d)
     first = np.cumsum(pixels) - pixels
     ends = np.cumsum(length).astype(np.int64)
     start = ends - length.astype(np.int64)
     zero = start[first]
     bits = np.add.reduceat(length.astype(np.int64), first)
     # every tile gets whole 64-bit words of its own, pixels from the bit on at which the header leaves off
-    lead = _HEAD_BITS & 7
+    lead = np.array([h[2] for h in _HEADS])[kind]
     room = (bits + lead + 63 >> 6) + 1
     word0 = np.cumsum(room) - room
     at = start - np.repeat(zero, pixels) + np.repeat(64 * word0 + lead, pixels)
@@ -619,11 +682,9 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     high = np.where(shift > 0, value >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
     words[word[runs] + 1] |= np.bitwise_or.reduceat(high, runs)
     raw = words.tobytes()
-    whole, edge = _HEAD_BITS >> 3, _HEAD >> (_HEAD_BITS & ~7)
-    head = (_HEAD & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
     out: list[list[bytes]] = [[] for _ in payloads]
-    for i, n, w, k in zip(owner, pixels.tolist(), word0.tolist(), (bits + lead + 7 >> 3).tolist(), strict=True):
-        data = raw[8 * w : 8 * w + k]
+    for i, n, w, k, h in zip(owner, pixels.tolist(), word0.tolist(), (bits + lead + 7 >> 3).tolist(), kind.tolist(), strict=True):
+        data, (head, edge, _) = raw[8 * w : 8 * w + k], _HEADS[h]
         vp8l = b"\x2f" + size_bits(WIDTH, n // WIDTH).to_bytes(4, "little") + head + bytes([data[0] | edge]) + data[1:]
         out[i].append(wrap(vp8l))
     return [b"".join(x) for x in out]

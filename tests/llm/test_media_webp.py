@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pagelattice.llm import media_columns as mc
 from pagelattice.llm import webp_lossless as wl
@@ -222,3 +224,19 @@ def test_round_trip(spark):
     assert len({v[1] for v in seen.values()}) == len(seen)
     assert all(r.height * r.width * 4 == len(r.pixels) for r in mc.arrays(media).collect())
     assert mc.digests(mc.stored(df.limit(0))).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a line that stands again\n", "x", "0123456789abcdef" * 4, "\x00", "é"]), st.integers(0, 400)), max_size=8), st.integers(0, 9))
+def test_back_references_of_the_encoder(parts, seed):
+    data = mc.padded(random.Random(seed).randbytes(7 * seed) + "".join(t * n for t, n in parts).encode())
+    media = wl.encode([mc.padded(b"other"), data, data])
+    assert media[1] == media[2]
+    assert [p.tobytes() for p in mc.pixels_of(media)] == [mc.padded(b"other"), data, data]
+    runs = wl.repeats(np.frombuffer(data, "<u4"), np.zeros(len(data) // 4, np.int64))
+    assert all(n >= wl.REPEAT for _, n, _ in runs)
+
+
+def test_repeated_text_goes_out_by_back_references():
+    line = mc.padded(b"A line of text that stands here many times, of more than sixty-four bytes.\n" * 200)
+    assert len(wl.encode([line])[0]) < len(line) // 8
