@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +51,27 @@ def flatten(outline: DataFrame) -> DataFrame:
     One exchange: the nodes of a document are walked together. Nodes that hang on no root (a missing parent, a circle) go."""
     more = T.StructType(outline.schema.fields + [T.StructField("depth", T.IntegerType()), T.StructField("path", T.ArrayType(outline.schema["node_id"].dataType))])
 
-    def run(t: pa.Table) -> pa.Table:
-        found = walk(t["node_id"].to_pylist(), t["parent_id"].to_pylist())
+    def walked(t: pa.Table) -> pa.Table:
+        docs, node = t["doc_id"].to_pylist(), t.schema.field("node_id").type
+        keys = list(zip(docs, t["node_id"].to_pylist(), strict=True))
+        found = walk(keys, [None if p is None else (d, p) for d, p in zip(docs, t["parent_id"].to_pylist(), strict=True)])
         kept = [x is not None for x in found]
-        node = t.schema.field("node_id").type
-        t = t.append_column("depth", pa.array([x and x[0] for x in found], pa.int32())).append_column("path", pa.array([x and x[1] for x in found], pa.list_(node)))
+        t = t.append_column("depth", pa.array([x and x[0] for x in found], pa.int32())).append_column("path", pa.array([x and [n for _, n in x[1]] for x in found], pa.list_(node)))
         return t.filter(pa.array(kept))
 
-    return outline.groupBy("doc_id").applyInArrow(run, more)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last document's rows, which may go on in the next batch
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, now]) if held is not None else now
+            docs = t["doc_id"].to_pylist()
+            at = len(docs)
+            while at and docs[at - 1] == docs[-1]:
+                at -= 1
+            if at:
+                yield from walked(t.slice(0, at)).to_batches()
+            held = t.slice(at)
+        if held is not None:
+            yield from walked(held).to_batches()
+
+    return outline.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, more)
