@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,12 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
 _own: dict[str, str | None] = {}
 
 
+#: Bytes of a batch that goes to a Python worker or comes back. Buffers double as they grow, on both sides and for each running task.
+BATCH_BYTES = 8 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_BYTES for the jobs that are planned within; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    if 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(key, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends, and a lost executor loses nothing. by: a folder for each
     value of this column, so that drop() may take one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with small_batches(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -64,6 +64,9 @@ SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: remaining pairs are judged.
 PARTNERS, ROUNDS, OPEN_PAIRS = 4, 4, 20
 RANGE_BYTES = 4 << 20
+#: Text that a worker takes apart at a time; entries of one packed row of the lists (Parquet readers hold 4,096 rows at once); and pairs
+#: that a worker looks at together.
+SLICE, PACKED, TOGETHER = 4 << 20, 128, 1 << 19
 
 _U = np.uint64
 
@@ -101,7 +104,7 @@ def frequency_classes(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE):
             h, sizes = hs.word_hashes(batch.column("text"), lower=True)
             found = hs.windows(h, width)[hs.starts(sizes, width)] if len(h) >= width else h[:0]
             total += np.bincount((found >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=slots)
@@ -151,7 +154,7 @@ def _emit(box, parts: int, rule: Rule):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = box.value
-        for batch in common.slices(batches, "text", 8 << 20):
+        for batch in common.slices(batches, "text", SLICE):
             ids, k1s, k2s = (batch.column(c).to_pylist() for c in ("doc_id", "k1", "k2"))
             rows, seen, o, m, meta = [], set(), [], [], []
             for i, k1, k2, raw in zip(ids, k1s, k2s, raw_sets(batch.column("text"), rule.width), strict=True):
@@ -174,8 +177,9 @@ def _emit(box, parts: int, rule: Rule):
                 order = np.argsort(part, kind="stable")
                 three, pos = np.stack((o.astype(np.int64), np.repeat(d, p), m.astype(np.int64)))[:, order], pos[order].astype(np.uint32)
                 for k, s in hs.cut_by_bucket(part[order]):
-                    data = three[:, s].tobytes() + pos[s].tobytes()
-                    rows.append((0, k, data, None, None, None, None, None, None))
+                    for a in range(s.start, s.stop, PACKED):
+                        b = min(a + PACKED, s.stop)
+                        rows.append((0, k, three[:, a:b].tobytes() + pos[a:b].tobytes(), None, None, None, None, None, None))
             yield hs.batch_of(rows, _OUT)
 
     return run
@@ -255,7 +259,7 @@ class Blocks:
         self.wide = wide
         self.seen = self.skipped = self.cut = 0  # blocks looked at, skipped whole, and entries left out of the others
 
-    def pairs(self, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, most: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of entries (places in `order`) that sizes, positions and components allow, each pair of a list once; in slices."""
         count = self.stop[self.own] - self.own - 1 if len(self.own) else np.zeros(0, np.int64)
         for a, b in _runs(count, most):
@@ -388,8 +392,8 @@ class SetJoin:
         self.now = self.entries.withColumn("c", F.col("d"))
         common.release(self.spark)
 
-    def _relabel(self) -> None:
-        """Takes the new links into the components, and leaves the entries of lists that still have several of them."""
+    def _relabel(self, last: bool = False) -> None:
+        """Takes the new links into the components, and leaves the entries of lists that still have several of them. last: nobody asks for those."""
         links = self.fresh[0]
         for x in self.fresh[1:]:
             links = links.unionByName(x)
@@ -397,11 +401,13 @@ class SetJoin:
         common.drop(before)
         common.drop(self.fresh[-1])  # the counted pairs; the judged ones are asked again
         self.fresh = []
-        last = self.now.drop("c")
-        named = last.join(self.labels.select(F.col("node").alias("d"), "label"), "d", "left").withColumn("c", F.coalesce("label", "d")).drop("label")
+        if last:
+            return
+        held = self.now.drop("c")
+        named = held.join(self.labels.select(F.col("node").alias("d"), "label"), "d", "left").withColumn("c", F.coalesce("label", "d")).drop("label")
         split = named.groupBy("part", "o").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("part", "o")
         self.now = common.staged(named.join(split, ["part", "o"], "left_semi"), "set-entries")
-        common.drop(last)
+        common.drop(held)
 
     def _open(self) -> tuple[int, int]:
         """Entries of lists with several components, and pairs of entries of different components in them."""
@@ -429,7 +435,7 @@ class SetJoin:
         box, width = self.box, self.rule.width
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in common.slices(batches, "text", 8 << 20):
+            for batch in common.slices(batches, "text", SLICE):
                 found = [ordered(x, box.value).tobytes() for x in raw_sets(batch.column("text"), width)]
                 yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(found, pa.binary())], ["d", "s"])
 
@@ -459,7 +465,7 @@ class SetJoin:
             self._round("random", k)
             self._relabel()
         self._round("all", 0)
-        self._relabel()
+        self._relabel(last=True)
         for t in (self.now, self.classes, *self.tested, self.near):
             common.drop(t)
 
