@@ -545,3 +545,21 @@ def selection_partial(spark, sf_dir):
     taken = selection.selected_words(of, w).join(w.select("doc_id", "page_no", "word_idx", "value"), ["doc_id", "page_no", "word_idx"])
     shown = selection.projected(taken, lambda _: F.concat(F.lit("all of "), "value"), lambda _: F.concat(F.lit("part of "), "value"), "shown")
     return shown.select("doc_id", "page_no", "word_idx", "token", "shown")
+
+
+@query(_with(_LETTERS, _WORDS) + """SELECT doc_id, page_no::INT AS page_no, count(*) AS n_words, sum(n_letters)::BIGINT AS n_letters, sum("left" + 0.5)::DOUBLE AS sum_left, sum(bottom)::DOUBLE AS sum_bottom, sum(word_idx * unicode(value))::BIGINT AS sum_values FROM words GROUP BY 1, 2""")
+def pdf_words(spark, sf_dir):
+    """Documents as PDF files, each letter drawn twice, through the whole path: letters, overlap dedup, words, lines and blocks; summed by page."""
+    from ..operators.layout import layout
+    from ..operators.overlap import dedup
+    from ..sources import pdf, pdf_write
+
+    @F.udf("binary")
+    def written(text):
+        return pdf_write.write(text or "", 0.5)
+
+    files = spread(table(spark, sf_dir, "documents")).select("doc_id", written("text").alias("content"))
+    found = layout(dedup(pdf.placed(pdf.parsed(files, "letters", key="doc_id"))))
+    return found.groupBy("doc_id", "page_no").agg(
+        F.count(F.lit(1)).alias("n_words"), F.sum("n_letters").cast("bigint").alias("n_letters"), F.sum("left").alias("sum_left"), F.sum("bottom").alias("sum_bottom"), F.sum(F.col("word_idx") * F.ascii("value").cast("bigint")).alias("sum_values")
+    )

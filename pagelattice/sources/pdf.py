@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.geometry import PPI_SCALE
+from ..functions.geometry import PPI_SCALE, euclidean, orientation
 
 _TOKEN = re.compile(
     rb"%[^\r\n]*|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))|/(?P<name>[^\x00\t\n\f\r ()<>\[\]{}/%]*)|(?P<open><<|\[)|(?P<close>>>|\])|<(?P<hex>[0-9A-Fa-f\s]*)>|(?P<str>\()|(?P<op>[^\x00\t\n\f\r ()<>\[\]{}/%]+)"
@@ -463,17 +464,30 @@ def rows(data: bytes, table: str, password: str = "") -> list[tuple]:
         return [(f"{type(e).__name__}: {e}",)] if table == "errors" else []
 
 
-def read(spark: SparkSession, path: str, table: str, password: str = "") -> DataFrame:
-    """path and the columns of a table, of all PDF files under a path."""
-    fields = [("path", pa.string()), *TABLES[table]]
-    schema = pa.schema(fields)
+def parsed(files: DataFrame, table: str, password: str = "", key: str = "path") -> DataFrame:
+    """key and the columns of a table, of files (key, content); null contents give no rows but one in `errors`."""
+    kind = files.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, d in zip(batch.column("path"), batch.column("content"), strict=True):
-                found = [(p.as_py(), *r) for r in rows(d.as_py(), table, password)]
+            fields = [batch.schema.field(0), *(pa.field(n, t) for n, t in TABLES[table])]
+            for p, d in zip(batch.column(0), batch.column(1), strict=True):
+                found = [(p.as_py(), *r) for r in rows(d.as_py() or b"", table, password)]
                 cols = list(zip(*found, strict=True)) or [()] * len(fields)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], schema=pa.schema(fields))
+
+    return files.select(key, "content").mapInArrow(run, ", ".join([f"`{key}` {kind}", *(f"{n} {_SQL[t]}" for n, t in TABLES[table])]))
+
 
+def read(spark: SparkSession, path: str, table: str, password: str = "") -> DataFrame:
+    """path and the columns of a table, of all PDF files under a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, ", ".join(f"{n} {_SQL[t]}" for n, t in fields))
+    return parsed(files, table, password)
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """The table `letters` as overlap dedup and layout take it: with x, y and width, upright boxes and orientation."""
+    xs, ys = ([F.col(f"{c}_{a}") for c in ("bl", "br", "tl", "tr")] for a in "xy")
+    box = {"left": F.least(*xs), "top": F.least(*ys), "right": F.greatest(*xs), "bottom": F.greatest(*ys)}
+    base = (F.col("bl_x"), F.col("bl_y"), F.col("br_x"), F.col("br_y"))
+    return found.withColumns(box | {"x": base[0], "y": base[1], "width": euclidean(*base), "orientation": orientation(*base)}).drop(*_CORNERS)

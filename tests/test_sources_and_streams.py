@@ -159,3 +159,22 @@ def test_progress_and_replaced_search(spark, tmp_path):
     s.running.processAllAvailable()
     assert not first.isActive and spark.read.parquet(sink).count() == 2
     s.running.stop()
+
+
+def test_pdf_writer_round_trip(spark):
+    from pagelattice.operators.layout import layout
+    from pagelattice.operators.overlap import dedup
+    from pagelattice.sources import pdf_write
+
+    text = "Nächste 😀 (Seite)\nzwei " + "x" * 1600
+    files = [(1, bytearray(pdf_write.write(text))), (2, bytearray(pdf_write.write(""))), (3, None), (4, bytearray(pdf_write.write(text, 0.5)))]
+    df = spark.createDataFrame(files, "doc_id long, content binary")
+    got = pdf.placed(pdf.parsed(df, "letters", key="doc_id")).orderBy("doc_id", "page_no", "seq").collect()
+    one = [r for r in got if r.doc_id == 1]
+    assert "".join(r.value for r in one) == text.replace("\n", " ") and {r.page_no for r in one} == {1, 2}
+    assert (one[1].left, one[1].top, one[1].right, one[1].bottom, one[1].point_size, one[1].orientation) == (6.0, -10.0, 12.0, 0.0, 10.0, "Horizontal")
+    assert not [r for r in got if r.doc_id in (2, 3)] and len([r for r in got if r.doc_id == 4]) == 2 * len(one)
+    assert [r.doc_id for r in pdf.parsed(df, "errors", key="doc_id").collect()] == [3]
+    words = layout(dedup(pdf.placed(pdf.parsed(df, "letters", key="doc_id")))).where("page_no = 1").orderBy("doc_id", "word_idx").collect()
+    by = {d: [r.value for r in words if r.doc_id == d] for d in (1, 4)}
+    assert by[1] == by[4] and by[1][:6] == ["Nächste", "😀", "(", "Seite", ")", "zwei"]
