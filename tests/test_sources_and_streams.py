@@ -178,3 +178,49 @@ def test_pdf_writer_round_trip(spark):
     words = layout(dedup(pdf.placed(pdf.parsed(df, "letters", key="doc_id")))).where("page_no = 1").orderBy("doc_id", "word_idx").collect()
     by = {d: [r.value for r in words if r.doc_id == d] for d in (1, 4)}
     assert by[1] == by[4] and by[1][:6] == ["Nächste", "😀", "(", "Seite", ")", "zwei"]
+
+
+def packed_lzw(data):
+    """A plain LZW writer with early change."""
+    table, width, bits, before = {bytes([i]): i for i in range(256)}, 9, "", b""
+    size = 258
+    put = lambda c: f"{c:0{width}b}"
+    bits = put(256)
+    for b in data:
+        now = before + bytes([b])
+        if now in table:
+            before = now
+            continue
+        bits += put(table[before])
+        table[now], size, before = size, size + 1, bytes([b])
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        if size == 4094:
+            bits += put(256)
+            table, width, size = {bytes([i]): i for i in range(256)}, 9, 258
+    if before:
+        bits += put(table[before])
+        size += 1
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+    bits += put(257)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8)
+
+
+def test_pdf_fonts_and_filters():
+    import base64
+
+    assert [pdf.glyph(n) for n in ("A", "eacute", "quoteright", "seven", "uni00E9", "u1F600", "alpha", "Omega", "a.sc", "g123")] == ["A", "é", "’", "7", "é", "😀", "α", "Ω", "a", None]
+    for text in (b"", b"aaaaaaa", b"-----A---B", bytes(random.Random(1).choices(range(256), k=9000)), b"the cat sat on the mat. " * 900):
+        assert pdf.unpacked_lzw(packed_lzw(text)) == text
+    content = b"BT /F1 10 Tf 0 700 Td (A\x92\x01\x02) Tj ET"
+    for name, body in ((b"LZWDecode", packed_lzw(content)), (b"ASCII85Decode", base64.a85encode(content) + b"~>")):
+        objs = {
+            1: b"<< /Type /Catalog /Pages 2 0 R >>",
+            2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 612 792] >>",
+            3: b"<< /Type /Page /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>",
+            4: b"<< /Length %d /Filter /%s >>\nstream\n%s\nendstream" % (len(body), name, body),
+            5: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [1 /eacute /fi] >> >>",
+        }
+        data = b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objs.items()) + b"trailer\n<< /Root 1 0 R >>\n%%EOF"
+        found = pdf.rows(data, "letters")
+        assert [r[2] for r in found] == ["A", "’", "é", "ﬁ"] and round(found[0][7] - found[0][5], 6) == 13.34
