@@ -145,3 +145,24 @@ def cut_by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def pack_ints(x: np.ndarray) -> bytes:
+    """64-bit numbers in any order: the least, then the differences to it, in as many bytes each as the largest needs (lowest bytes first)."""
+    if not len(x):
+        return b""
+    x = np.asarray(x).astype(np.int64, copy=False)
+    low = x.min()
+    more = x.view(np.uint64) - low.view(np.uint64)
+    width = (int(more.max()).bit_length() + 7) // 8
+    planes = more.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + low.tobytes() + np.int64(len(x)).tobytes() + planes.tobytes()
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    width, low, n = data[0], np.frombuffer(data[1:9], np.uint64)[0], int(np.frombuffer(data[9:17], np.int64)[0])
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, offset=17).reshape(width, n).T
+    return (wide.view("<u8").ravel() + low).view(np.int64)
