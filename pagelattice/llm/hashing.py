@@ -114,7 +114,7 @@ def pack_sorted(x: np.ndarray) -> bytes:
     if not len(x):
         return b""
     gaps = np.diff(x)
-    width = (int(gaps.max()).bit_length() + 7) // 8 if len(gaps) else 0
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 0
     planes = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
     return bytes([width]) + x[:1].tobytes() + planes.tobytes()
 

@@ -43,8 +43,8 @@ CHOICES = LENGTH - GRAM + 1
 ROUNDS = 3
 #: Bytes of text of a slice, of a step of hashing, and of input for each range of keys.
 SLICE, STEP, RANGE_BYTES = 8 << 20, 1 << 17, 2 << 20
-#: Bits of the hash of a first rank and of a string, and of the offset within a pair of ranks.
-GRAM_BITS, OFFSET_BITS = 56, 7
+#: Bits of the hash of a first rank and of a string (which has 32 more), and of the offset within a pair of ranks.
+GRAM_BITS, STRING_BITS, OFFSET_BITS = 48, 56, 7
 
 _ROW = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int8()), ("data", pa.list_(pa.binary()))])
 _ROW_SQL = "part bigint, chunk bigint, kind tinyint, data array<binary>"
@@ -55,7 +55,6 @@ _STATE_SQL = "chunk bigint, data array<binary>"
 _DOC = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("open", pa.binary()), ("gone", pa.binary())])
 _DOC_SQL = "k1 bigint, k2 bigint, open binary, gone binary"
 LIST, STATE = 0, 1
-NONE = np.uint32(2**32 - 1)
 #: A random 64-bit number for each byte, so that sums over bytes spread well.
 _BYTES = hs.mixed(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
 
@@ -139,26 +138,46 @@ def _state_row(chunk: int, data: list[bytes]) -> tuple:
 # ---- lists: what a slice sends to the ranges of keys
 
 
-def _lists(chunk: int, key: np.ndarray, more: np.ndarray, bits: int, doc: np.ndarray, place: np.ndarray, parts: int) -> tuple[list[tuple], np.ndarray]:
-    """Rows of the distinct (key, more) of a slice, with number, least doc and first place; and each entry's first place. Places must rise."""
-    order = np.lexsort((more, key))
-    key, more, doc, sorted_place = key[order], more[order], doc[order], place[order]
+def _lists(chunk: int, part: np.ndarray, key: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """Rows of the distinct (part, key, more) of a slice, with number, least doc and first place; and each entry's first place. Places must rise."""
+    order = np.lexsort((more, key, part))
+    part, key, more, doc, sorted_place = part[order], key[order], more[order], doc[order], place[order]
     first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])))) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(key)))
-    lead = np.empty(len(key), np.uint32)
+    lead = np.empty(len(key), np.int64)
     lead[order] = np.repeat(sorted_place[first], count)
     several = doc[first] != doc[first + count - 1] if len(first) else np.zeros(0, bool)
-    key, more, doc, sorted_place = key[first], more[first], doc[first], sorted_place[first]
+    part, key, more, doc, sorted_place = part[first], key[first], more[first], doc[first], sorted_place[first]
     rows = []
-    part = ((key >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     for p, s in hs.cut_by_bucket(part):
-        rows.append((p, chunk, LIST, [hs.pack_sorted(key[s]), hs.pack_ints(more[s]), hs.pack_ints(count[s]), hs.pack_ints(doc[s]), np.packbits(several[s]).tobytes(), hs.pack_ints(sorted_place[s])]))
+        rows.append((p, chunk, LIST, [hs.pack_sorted(key[s].astype(np.uint64)), hs.pack_ints(more[s]), hs.pack_ints(count[s]), hs.pack_ints(doc[s]), np.packbits(several[s]).tobytes(), hs.pack_ints(sorted_place[s])]))
     return rows, lead
 
 
-def _judged(key: tuple, table: pa.Table) -> pa.Table:
+def _range(h: np.ndarray, parts: int) -> np.ndarray:
+    """The range of 64-bit hashes that each is in."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _others(place: np.ndarray, lead: np.ndarray) -> bytes:
+    """Places that aren't the first of their key in the slice, and that first place of each."""
+    other = lead != place
+    return _pack(place[other], lead[other])
+
+
+def _leads(place: np.ndarray, others: bytes) -> np.ndarray:
+    other, lead = _unpack(others)
+    out = place.copy()
+    out[np.searchsorted(place, other)] = lead
+    return out
+
+
+def _judged(parts: int) -> Callable:
     """For a range of keys: sorts the lists of all slices and ranks what two documents share. Replies: first places, ranks, numbers, least docs."""
-    part = key[0].as_py()
+    return lambda key, table: _judge(key[0].as_py(), parts, table)
+
+
+def _judge(part: int, parts: int, table: pa.Table) -> pa.Table:
     kinds, chunks, data = (table[c].to_pylist() for c in ("kind", "chunk", "data"))
     rows = [(c, STATE, d) for c, k, d in zip(chunks, kinds, data, strict=True) if k == STATE]
     lists = [(c, d) for c, k, d in zip(chunks, kinds, data, strict=True) if k == LIST]
@@ -173,7 +192,7 @@ def _judged(key: tuple, table: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (m[1:] != m[:-1]))))
         least = np.minimum.reduceat(doc[order], first)
         shared = (np.maximum.reduceat(doc[order], first) != least) | (np.maximum.reduceat(several[order], first) > 0)
-        rank = (part << 32) + np.cumsum(shared) - 1
+        rank = (np.cumsum(shared) - 1) * parts + part  # ranks of all ranges are dense together, so that they pack well
         spread = np.empty(len(v), np.int64)
         spread[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
         total = np.add.reduceat(count[order], first)
@@ -207,6 +226,20 @@ def _found(places: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 # ---- the rounds
 
 
+def _sorted(x: np.ndarray) -> bytes:
+    return hs.pack_sorted(x.astype(np.uint64))
+
+
+def _places(data: bytes) -> np.ndarray:
+    return hs.unpack_sorted(data).astype(np.int64)
+
+
+def _doc(state: list[bytes], place: np.ndarray) -> np.ndarray:
+    """The doc_id at each place of a slice."""
+    ids, at = np.frombuffer(state[0], np.int64), np.frombuffer(state[2], np.uint32)
+    return ids[np.searchsorted(at[1:], place, side="right")]
+
+
 def _first(parts: int) -> Callable:
     """Round 0, by slice: the positions, by hashes of their 26 bytes."""
 
@@ -215,17 +248,19 @@ def _first(parts: int) -> Callable:
             data, at = hs.flat(batch.column("text"))
             place, h = positions(data, at)
             if len(place):
-                ids = batch.column("k1").to_numpy(zero_copy_only=False)
-                doc = ids[np.searchsorted(at[1:], place, side="right")]
-                rows, lead = _lists(chunk, h >> np.uint64(64 - GRAM_BITS), np.zeros(len(h), np.int64), GRAM_BITS, doc, place, parts)
-                other = lead != place
-                yield hs.batch_of([*rows, _state_row(chunk, [*_table(batch, at), _pack(place[other], lead[other])])], _ROW)
+                table = _table(batch, at)
+                rows, lead = _lists(chunk, _range(h, parts), h >> np.uint64(64 - GRAM_BITS), np.zeros(len(h), np.int64), _doc(table, place), place)
+                yield hs.batch_of([*rows, _state_row(chunk, [*table, _others(place, lead)])], _ROW)
 
     return run
 
 
+# State of a slice between rounds: table of texts (3), then places, ranks, offsets of the following run (0: none), lengths and largest numbers of
+# runs; all places that were shared; starts of strings that go, and of those that stay
+
+
 def _ranked_first(key: tuple, table: pa.Table) -> pa.Table:
-    """State of a slice after round 0: table of texts, then places, ranks, following places, lengths and largest numbers of runs; places shared; settled strings."""
+    """State of a slice after round 0."""
     state, (place, rank, n, _) = _gathered(table)
     if not len(place):
         return _STATE.empty_table()
@@ -234,12 +269,11 @@ def _ranked_first(key: tuple, table: pa.Table) -> pa.Table:
     place, rank, n = np.concatenate((place, other[ok])), np.concatenate((rank, rank[i[ok]])), np.concatenate((n, n[i[ok]]))
     order = np.argsort(place)
     place, rank, n = place[order], rank[order], n[order]
-    doc = np.searchsorted(np.frombuffer(state[2], np.uint32)[1:], place, side="right")
-    follow = np.full(len(place), NONE)
-    near = (np.diff(place) <= GRAM) & (np.diff(doc) == 0)
-    follow[:-1][near] = place[1:][near]
-    runs = [place.astype(np.uint32), rank.astype(np.int64), follow, np.full(len(place), GRAM, np.uint32), n.astype(np.int64)]
-    data = [*state[:3], *(x.tobytes() for x in runs), place.astype(np.uint32).tobytes(), b"", b""]
+    text = np.searchsorted(np.frombuffer(state[2], np.uint32)[1:], place, side="right")
+    offset = np.zeros(len(place), np.int64)
+    near = (np.diff(place) <= GRAM) & (np.diff(text) == 0)
+    offset[:-1][near] = np.diff(place)[near]
+    data = [*state[:3], _sorted(place), *(hs.pack_ints(x) for x in (rank, offset, np.full(len(place), GRAM), n)), _sorted(place), b"", b""]
     return pa.Table.from_batches([hs.batch_of([(key[0].as_py(), data)], _STATE)])
 
 
@@ -248,19 +282,17 @@ def _doubled(parts: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                place, rank, follow, length, top = (np.frombuffer(d, t) for d, t in zip(data[3:8], (np.uint32, np.int64, np.uint32, np.uint32, np.int64), strict=True))
-                j, ok = _found(place, follow)
-                i, j = np.flatnonzero(ok), j[ok]
-                offset = (follow[i] - place[i]).astype(np.int64)
+            for chunk, state in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                place = _places(state[3])
+                rank, offset, length, top = map(hs.unpack_ints, state[4:8])
+                j, ok = _found(place, place + offset)
+                i = np.flatnonzero(ok & (offset > 0))
+                j, offset_j, offset = j[i], offset[j[i]], offset[i]
                 more = rank[j] << OFFSET_BITS | offset
-                # with `more`, the key tells the first rank: pairs are compared exactly
-                key = hs.mixed(rank[i].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * more.astype(np.uint64))
-                ids, at = np.frombuffer(data[0], np.int64), np.frombuffer(data[2], np.uint32)
-                doc = ids[np.searchsorted(at[1:], place[i], side="right")]
-                rows, lead = _lists(chunk, key, more, 64, doc, place[i], parts)
-                runs = [place[i], lead, follow[j], (offset + length[j]).astype(np.uint32), np.maximum(top[i], top[j])]
-                yield hs.batch_of([*rows, _state_row(chunk, [*data[:3], *(x.tobytes() for x in runs), *data[8:]])], _ROW)
+                part = _range(hs.mixed(rank[i].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * more.astype(np.uint64)), parts)
+                rows, lead = _lists(chunk, part, rank[i], more, _doc(state, place[i]), place[i])
+                runs = [_sorted(place[i]), _others(place[i], lead), *(hs.pack_ints(x) for x in (np.where(offset_j > 0, offset + offset_j, 0), offset + length[j], np.maximum(top[i], top[j])))]
+                yield hs.batch_of([*rows, _state_row(chunk, [*state[:3], *runs, *state[8:]])], _ROW)
 
     return run
 
@@ -268,17 +300,16 @@ def _doubled(parts: int) -> Callable:
 def _ranked(key: tuple, table: pa.Table) -> pa.Table:
     """State of a slice after a further round: the runs that another document shares, and the strings that they settle."""
     state, (found, rank, n, least) = _gathered(table)
-    place, lead, follow, length, top = (np.frombuffer(d, t) for d, t in zip(state[3:8], (np.uint32, np.uint32, np.uint32, np.uint32, np.int64), strict=True))
-    j, ok = _found(found, lead)
-    place, follow, length, top, j = place[ok], follow[ok], length[ok], top[ok], j[ok]
-    rank, n, least = rank[j], n[j], least[j]
-    ids, at = np.frombuffer(state[0], np.int64), np.frombuffer(state[2], np.uint32)
-    doc = ids[np.searchsorted(at[1:], place, side="right")]
-    start = place.astype(np.int64)
-    end = start + length - LENGTH + 1
-    go, stay = (end > start) & (least < doc), (end > start) & (least == doc) & (n == top)
-    data = [*state[:3], place.tobytes(), rank.astype(np.int64).tobytes(), follow.tobytes(), length.tobytes(), top.tobytes(), state[8]]
-    return pa.Table.from_batches([hs.batch_of([(key[0].as_py(), [*data, _joined(state[9], (start[go], end[go])), _joined(state[10], (start[stay], end[stay]))])], _STATE)])
+    place = _places(state[3])
+    offset, length, top = map(hs.unpack_ints, state[5:8])
+    j, ok = _found(found, _leads(place, state[4]))
+    place, offset, length, top, j = place[ok], offset[ok], length[ok], top[ok], j[ok]
+    rank, n, least, doc = rank[j], n[j], least[j], _doc(state, place)
+    end = place + length - LENGTH + 1
+    go, stay = (end > place) & (least < doc), (end > place) & (least == doc) & (n == top)
+    settled = [_joined(state[9], (place[go], end[go])), _joined(state[10], (place[stay], end[stay]))]
+    data = [*state[:3], _sorted(place), *(hs.pack_ints(x) for x in (rank, offset, length, top)), state[8], *settled]
+    return pa.Table.from_batches([hs.batch_of([(key[0].as_py(), data)], _STATE)])
 
 
 def _by_doc(at: np.ndarray, intervals: tuple[np.ndarray, np.ndarray]) -> dict[int, bytes]:
@@ -293,7 +324,7 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batch.column("data").to_pylist():
             k1, k2, at = (np.frombuffer(d, t) for d, t in zip(data[:3], (np.int64, np.int64, np.uint32), strict=True))
             at = at.astype(np.int64)
-            place = np.frombuffer(data[8], np.uint32).astype(np.int64)
+            place = _places(data[8])
             doc = np.searchsorted(at[1:], place, side="right")
             zone = np.maximum(place - CHOICES + 1, at[doc]), np.minimum(place, at[doc + 1] - LENGTH) + 1
             go, stay = _unpack(data[9]), _unpack(data[10])
@@ -317,10 +348,9 @@ def _strings(parts: int) -> Callable:
             own = hs.starts(size, LENGTH)
             place = own + np.repeat(start - begin, size - LENGTH + 1)
             key, more = (hs.windows(piece, LENGTH, k)[own] for k in (0, 1))
-            doc = batch.column("k1").to_numpy(zero_copy_only=False)[np.searchsorted(at[1:], place, side="right")]
-            rows, lead = _lists(chunk, key >> np.uint64(64 - GRAM_BITS), (more >> np.uint64(32)).astype(np.int64), GRAM_BITS, doc, place, parts)
-            other = lead != place
-            yield hs.batch_of([*rows, _state_row(chunk, [*_table(batch, at), _pack(place[other], lead[other])])], _ROW)
+            table = _table(batch, at)
+            rows, lead = _lists(chunk, _range(key, parts), key >> np.uint64(64 - STRING_BITS), (more >> np.uint64(32)).astype(np.int64), _doc(table, place), place)
+            yield hs.batch_of([*rows, _state_row(chunk, [*table, _others(place, lead)])], _ROW)
 
     return run
 
@@ -332,7 +362,7 @@ def _gone(key: tuple, table: pa.Table) -> pa.Table:
     i, ok = _found(place, lead)
     place, least = np.concatenate((place, other[ok])), np.concatenate((least, least[i[ok]]))
     k1, k2, at = (np.frombuffer(d, t) for d, t in zip(state[:3], (np.int64, np.int64, np.uint32), strict=True))
-    go = np.sort(place[least < k1[np.searchsorted(at[1:], place, side="right")]])
+    go = np.sort(place[least < _doc(state, place)])
     rows = _by_doc(at.astype(np.int64), cover((go, go + 1)))
     return pa.Table.from_batches([hs.batch_of([(int(k1[d]), int(k2[d]), None, x) for d, x in rows.items()], _DOC)])
 
@@ -343,9 +373,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
 
 
-def _round(rows: DataFrame, judge: Callable, sql: str, name: str) -> DataFrame:
+def _round(rows: DataFrame, parts: int, judge: Callable, sql: str, name: str) -> DataFrame:
     """rows by range of keys, then by slice, as a written table."""
-    out = common.staged(rows.groupBy("part").applyInArrow(_judged, _REPLY_SQL).groupBy("chunk").applyInArrow(judge, sql), name)
+    out = common.staged(rows.groupBy("part").applyInArrow(_judged(parts), _REPLY_SQL).groupBy("chunk").applyInArrow(judge, sql), name)
     common.release(rows.sparkSession)
     return out
 
@@ -360,15 +390,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(docs) // RANGE_BYTES)
     texts = keyed(docs).where("k1 is not null")
-    state = _round(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_first(parts), _ROW_SQL), _ranked_first, _STATE_SQL, "ranks-0")
+    state = _round(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_first(parts), _ROW_SQL), parts, _ranked_first, _STATE_SQL, "ranks-0")
     for k in range(1, ROUNDS + 1):
         before = state
-        state = _round(state.mapInArrow(_doubled(parts), _ROW_SQL), _ranked, _STATE_SQL, f"ranks-{k}")
+        state = _round(state.mapInArrow(_doubled(parts), _ROW_SQL), parts, _ranked, _STATE_SQL, f"ranks-{k}")
         common.drop(before)
     left = common.staged(_once(state.mapInArrow(_left, _DOC_SQL)), "open-strings")
     common.drop(state)
     near = texts.join(left.where("open is not null").select("k1", "k2", "open"), ["k1", "k2"]).sortWithinPartitions("k1", "k2")
-    strings = _round(near.select("k1", "k2", "text", "open").mapInArrow(_strings(parts), _ROW_SQL), _gone, _DOC_SQL, "strings")
+    strings = _round(near.select("k1", "k2", "text", "open").mapInArrow(_strings(parts), _ROW_SQL), parts, _gone, _DOC_SQL, "strings")
     settled = left.where("gone is not null").select("k1", "k2", "gone")
     compared = _once(strings).select("k1", "k2", F.col("gone").alias("more"))
     out = common.staged(settled.join(compared, ["k1", "k2"], "full"), "repeats")

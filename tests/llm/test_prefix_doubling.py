@@ -82,9 +82,9 @@ def test_rounds_settle_what_lies_within(spark):
 
     df = spark.createDataFrame([(i, long[:10_000] + f"#{i}#" + long[10_000:]) for i in range(6)], "doc_id long, text string").repartition(3)
     texts = pd.keyed(df)
-    state = pd._round(texts.mapInArrow(pd._first(8), pd._ROW_SQL), pd._ranked_first, pd._STATE_SQL, "t")
+    state = pd._round(texts.mapInArrow(pd._first(8), pd._ROW_SQL), 8, pd._ranked_first, pd._STATE_SQL, "t")
     for k in range(pd.ROUNDS):
-        state = pd._round(state.mapInArrow(pd._doubled(8), pd._ROW_SQL), pd._ranked, pd._STATE_SQL, f"t{k}")
+        state = pd._round(state.mapInArrow(pd._doubled(8), pd._ROW_SQL), 8, pd._ranked, pd._STATE_SQL, f"t{k}")
     left = state.mapInArrow(seen, pd._DOC_SQL).collect()
     assert len(left) == 6
     for r in left:
@@ -104,6 +104,8 @@ def test_positions():
     assert sorted(want) == place.tolist() and (every[place] == h).all()
     for x in ([], [5], [-7, 3, 2**62, -(2**62)], [0, 0], list(range(300))):
         assert hs.unpack_ints(hs.pack_ints(np.array(x, np.int64))).tolist() == x
+    for x in ([], [4], [4, 4, 4], [0, 0, 2**40]):
+        assert hs.unpack_sorted(hs.pack_sorted(np.array(x, np.uint64))).tolist() == x
 
 
 def test_cover():
