@@ -67,15 +67,15 @@ def point_in_line(px, py, ax, ay, bx, by, eps: float = 1e-3) -> Column:
 
 
 def orientation(sx, sy, ex, ey, rotation=None, eps: float = 1e-4) -> Column:
-    """Orientation of a baseline; one of no length takes the rotation (degrees) of its box."""
+    """Orientation of a baseline; one of no length takes the rotation (degrees) of its box. Rotate90 reads upward, Rotate270 downward."""
     dx, dy = ex - sx, ey - sy
     flat, upright = F.abs(dy) < eps, F.abs(dx) < eps
-    by_line = F.when(flat, F.when(dx > 0, "Horizontal").otherwise("Rotate180")).when(upright, F.when(dy > 0, "Rotate90").otherwise("Rotate270")).otherwise("Other")
+    by_line = F.when(flat, F.when(dx > 0, "Horizontal").otherwise("Rotate180")).when(upright, F.when(dy < 0, "Rotate90").otherwise("Rotate270")).otherwise("Other")
     if rotation is None:
         return by_line
     r = F.pmod(rotation, F.lit(360.0))
     near = lambda v: F.abs(r - v) < eps
-    by_box = F.when(near(0) | near(360), "Horizontal").when(near(180), "Rotate180").when(near(90), "Rotate90").when(near(270), "Rotate270").otherwise("Other")
+    by_box = F.when(near(0) | near(360), "Horizontal").when(near(180), "Rotate180").when(near(270), "Rotate90").when(near(90), "Rotate270").otherwise("Other")
     return F.when(flat & upright, by_box).otherwise(by_line)
 
 
@@ -158,7 +158,7 @@ def letter_box(position_from, position_to, o: Column, left, top, right, bottom)
     pick = lambda h, r180, r90, r270: F.when(o == "Rotate180", r180).when(o == "Rotate90", r90).when(o == "Rotate270", r270).otherwise(h)
     return (
         pick(left + position_from, right - position_to, left, left),
-        pick(top, top, top + position_from, bottom - position_to),
+        pick(top, top, bottom - position_to, top + position_from),
         pick(left + position_to, right - position_from, right, right),
-        pick(bottom, bottom, top + position_to, bottom - position_from),
+        pick(bottom, bottom, bottom - position_from, top + position_to),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import histogram, lookup, neighbours, order, outline, search, selection
+from ..operators import histogram, layout, lookup, neighbours, order, outline, search, selection
 from ..session import spread, table
 from ..sources import letters as L
 
@@ -323,7 +323,7 @@ _P4 = "p AS (SELECT vec_id, embedding[1]::DOUBLE AS ax, embedding[2]::DOUBLE AS
     "WITH " + _P4 + """ SELECT vec_id, round(sqrt((ax-bx)*(ax-bx)+(ay-b_y)*(ay-b_y)), 6) AS euclidean, round(sqrt(2*(ax-bx)*(ax-bx)+3*(ay-b_y)*(ay-b_y)), 6) AS weighted, round(abs(ax-bx)+abs(ay-b_y), 6) AS manhattan,
   round(degrees(atan2(b_y-ay, bx-ax)), 6) AS angle, round(((cx-ax)*(bx-ax)+(cy-ay)*(b_y-ay))/nullif((bx-ax)*(bx-ax)+(b_y-ay)*(b_y-ay),0), 6) AS s,
   round(3*degrees(atan2(b_y-ay, bx-ax)) - 360*floor((3*degrees(atan2(b_y-ay, bx-ax))+180)/360), 6) AS bound,
-  CASE WHEN abs(b_y-ay) < 0.02 THEN CASE WHEN bx > ax THEN 'Horizontal' ELSE 'Rotate180' END WHEN abs(bx-ax) < 0.02 THEN CASE WHEN b_y > ay THEN 'Rotate90' ELSE 'Rotate270' END ELSE 'Other' END AS orientation,
+  CASE WHEN abs(b_y-ay) < 0.02 THEN CASE WHEN bx > ax THEN 'Horizontal' ELSE 'Rotate180' END WHEN abs(bx-ax) < 0.02 THEN CASE WHEN b_y < ay THEN 'Rotate90' ELSE 'Rotate270' END ELSE 'Other' END AS orientation,
   round(greatest(least(greatest(ax,bx),0.1)-greatest(least(ax,bx),-0.1),0)*greatest(least(greatest(ay,b_y),0.1)-greatest(least(ay,b_y),-0.1),0), 6) AS overlap FROM p"""
 )
 def geometry_scalars(spark, sf_dir):
@@ -451,13 +451,71 @@ def grid_letters(paged: DataFrame) -> DataFrame:
     return L.letters(paged).select("doc_id", "page_no", "seq", "value", x.alias("left"), (y - L.HEIGHT).alias("top"), (x + L.CELL).alias("right"), y.alias("bottom"), F.lit(L.POINT).alias("point_size"), F.lit("Horizontal").alias("orientation"))
 
 
-@query(_with(_LETTERS, _WORDS) + """SELECT doc_id, page_no::INT AS page_no, count(*) AS n_words, sum(n_letters)::BIGINT AS n_letters, sum("left")::DOUBLE AS sum_left, sum(bottom)::DOUBLE AS sum_bottom, sum(word_idx * unicode(value))::BIGINT AS sum_values FROM words GROUP BY 1, 2""")
+# lines and blocks of a grid page: a row is a line, and a page a block. Only where a page's one row has two words that touch is the usual
+# gap of its words 0, which no gap is below: then both are lines and blocks
+_LINED = """
+rowed AS (SELECT *, count(*) OVER p = 2 AND max("left") OVER p = min("right") OVER p AS alone, dense_rank() OVER (p ORDER BY r) - 1 AS row_idx FROM words WINDOW p AS (PARTITION BY doc_id, page_no)),
+lined AS (SELECT *, CASE WHEN alone THEN word_idx ELSE row_idx END AS line_idx, CASE WHEN alone THEN word_idx ELSE 0 END AS block_idx FROM rowed)
+"""
+
+
+def _layout_sums(words: DataFrame) -> DataFrame:
+    sums = {"n_letters": F.sum("n_letters"), "sum_lines": F.sum((F.col("word_idx") + 1) * F.col("line_idx")), "sum_blocks": F.sum((F.col("word_idx") + 1) * F.col("block_idx")), "sum_values": F.sum(F.col("word_idx") * F.ascii("value").cast("bigint"))}
+    return words.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_words"), *(c.cast("bigint").alias(k) for k, c in sums.items()), F.sum("left").alias("sum_left"), F.sum("bottom").alias("sum_bottom"))
+
+
+_LAYOUT_SUMS = "SELECT doc_id, page_no::INT AS page_no, count(*) AS n_words, sum(n_letters)::BIGINT AS n_letters, sum((word_idx + 1) * line_idx)::BIGINT AS sum_lines, sum((word_idx + 1) * block_idx)::BIGINT AS sum_blocks, sum(word_idx * unicode(value))::BIGINT AS sum_values, sum({left})::DOUBLE AS sum_left, sum(bottom)::DOUBLE AS sum_bottom FROM lined GROUP BY 1, 2"
+
+
+@query(_with(_LETTERS, _WORDS, _LINED) + _LAYOUT_SUMS.format(left='"left"'))
 def layout_words(spark, sf_dir):
-    """Letters of whole documents through the general layout (neighbours, lines, blocks), summed by page: boxes, and values at their places."""
-    from ..operators.layout import layout
+    """Letters of whole documents through the general layout (neighbours, lines, blocks), summed by page: boxes, values at their places, lines and blocks."""
+    return _layout_sums(layout.layout(grid_letters(_pages(spark, sf_dir))))
+
+
+#: Turns of pages by doc_id modulo their number: degrees, cosine and sine.
+_TURNS = ((0, 1.0, 0.0), (90, 0.0, 1.0), (180, -1.0, 0.0), (270, 0.0, -1.0), (20, 0.9396926207859084, 0.3420201433256687))
+_TURNED = ("Horizontal", "Rotate270", "Rotate180", "Rotate90", "Other")
+
+
+def _by_turn(pick) -> F.Column:
+    out = F.lit(pick(0))
+    for k in range(1, len(_TURNS)):
+        out = F.when(F.pmod("doc_id", F.lit(len(_TURNS))) == k, F.lit(pick(k))).otherwise(out)
+    return out
+
+
+def turned_letters(paged: DataFrame) -> DataFrame:
+    """Letters of the grid in two columns 300 apart, each page turned to the right by its document's number, with corners of boxes."""
+    cos, sin = _by_turn(lambda k: _TURNS[k][1]), _by_turn(lambda k: _TURNS[k][2])
+    x = F.col("c") * L.CELL + F.when(F.col("c") >= 40, 300.0).otherwise(0.0)
+    y = (F.col("r") * L.PITCH).cast("double")
+    corners = {"bl": (x, y), "br": (x + L.CELL, y), "tl": (x, y - L.HEIGHT), "tr": (x + L.CELL, y - L.HEIGHT)}
+    places = [c for name, (u, v) in corners.items() for c in ((u * cos - v * sin).alias(f"{name}_x"), (u * sin + v * cos).alias(f"{name}_y"))]
+    return L.letters(paged).select("doc_id", "page_no", "seq", "value", F.lit(L.POINT).alias("point_size"), _by_turn(lambda k: _TURNED[k]).alias("orientation"), *places)
+
+
+# islands of letters in a column of 40 cells; a column is a block, and a row of it a line
+_COLUMNS = r"""
+c1 AS (SELECT *, c >= 40 AS far, regexp_matches(ch, '^\p{P}$') AS p FROM letters WHERE NOT regexp_matches(ch, '^[\s\p{Z}\x{85}\x0b]$')),
+c2 AS (SELECT *, CASE WHEN c = lag(c) OVER w + 1 AND c <> 40 AND NOT p AND NOT lag(p) OVER w THEN 0 ELSE 1 END AS new FROM c1 WINDOW w AS (PARTITION BY doc_id, page_no, r ORDER BY c)),
+c3 AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page_no ORDER BY r, c ROWS UNBOUNDED PRECEDING) AS isle FROM c2),
+c4 AS (SELECT doc_id, page_no, far, r, isle, string_agg(ch, '' ORDER BY c) AS value, min(c) * 6.0 + CASE WHEN far THEN 300 ELSE 0 END AS x0, (max(c) + 1) * 6.0 + CASE WHEN far THEN 300 ELSE 0 END AS x1, r * 14.0 AS y FROM c3 GROUP BY doc_id, page_no, far, r, isle),
+c5 AS (SELECT *, min(isle) OVER (PARTITION BY doc_id, page_no, far) AS of_block FROM c4),
+c6 AS (SELECT *, row_number() OVER (w ORDER BY of_block, r, isle) - 1 AS word_idx, dense_rank() OVER (w ORDER BY of_block, r) - 1 AS row_idx, dense_rank() OVER (w ORDER BY of_block) - 1 AS col_idx,
+  count(*) OVER w = 2 AND max(x0) OVER w = min(x1) OVER w AS alone, doc_id % 5 AS k FROM c5 WINDOW w AS (PARTITION BY doc_id, page_no)),
+c7 AS (SELECT *, CASE WHEN alone THEN word_idx ELSE row_idx END AS line_idx, CASE WHEN alone THEN word_idx ELSE col_idx END AS block_idx FROM c6),
+turned AS (SELECT *, [1.0, 0.0, -1.0, 0.0, 0.9396926207859084][k + 1]::DOUBLE AS cs, [0.0, 1.0, 0.0, -1.0, 0.3420201433256687][k + 1]::DOUBLE AS sn FROM c7)
+"""
+_CORNERS_SQL = ", ".join(f"round({x} * cs - {y} * sn, 3)::DOUBLE + 0 AS {n}_x, round({x} * sn + {y} * cs, 3)::DOUBLE + 0 AS {n}_y" for n, x, y in (("bl", "x0", "y"), ("br", "x1", "y"), ("tl", "x0", "(y - 10)"), ("tr", "x1", "(y - 10)")))
 
-    sums = {"sum_left": F.sum("left"), "sum_bottom": F.sum("bottom"), "sum_values": F.sum(F.col("word_idx") * F.ascii("value").cast("bigint"))}
-    return layout(grid_letters(_pages(spark, sf_dir))).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_words"), F.sum("n_letters").cast("bigint").alias("n_letters"), *(c.alias(k) for k, c in sums.items()))
+
+@query(_with(_LETTERS, _COLUMNS) + f"SELECT doc_id, page_no::INT AS page_no, word_idx::INT AS word_idx, line_idx::INT AS line_idx, block_idx::INT AS block_idx, value, ['Horizontal', 'Rotate270', 'Rotate180', 'Rotate90', 'Other'][k + 1] AS orientation, {_CORNERS_SQL} FROM turned")
+def turned_layout(spark, sf_dir):
+    """Pages of two columns, turned by 0, 90, 180, 270 or 20 degrees: words with their places, lines, blocks and corners."""
+    words = layout.layout(turned_letters(_pages(spark, sf_dir)))
+    corners = [(F.round(c, 3) + 0.0).alias(c) for c in layout.CORNER_COLUMNS]
+    return words.select("doc_id", "page_no", "word_idx", "line_idx", "block_idx", "value", "orientation", *corners)
 
 
 @query(_with(_LETTERS) + "SELECT doc_id, page_no::INT AS page_no, count(*) AS n_letters, sum(2 * (80 * r + c) + 1)::BIGINT AS sum_seq, sum(6 * c + 1.5)::DOUBLE AS sum_x FROM letters GROUP BY 1, 2")
@@ -547,10 +605,9 @@ def selection_partial(spark, sf_dir):
     return shown.select("doc_id", "page_no", "word_idx", "token", "shown")
 
 
-@query(_with(_LETTERS, _WORDS) + """SELECT doc_id, page_no::INT AS page_no, count(*) AS n_words, sum(n_letters)::BIGINT AS n_letters, sum("left" + 0.5)::DOUBLE AS sum_left, sum(bottom)::DOUBLE AS sum_bottom, sum(word_idx * unicode(value))::BIGINT AS sum_values FROM words GROUP BY 1, 2""")
+@query(_with(_LETTERS, _WORDS, _LINED) + _LAYOUT_SUMS.format(left='"left" + 0.5'))
 def pdf_words(spark, sf_dir):
     """Documents as PDF files, each letter drawn twice, through the whole path: letters, overlap dedup, words, lines and blocks; summed by page."""
-    from ..operators.layout import layout
     from ..operators.overlap import dedup
     from ..sources import pdf, pdf_write
 
@@ -559,7 +616,4 @@ def pdf_words(spark, sf_dir):
         return pdf_write.write(text or "", 0.5)
 
     files = spread(table(spark, sf_dir, "documents")).select("doc_id", written("text").alias("content"))
-    found = layout(dedup(pdf.placed(pdf.parsed(files, "letters", key="doc_id"))))
-    return found.groupBy("doc_id", "page_no").agg(
-        F.count(F.lit(1)).alias("n_words"), F.sum("n_letters").cast("bigint").alias("n_letters"), F.sum("left").alias("sum_left"), F.sum("bottom").alias("sum_bottom"), F.sum(F.col("word_idx") * F.ascii("value").cast("bigint")).alias("sum_values")
-    )
+    return _layout_sums(layout.layout(dedup(pdf.placed(pdf.parsed(files, "letters", key="doc_id")))))
