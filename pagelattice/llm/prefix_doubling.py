@@ -11,7 +11,8 @@ bytes. Neighbouring positions of one text are at most 25 apart unless their 50 b
 
 A run of 50 bytes or more whose smallest doc_id is below a document's settles the strings within: they go. A run whose smallest doc_id is
 the document's own, and that stands wherever its positions stand, settles them too: they stay, and nobody asks for them. What is left are strings near the ends of
-repeats. They are compared as they are, each distinct one once a slice, by 88 bits of hash; the least doc_id of each comes back.
+repeats, less those whose own position isn't shared. Their stretches of text are cut out, and the strings are compared as they are, each distinct one
+once a slice, by 88 bits of hash; the least doc_id of each comes back.
 
 Slices send each rank pair (or string) once, with its least doc_id and its first place, and keep the other places to themselves. No pairs of
 documents are formed. Texts go through a shuffle twice, by key: those with open strings, and all when spans meet texts.
@@ -42,7 +43,7 @@ CHOICES = LENGTH - GRAM + 1
 #: Doublings: runs of up to 2 ** ROUNDS positions.
 ROUNDS = 3
 #: Bytes of text of a slice, of a step of hashing, and of input for each range of keys.
-SLICE, STEP, RANGE_BYTES = 8 << 20, 1 << 17, 2 << 20
+SLICE, STEP, RANGE_BYTES = 8 << 20, 1 << 17, 8 << 20
 #: Bits of the hash of a first rank and of a string (which has 32 more), and of the offset within a pair of ranks.
 GRAM_BITS, STRING_BITS, OFFSET_BITS = 48, 56, 7
 
@@ -52,8 +53,10 @@ _REPLY = pa.schema([("chunk", pa.int64()), ("kind", pa.int8()), ("data", pa.list
 _REPLY_SQL = "chunk bigint, kind tinyint, data array<binary>"
 _STATE = pa.schema([("chunk", pa.int64()), ("data", pa.list_(pa.binary()))])
 _STATE_SQL = "chunk bigint, data array<binary>"
-_DOC = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("open", pa.binary()), ("gone", pa.binary())])
-_DOC_SQL = "k1 bigint, k2 bigint, open binary, gone binary"
+_DOC = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("open", pa.binary()), ("shared", pa.binary()), ("gone", pa.binary())])
+_DOC_SQL = "k1 bigint, k2 bigint, open binary, shared binary, gone binary"
+_STRETCH = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("open", pa.binary()), ("stretch", pa.binary())])
+_STRETCH_SQL = "k1 bigint, k2 bigint, open binary, stretch binary"
 LIST, STATE = 0, 1
 #: A random 64-bit number for each byte, so that sums over bytes spread well.
 _BYTES = hs.mixed(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
@@ -92,18 +95,11 @@ def _joined(a: bytes, b: tuple[np.ndarray, np.ndarray]) -> bytes:
 # ---- positions
 
 
-def positions(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the chosen 26-byte strings of texts that stand end to end in data (from at[i] to at[i + 1])."""
-    n, ends = len(data), at[1:]
-    bad = np.zeros(n + 1, np.int8)  # where no string of LENGTH bytes starts
-    np.add.at(bad, np.maximum(at[:-1], ends - LENGTH + 1), 1)
-    np.add.at(bad, ends, -1)
-    good = np.cumsum(bad, dtype=np.int8)[:n] == 0
-    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+def _chosen(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By steps: where a step begins, hashes of its 26-byte strings, and for each 50-byte string of it the place, in the step, of the one taken."""
     low = np.uint64((1 << 20) - 1)
-    for start in range(0, max(n - LENGTH + 1, 0), STEP):
-        piece = data[start : start + STEP + LENGTH - 1]
-        h = hs.windows(_BYTES[piece], GRAM)
+    for start in range(0, max(len(data) - LENGTH + 1, 0), STEP):
+        h = hs.windows(_BYTES[data[start : start + STEP + LENGTH - 1]], GRAM)
         v = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # the least one, the first of equals
         size = 1
         while 2 * size <= CHOICES:
@@ -111,7 +107,19 @@ def positions(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             size *= 2
         if size < CHOICES:
             v = np.minimum(v[: len(v) - (CHOICES - size)], v[CHOICES - size :])
-        chosen = (v[good[start : start + len(v)]] & low).astype(np.int64)
+        yield start, h, (v & low).astype(np.int64)
+
+
+def positions(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the chosen 26-byte strings of texts that stand end to end in data (from at[i] to at[i + 1])."""
+    ends = at[1:]
+    bad = np.zeros(len(data) + 1, np.int8)  # where no string of LENGTH bytes starts
+    np.add.at(bad, np.maximum(at[:-1], ends - LENGTH + 1), 1)
+    np.add.at(bad, ends, -1)
+    good = np.cumsum(bad, dtype=np.int8) == 0
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for start, h, chosen in _chosen(data):
+        chosen = chosen[good[start : start + len(chosen)]]
         if len(chosen):
             chosen = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))]
             hashes.append(h[chosen])
@@ -120,10 +128,15 @@ def positions(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, np.concatenate(hashes)[i]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def owners(data: np.ndarray) -> np.ndarray:
+    """The place of the chosen 26-byte string of each 50-byte string of data."""
+    return np.concatenate([np.zeros(0, np.int64), *(chosen + start for start, _, chosen in _chosen(data))])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[int, pa.RecordBatch]]:
     """Slices in which texts stand by rising doc_id, so that an earlier place is never one of a larger doc_id; numbered by partition and order."""
     task = TaskContext.get().partitionId()
-    for n, batch in enumerate(common.slices(batches, "text", SLICE, 60_000)):
+    for n, batch in enumerate(common.slices(batches, column, SLICE, 60_000)):
         yield task << 32 | n, batch.sort_by("k1")
 
 
@@ -319,7 +332,7 @@ def _by_doc(at: np.ndarray, intervals: tuple[np.ndarray, np.ndarray]) -> dict[in
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """After the rounds, by text: starts of strings that are still open (null: none), and of those that go."""
+    """After the rounds, by text: starts of strings that are still open, with shared places (null: none), and starts of those that go."""
     for batch in batches:
         for data in batch.column("data").to_pylist():
             k1, k2, at = (np.frombuffer(d, t) for d, t in zip(data[:3], (np.int64, np.int64, np.uint32), strict=True))
@@ -330,27 +343,51 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             go, stay = _unpack(data[9]), _unpack(data[10])
             settled = np.concatenate((go[0], stay[0])), np.concatenate((go[1], stay[1]))
             is_open, gone = _by_doc(at, cover(zone, settled)), _by_doc(at, go)
-            yield hs.batch_of([(int(k1[d]), int(k2[d]), is_open.get(d), gone.get(d)) for d in sorted({*is_open, *gone})], _DOC)
+            shared = {d: _sorted(place[s] - int(at[d])) for d, s in hs.cut_by_bucket(doc) if d in is_open}
+            yield hs.batch_of([(int(k1[d]), int(k2[d]), is_open.get(d), shared.get(d), gone.get(d)) for d in sorted({*is_open, *gone})], _DOC)
+
+
+def _stretched(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings starting in intervals: indexes of the bytes that each interval's span, end to end; where each string begins among them, and its interval."""
+    size = end - start + LENGTH - 1
+    begin = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - begin, size), hs.starts(size, LENGTH), np.repeat(np.arange(len(size)), end - start)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open strings whose own position is shared, with the bytes that they span."""
+    for batch in common.slices(batches, "text", SLICE, 60_000):
+        data, at = hs.flat(batch.column("text"))
+        found = [_unpack(x) for x in batch.column("open").to_pylist()]
+        start = np.concatenate([a + at[i] for i, (a, _) in enumerate(found)])
+        end = np.concatenate([b + at[i] for i, (_, b) in enumerate(found)])
+        shared = np.concatenate([_places(x) + at[i] for i, x in enumerate(batch.column("shared").to_pylist())])
+        index, own, _ = _stretched(start, end)
+        taken = index[owners(data[index])[own]]
+        place = index[own][_found(shared, taken)[1]]
+        a, b = cover((place, place + 1))
+        rows = []
+        k1, k2 = (batch.column(c).to_pylist() for c in ("k1", "k2"))
+        for d, s in hs.cut_by_bucket(np.searchsorted(at[1:], a, side="right")):
+            rows.append((k1[d], k2[d], _pack(a[s] - at[d], b[s] - at[d]), data[_stretched(a[s], b[s])[0]].tobytes()))
+        yield hs.batch_of(rows, _STRETCH)
 
 
 def _strings(parts: int) -> Callable:
-    """Last round, by slice: the open strings themselves, by two hashes."""
+    """Last round, by slice: the open strings themselves, by two hashes. Places are counted through the stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, batch in _slices(batches):
-            data, at = hs.flat(batch.column("text"))
+        for chunk, batch in _slices(batches, "stretch"):
+            data, at = hs.flat(batch.column("stretch"))
             found = [_unpack(x) for x in batch.column("open").to_pylist()]
-            start = np.concatenate([a + at[i] for i, (a, _) in enumerate(found)])
-            end = np.concatenate([b + at[i] for i, (_, b) in enumerate(found)])
-            size = end - start + LENGTH - 1  # bytes that the strings of an interval span
-            begin = np.cumsum(size) - size
-            piece = _BYTES[data[np.arange(int(size.sum())) + np.repeat(start - begin, size)]]
-            own = hs.starts(size, LENGTH)
-            place = own + np.repeat(start - begin, size - LENGTH + 1)
-            key, more = (hs.windows(piece, LENGTH, k)[own] for k in (0, 1))
+            start, end = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            size = end - start + LENGTH - 1
+            place = hs.starts(size, LENGTH)
+            piece = _BYTES[data]
+            key, more = (hs.windows(piece, LENGTH, k)[place] for k in (0, 1))
             table = _table(batch, at)
             rows, lead = _lists(chunk, _range(key, parts), key >> np.uint64(64 - STRING_BITS), (more >> np.uint64(32)).astype(np.int64), _doc(table, place), place)
-            yield hs.batch_of([*rows, _state_row(chunk, [*table, _others(place, lead)])], _ROW)
+            yield hs.batch_of([*rows, _state_row(chunk, [*table, _others(place, lead), _pack(np.cumsum(size) - size, start)])], _ROW)
 
     return run
 
@@ -363,8 +400,13 @@ def _gone(key: tuple, table: pa.Table) -> pa.Table:
     place, least = np.concatenate((place, other[ok])), np.concatenate((least, least[i[ok]]))
     k1, k2, at = (np.frombuffer(d, t) for d, t in zip(state[:3], (np.int64, np.int64, np.uint32), strict=True))
     go = np.sort(place[least < _doc(state, place)])
-    rows = _by_doc(at.astype(np.int64), cover((go, go + 1)))
-    return pa.Table.from_batches([hs.batch_of([(int(k1[d]), int(k2[d]), None, x) for d, x in rows.items()], _DOC)])
+    begin, start = _unpack(state[4])
+    own = np.searchsorted(begin, go, side="right") - 1
+    # texts far apart, so that no intervals of two of them touch
+    base = np.searchsorted(at[1:], go, side="right").astype(np.int64) << 32
+    a, b = cover((x := base + go - begin[own] + start[own], x + 1)) if len(go) else (go, go)
+    rows = [(int(k1[d]), int(k2[d]), None, None, _pack(a[s] - (d << 32), b[s] - (d << 32))) for d, s in hs.cut_by_bucket(a >> 32)]
+    return pa.Table.from_batches([hs.batch_of(rows, _DOC)])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -382,13 +424,13 @@ def _round(rows: DataFrame, parts: int, judge: Callable, sql: str, name: str) ->
 
 def _once(rows: DataFrame) -> DataFrame:
     """One row a key: equal rows have equal intervals."""
-    return rows.groupBy("k1", "k2").agg(F.max("open").alias("open"), F.max("gone").alias("gone"))
+    return rows.groupBy("k1", "k2").agg(*(F.max(c).alias(c) for c in ("open", "shared", "gone")))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """k1, k2, gone, more: for each text that loses bytes, starts of 50-byte strings that go, settled by ranks and by comparison."""
     spark = docs.sparkSession
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(docs) // RANGE_BYTES)
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), common.input_bytes(docs) // RANGE_BYTES)
     texts = keyed(docs).where("k1 is not null")
     state = _round(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_first(parts), _ROW_SQL), parts, _ranked_first, _STATE_SQL, "ranks-0")
     for k in range(1, ROUNDS + 1):
@@ -397,8 +439,11 @@ def repeats(docs: DataFrame) -> DataFrame:
         common.drop(before)
     left = common.staged(_once(state.mapInArrow(_left, _DOC_SQL)), "open-strings")
     common.drop(state)
-    near = texts.join(left.where("open is not null").select("k1", "k2", "open"), ["k1", "k2"]).sortWithinPartitions("k1", "k2")
-    strings = _round(near.select("k1", "k2", "text", "open").mapInArrow(_strings(parts), _ROW_SQL), parts, _gone, _DOC_SQL, "strings")
+    near = texts.join(left.where("open is not null").select("k1", "k2", "open", "shared"), ["k1", "k2"])
+    stretches = common.staged(near.select("k1", "k2", "text", "open", "shared").mapInArrow(_stretches, _STRETCH_SQL), "open-stretches")
+    common.release(spark)
+    strings = _round(stretches.mapInArrow(_strings(parts), _ROW_SQL), parts, _gone, _DOC_SQL, "strings")
+    common.drop(stretches)
     settled = left.where("gone is not null").select("k1", "k2", "gone")
     compared = _once(strings).select("k1", "k2", F.col("gone").alias("more"))
     out = common.staged(settled.join(compared, ["k1", "k2"], "full"), "repeats")
