@@ -11,13 +11,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def crowded(values: list[str], x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
+    """Which letters have another of their value within the cells of size `reach` around their own; only these can be duplicates."""
+    n = len(values)
+    code = np.unique(np.array(values, object).astype(str), return_inverse=True)[1]
+    cx, cy = (np.floor((c - c.min()) / reach) + 1 for c in (x, y))
+    wide, high = cx.max() + 2, cy.max() + 2
+    if not reach > 0 or wide * high * (code.max() + 1) > 2**62:
+        return np.ones(n, bool)
+    cell = (code * int(wide) + cx.astype(np.int64)) * int(high) + cy.astype(np.int64)
+    cells, count = np.unique(cell, return_counts=True)
+    near = np.zeros(n, np.int64)
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            other = cell + dx * int(high) + dy
+            at = np.minimum(np.searchsorted(cells, other), len(cells) - 1)
+            near += np.where(cells[at] == other, count[at], 0)
+    return near > 1
+
+
 def kept(values: list[str], x: np.ndarray, y: np.ndarray, width: np.ndarray, keep_last: bool = True) -> np.ndarray:
     """Which letters stay. Each letter looks through the standing representatives of its value in slot order for the first whose
     corner is within its own tolerance, border included, on both axes. keep_last: it takes over that slot; else it is dropped."""
     out = np.ones(len(values), bool)
+    if not len(values):
+        return out
+    tolerance = np.asarray(width, float) / np.array([max(len(v), 1) for v in values]) / 3
     slots: dict[str, list] = {}
-    for i, v in enumerate(values):
-        tol = width[i] / max(len(v), 1) / 3
+    for i in np.flatnonzero(crowded(values, x, y, float(tolerance.max()))).tolist():
+        v, tol = values[i], tolerance[i]
         held = slots.setdefault(v, [np.empty(8), np.empty(8), [], 0])
         n = held[3]
         near = np.flatnonzero((np.abs(held[0][:n] - x[i]) <= tol) & (np.abs(held[1][:n] - y[i]) <= tol))
@@ -38,11 +60,15 @@ def kept(values: list[str], x: np.ndarray, y: np.ndarray, width: np.ndarray, kee
     return out
 
 
-def dedup(letters: DataFrame, keep_last: bool = True) -> DataFrame:
-    """letters (doc_id, page_no, seq, value, x, y, width, ...) without duplicates."""
+def dedup(letters: DataFrame, keep_last: bool = True, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:
+    """letters (keys, seq, value, x, y, width, ...) of each page without duplicates; letters without a value or place stay as they are."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("seq")
-        return t.filter(pa.array(kept(t["value"].to_pylist(), *(t[k].to_numpy() for k in ("x", "y", "width")), keep_last)))
+        whole = np.logical_and.reduce([t[k].is_valid().to_numpy() for k in ("value", "x", "y", "width")])
+        stay = np.ones(len(t), bool)
+        own = t.filter(pa.array(whole))
+        stay[whole] = kept(own["value"].to_pylist(), *(own[k].to_numpy() for k in ("x", "y", "width")), keep_last)
+        return t.filter(pa.array(stay))
 
-    return letters.groupBy("doc_id", "page_no").applyInArrow(run, letters.schema)
+    return letters.groupBy(*keys).applyInArrow(run, letters.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import histogram, layout, lookup, neighbours, order, outline, search, selection
-from ..session import spread, table
+from ..session import shared_dir, spread, table
 from ..sources import letters as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,14 +433,9 @@ def notification_suppress(spark, sf_dir):
 @query(ORACLE["search_by_page"])
 def search_stream(spark, sf_dir):
     """The same as search_by_page, with the documents arriving as a stream of files."""
-    import tempfile
-
     from ..streaming.live import documents, live_search, start
 
-    found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagelattice-stream-")
-    import uuid
-
-    base = f"{found}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs = documents(spark, f"{sf_dir}/documents.parquet*", "doc_id bigint, text string")
     start(live_search(docs, PHRASE), f"{base}/hits", f"{base}/checkpoint").awaitTermination()
     return search.by_page(spark.read.schema("doc_id bigint, page_no int, word_idx int, word_count int, char_pos int, sample string").parquet(f"{base}/hits"))
@@ -609,11 +605,79 @@ def selection_partial(spark, sf_dir):
 def pdf_words(spark, sf_dir):
     """Documents as PDF files, each letter drawn twice, through the whole path: letters, overlap dedup, words, lines and blocks; summed by page."""
     from ..operators.overlap import dedup
-    from ..sources import pdf, pdf_write
+    from ..sources import pdf
+
+    return _layout_sums(layout.layout(dedup(pdf.placed(pdf.parsed(_pdf_files(spark, sf_dir, again=0.5), "letters", key="doc_id")))))
+
+
+def _pdf_files(spark, sf_dir, **how) -> DataFrame:
+    from ..sources import pdf_write
+
+    return pdf_write.files(spread(table(spark, sf_dir, "documents")), **how)
+
+
+def _pdf_table(spark, sf_dir, name: str) -> DataFrame:
+    from ..sources import pdf
+
+    return pdf.parsed(_pdf_files(spark, sf_dir, titled=True), name, key="doc_id")
+
+
+#: Pages of documents: numbers from 0, and their texts with blanks in place of line feeds.
+_CUT = "cut AS (SELECT doc_id, k, substr(replace(text, chr(10), ' '), 1600 * k + 1, 1600) AS t FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1600.0) AS BIGINT))) AS k FROM documents))"
+
+
+@query(_with(_CUT) + "SELECT doc_id, (k + 1)::INT AS page_no, 480.0::DOUBLE AS width, 280.0::DOUBLE AS height, (90 * (k % 4))::INT AS rotation FROM cut")
+def pdf_pages(spark, sf_dir):
+    """Sizes and turns of the pages of PDF files."""
+    return _pdf_table(spark, sf_dir, "pages")
 
-    @F.udf("binary")
-    def written(text):
-        return pdf_write.write(text or "", 0.5)
 
-    files = spread(table(spark, sf_dir, "documents")).select("doc_id", written("text").alias("content"))
-    return _layout_sums(layout.layout(dedup(pdf.placed(pdf.parsed(files, "letters", key="doc_id")))))
+@query(_with(_CUT) + """SELECT doc_id, (2 * k)::INT AS node_id, NULL::INT AS parent_id, k::INT AS ord, 'Page ' || (k + 1) AS title, (k + 1)::INT AS page_no, (2.0 * (100 - k % 90))::DOUBLE AS offset_y FROM cut
+  UNION ALL SELECT doc_id, (2 * k + 1)::INT, (2 * k)::INT, 0, 'starts with ' || substr(t, 1, 5), NULL, NULL FROM cut""")
+def pdf_outline(spark, sf_dir):
+    """Outlines of PDF files: a node for each page, and one below it without a place."""
+    return _pdf_table(spark, sf_dir, "outline")
+
+
+@query(_with(_CUT) + """SELECT doc_id, (k + 1)::INT AS page_no, 0 AS ord, (2.0 * k)::DOUBLE AS "left", 240.0::DOUBLE AS top, 60.0::DOUBLE AS width, 20.0::DOUBLE AS height, true AS is_link, 'http://pages/' || (k + 1) AS uri, NULL::INT AS to_page, NULL AS content, NULL AS date, true AS is_interactive FROM cut
+  UNION ALL SELECT doc_id, (k + 1)::INT, 1, 10.0, 230.0, 20.0, 40.0, false, NULL, NULL, substr(t, 1, 10), 'D:20240102030405Z', false FROM cut""")
+def pdf_annotations(spark, sf_dir):
+    """Annotations of PDF files that are kept: those with a size that are links, or have an action or a content."""
+    return lookup.keep_annotations(_pdf_table(spark, sf_dir, "annotations").withColumn("action", F.col("uri"))).drop("action")
+
+
+@query("SELECT doc_id, coalesce(source, '') || '.txt' AS name, octet_length(encode(coalesce(text, '')))::INT AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents")
+def pdf_attachments(spark, sf_dir):
+    """Files attached to PDF files."""
+    return _pdf_table(spark, sf_dir, "attachments").select("doc_id", "name", F.octet_length("data").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
+@query("SELECT doc_id, ceil(length(coalesce(text, '')) / 1600.0)::INT AS page_count, '1.7' AS pdf_version, coalesce(source, '') AS title, coalesce(lang, '') AS author, 2 AS n_others FROM documents")
+def pdf_properties(spark, sf_dir):
+    found = _pdf_table(spark, sf_dir, "properties")
+    return found.select("doc_id", "page_count", "pdf_version", F.col("others")["Title"].alias("title"), F.col("others")["Author"].alias("author"), F.size("others").alias("n_others"))
+
+
+@query(_with(_CUT) + """SELECT doc_id, (k + 1)::INT AS page_no, CASE WHEN k % 3 = 1 THEN 0 ELSE length(t) END::BIGINT AS n_letters, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END::BIGINT AS n_errors, CASE WHEN k % 3 <> 1 THEN md5(t) END AS digest FROM cut""")
+def pdf_damaged(spark, sf_dir):
+    """Files whose second, fifth and so on page is damaged: the letters of the others, and a failure for each of those."""
+    from ..sources import pdf
+
+    found = pdf.parsed(_pdf_files(spark, sf_dir, damaged=lambda page: page % 3 == 2), "letters", key="doc_id", with_errors=True)
+    text = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.when(F.col("error").isNull(), F.struct("seq", "value")))), lambda x: x["value"]))
+    n = F.count("seq")
+    return found.groupBy("doc_id", "page_no").agg(n.alias("n_letters"), F.count("error").alias("n_errors"), F.when(n > 0, F.md5(text)).alias("digest"))
+
+
+@query(_with(_LETTERS, _WORDS, _LINED) + _LAYOUT_SUMS.format(left='"left"'))
+def pdf_by_path(spark, sf_dir):
+    """Documents written as files, found by path and read through the whole path, with the path as the key."""
+    from ..operators.overlap import dedup
+    from ..sources import pdf
+
+    folder = f"{shared_dir(spark)}/pdf-{uuid.uuid4().hex}"
+    made = _pdf_files(spark, sf_dir, plain=True).select("doc_id", F.col("content").cast("string").alias("value"))
+    made.write.partitionBy("doc_id").option("lineSep", "\n").text(folder)
+    letters = pdf.placed(pdf.read(spark, folder, "letters", glob="part-*"))
+    words = layout.layout(dedup(letters, keys=("path", "page_no")), keys=("path", "page_no"))
+    return _layout_sums(words.withColumn("doc_id", F.regexp_extract("path", "doc_id=(-?[0-9]+)", 1).cast("bigint")))

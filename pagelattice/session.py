@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one process may do without: it has a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = spark.sparkContext.applicationId
+        if own not in _OWN:
+            _OWN[own] = tempfile.mkdtemp(prefix="pagelattice-")
+        found = _OWN[own]
+    return found.rstrip("/")
+
+
+#: Folders of sessions in one process that name no shared folder.
+_OWN: dict[str, str] = {}
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files make fewer partitions than that; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -222,5 +222,6 @@ def test_pdf_fonts_and_filters():
             5: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [1 /eacute /fi] >> >>",
         }
         data = b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objs.items()) + b"trailer\n<< /Root 1 0 R >>\n%%EOF"
-        found = pdf.rows(data, "letters")
+        found, failed = pdf.rows(data, "letters")
+        assert not failed
         assert [r[2] for r in found] == ["A", "’", "é", "ﬁ"] and round(found[0][7] - found[0][5], 6) == 13.34
