@@ -201,10 +201,10 @@ def _judge(part: int, parts: int, table: pa.Table) -> pa.Table:
         more, count, doc, place = (np.concatenate([hs.unpack_ints(d[i]) for _, d in lists]) for i in (1, 2, 3, 5))
         several = np.concatenate([np.unpackbits(np.frombuffer(d[4], np.uint8), count=n) for (_, d), n in zip(lists, sizes.tolist(), strict=True)])
         order = np.lexsort((more, value))
-        v, m = value[order], more[order]
+        v, m, sorted_doc = value[order], more[order], doc[order]
         first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (m[1:] != m[:-1]))))
-        least = np.minimum.reduceat(doc[order], first)
-        shared = (np.maximum.reduceat(doc[order], first) != least) | (np.maximum.reduceat(several[order], first) > 0)
+        least = np.minimum.reduceat(sorted_doc, first)
+        shared = (np.maximum.reduceat(sorted_doc, first) != least) | (np.maximum.reduceat(several[order], first) > 0)
         rank = (np.cumsum(shared) - 1) * parts + part  # ranks of all ranges are dense together, so that they pack well
         spread = np.empty(len(v), np.int64)
         spread[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
@@ -262,6 +262,7 @@ def _first(parts: int) -> Callable:
             place, h = positions(data, at)
             if len(place):
                 table = _table(batch, at)
+                h = hs.mixed(h)  # the least of 25 hashes would all meet in the first ranges
                 rows, lead = _lists(chunk, _range(h, parts), h >> np.uint64(64 - GRAM_BITS), np.zeros(len(h), np.int64), _doc(table, place), place)
                 yield hs.batch_of([*rows, _state_row(chunk, [*table, _others(place, lead)])], _ROW)
 
