@@ -270,7 +270,8 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def tag(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each row of docs: the columns of SCHEMA; spans: character offsets of the toxic spans."""
+    """A row for each row of docs: the columns of SCHEMA; spans: character offsets of the toxic spans. A model without a fitted chain (no
+    labels, or one class only) tells no token from another, so it has no spans; its score is the share of toxic labels."""
     box = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +280,8 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column("text")
             sizes, marg = scorer.marginals(texts)
             score = scorer.score(sizes, marg)
+            if box.value.layer is None:
+                marg = np.zeros(len(marg))
             begin = np.concatenate(([0], np.cumsum(sizes)))
             hot = np.add.reduceat(np.concatenate((marg, [0.0])) >= 0.5, begin[:-1]) * (sizes > 0) if len(sizes) else sizes
             found = [[{"start": a, "end": b} for a, b in spans(texts[i].as_py(), marg[begin[i] : begin[i + 1]])] if hot[i] else [] for i in range(len(texts))]

@@ -75,6 +75,10 @@ def test_without_labels(spark):
     assert [r.score for r in tc.tag(df, tc.train(df, none)).collect()] == [0.0]
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert [r.score for r in tc.tag(df, tc.train(df, one)).collect()] == [1.0]
+    many = spark.createDataFrame([(1, "some words"), (2, ""), (3, None), (4, "more of them here")], "doc_id long, text string")
+    for labels in (none, one, spark.createDataFrame([(1, 0), (4, 0)], "doc_id long, toxic int")):
+        assert all(r.spans == [] for r in tc.tag(many, tc.train(many, labels)).collect())
+    assert all(r.spans == [] for r in tc.tag(many, tc.Model(constant=0.02)).collect())
 
 
 def test_partitioning_changes_nothing(spark):
