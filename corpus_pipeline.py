@@ -43,7 +43,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("bpe", tokens)]
-#: SQL can't express the first stage's model; tests hold run() against a brute-force version.
+#: SQL can't express the first stage's model. Tests hold run() to planted toxic rows, to plain Python versions of both dedups, to the SQL of the mix and to
+#: the tokenizers library.
 ORACLE_SQL = None
 
 
