@@ -424,7 +424,7 @@ SELECT user_id, event_id FROM w WHERE shown
 """)
 def notification_suppress(spark, sf_dir):
     """Events of a user without those that repeat the one shown last within three hours."""
-    from ..streaming.live import suppressed_batch
+    from ..streaming.ordered import suppressed_batch
 
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("event_type").alias("message"))
     return suppressed_batch(e, 10800).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"))

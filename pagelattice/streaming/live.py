@@ -1,14 +1,10 @@
-"""Streams: search over pages that still arrive, documents opened once, requests in order, repeated notes held back."""
+"""Streams: search over pages that still arrive, documents opened once, batches of requests in order. State that follows event time is in `ordered`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from ..functions.text import is_pdf
 from ..operators import search
@@ -53,40 +49,6 @@ def in_order(requests: DataFrame, work, checkpoint: str) -> StreamingQuery:
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _held(last: tuple | None, ts, message: str, seconds: float) -> bool:
-    return last is not None and message == last[0] and (ts - last[1]).total_seconds() < seconds
-
-
-def suppressed(notes: DataFrame, seconds: float = 3.0, lateness: str = "1 minute") -> DataFrame:
-    """Notes (key, ts, message) without those that repeat the note shown last within `seconds`; the state is that note."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = (state.get[0], pd.Timestamp(state.get[1], unit="us")) if state.exists else None
-        shown = []
-        for r in pd.concat(list(frames)).sort_values("ts", kind="stable").itertuples():
-            if not _held(last, r.ts, r.message, seconds):
-                shown.append((key[0], r.ts, r.message))
-                last = (r.message, r.ts)
-        if last:
-            state.update((last[0], int(last[1].value // 1000)))
-        yield pd.DataFrame(shown, columns=["key", "ts", "message"])
-
-    return notes.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, message string", "message string, ts long", "append", "NoTimeout")
-
-
-def suppressed_batch(notes: DataFrame, seconds: float = 3.0) -> DataFrame:
-    """The same over a table (key, ts, id, message): a fold over each key's notes in order, within the JVM."""
-    note = F.struct("ts", "id", "message")
-    zero = F.struct(F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("message"), F.array().cast("array<bigint>").alias("shown"))
-
-    def step(a, n):
-        held = F.coalesce((n["message"] == a["message"]) & (n["ts"].cast("double") - a["ts"].cast("double") < seconds), F.lit(False))
-        return F.when(held, a).otherwise(F.struct(n["ts"].alias("ts"), n["message"].alias("message"), F.concat(a["shown"], F.array(n["id"])).alias("shown")))
-
-    per = notes.groupBy("key").agg(F.array_sort(F.collect_list(note)).alias("n"))
-    return per.select("key", F.explode(F.aggregate("n", zero, step)["shown"]).alias("id"))
-
-
 def progress(done, total):
     """Percent of the pages that are searched, rounded up; 0 of none."""
     return F.coalesce(F.ceil(100.0 * done / F.nullif(total, F.lit(0))), F.lit(0)).cast("int")

@@ -4,7 +4,7 @@ import zlib
 
 from pagelattice.operators import outline
 from pagelattice.sources import pdf, settings
-from pagelattice.streaming import live
+from pagelattice.streaming import live, ordered
 
 
 def make_pdf(flate=True):
@@ -82,19 +82,19 @@ def by_rule(notes, seconds):
     return sorted(out)
 
 
-def test_suppression(spark, tmp_path):
+def test_suppression(spark):
     t = dt.datetime(2024, 1, 1)
     at = lambda s: t + dt.timedelta(seconds=s)
     burst = [("k", at(0), 1, "A"), ("k", at(1), 2, "A"), ("k", at(2), 3, "B"), ("k", at(2.5), 4, "A"), ("k", at(6), 5, "A")]
     rng = random.Random(1)
     notes = burst + [(f"r{rng.randint(0, 3)}", at(rng.randint(0, 400) / 4), i, rng.choice("AB")) for i in range(10, 200)]
+    notes += [("hot", at(i / 2), 1000 + i, "A" if i % 50 else "B") for i in range(600)]
     df = spark.createDataFrame(notes, "key string, ts timestamp, id long, message string")
-    assert sorted((r.key, r.id) for r in live.suppressed_batch(df).collect()) == by_rule(notes, 3)
-    df.coalesce(1).select("key", "ts", "message").write.parquet(f"{tmp_path}/in")
-    stream = live.documents(spark, f"{tmp_path}/in", "key string, ts timestamp, message string")
-    live.start(live.suppressed(stream), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    shown = spark.read.parquet(f"{tmp_path}/out")
-    assert shown.where("key = 'k'").count() == 4
+    for span in (86400.0, 7.0, 1.0):  # bursts reach over many spans
+        assert sorted((r.key, r.id) for r in ordered.suppressed_batch(df, span=span).collect()) == by_rule(notes, 3)
+    assert ordered.suppressed_batch(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, at(0), 1, "A"), (None, at(1), 2, "A"), ("k", at(0), 3, None), ("k", at(1), 4, None)], df.schema)
+    assert sorted(r.id for r in ordered.suppressed_batch(odd).collect()) == [1, 3, 4]  # nothing is known to repeat a null
 
 
 def test_streams(spark, tmp_path):
@@ -144,6 +144,9 @@ def test_places_in_the_queue(spark):
     got = {r.i: r.place for r in order.places(df, ["type", "i"], 16).collect()}
     want = sorted((p, t, i) for i, p, t, c in rows if not c)
     assert got == {i: k for k, (_, _, i) in enumerate(want, 1)}
+    odd = spark.createDataFrame([(1, None, 0, None), (2, 5, 1, None), (3, None, 0, True), (4, 1, 0, False), (5, None, 1, False)], df.schema)
+    assert {r.i: r.place for r in order.places(odd, ["type", "i"]).collect()} == {4: 1, 2: 2, 1: 3, 5: 4}
+    assert [r.i for r in order.priority(odd).collect()] == [4, 2, 1, 5]
 
 
 def test_progress_and_replaced_search(spark, tmp_path):
@@ -166,7 +169,7 @@ def test_pdf_writer_round_trip(spark):
     from pagelattice.operators.overlap import dedup
     from pagelattice.sources import pdf_write
 
-    text = "Nächste 😀 (Seite)\nzwei " + "x" * 1600
+    text = "Nächste 😀 (Seite)\nzwei " + "xxxx " * 320
     files = [(1, bytearray(pdf_write.write(text))), (2, bytearray(pdf_write.write(""))), (3, None), (4, bytearray(pdf_write.write(text, 0.5)))]
     df = spark.createDataFrame(files, "doc_id long, content binary")
     got = pdf.placed(pdf.parsed(df, "letters", key="doc_id")).orderBy("doc_id", "page_no", "seq").collect()
