@@ -18,6 +18,8 @@ of the ids before anything is fitted, so scores don't depend on how rows are par
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -178,11 +180,12 @@ def fit_chain(texts: list[str], toxic: np.ndarray) -> Model:
     """Token labels and the chain's weights."""
     sizes, found = hs.words(texts)
     coded = found.dictionary_encode()
-    seen = [w.decode() for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     if not len(ids):
         return Model()
-    of_word = [features(w) for w in seen]
+    of_word = [tuple(map(sys.intern, features(w.decode()))) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]  # words share beginnings
+    n_words = len(of_word)
+    del found, coded
     df = {0: Counter(), 1: Counter()}
     begin = np.concatenate(([0], np.cumsum(sizes)))
     for d, y in enumerate(toxic.tolist()):
@@ -194,8 +197,14 @@ def fit_chain(texts: list[str], toxic: np.ndarray) -> Model:
     seed_word = np.array([any(f in seeds for f in fs) for fs in of_word], bool)
     y = seed_word[ids] & np.repeat(toxic.astype(bool), sizes)
     # word x feature, as two flat arrays
-    pairs = [(w, number[f]) for w, fs in enumerate(of_word) for f in fs if f in number]
-    pw, pf = (np.array(c, np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    flat_w, flat_f = array("q"), array("q")
+    for w, fs in enumerate(of_word):
+        for f in fs:
+            if f in number:
+                flat_w.append(w)
+                flat_f.append(number[f])
+    pw, pf = np.array(flat_w, np.int64), np.array(flat_f, np.int64)
+    del of_word, df, seeds, flat_w, flat_f, number
     steps = Lockstep(sizes)
     words = steps.spread(ids)
     gold = steps.spread(y.astype(np.float64))
@@ -205,24 +214,28 @@ def fit_chain(texts: list[str], toxic: np.ndarray) -> Model:
     has = prev >= 0
     gp = np.where(has, gold[prev], 0.0)
     gold_trans = np.array([[((1 - gp) * (1 - gold)).sum(), ((1 - gp) * gold).sum()], [(gp * (1 - gold)).sum(), (gp * gold).sum()]])
-    gold_word = np.bincount(words, gold, len(seen))
+    gold_word = np.bincount(words, gold, n_words)
     w, bias, trans = np.zeros(len(kept)), -3.0, np.zeros((2, 2))
     g2w, g2b, g2t = np.full(len(kept), 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(STEPS):
-        e_word = np.clip(bias + np.bincount(pw, w[pf], len(seen)), -CLIP, CLIP)
+        e_word = np.clip(bias + np.bincount(pw, w[pf], n_words), -CLIP, CLIP)
         e = e_word[words]
         tr = np.exp(trans)
         p, b, marg = forward_backward(e, tr, steps)
         # pair marginals: filtered state of the token before, transition, this token, what follows
         pp = np.where(has, p[prev], 0.0)
         u = np.exp(e) * b
-        z = np.stack(((1 - pp) * tr[0, 0], (1 - pp) * tr[0, 1] * u, pp * tr[1, 0], pp * tr[1, 1] * u))
-        z /= z.sum(axis=0)
-        d_word = gold_word - np.bincount(words, marg, len(seen))
+        del e, p, b
+        pair = [lambda: (1 - pp) * tr[0, 0], lambda: (1 - pp) * tr[0, 1] * u, lambda: pp * tr[1, 0], lambda: pp * tr[1, 1] * u]  # noqa: B023  one at a time: each is as long as the sample
+        whole = pair[0]()
+        for k in (1, 2, 3):
+            whole += pair[k]()
+        of_pairs = np.array([(f() / whole).sum() for f in pair]).reshape(2, 2)
+        d_word = gold_word - np.bincount(words, marg, n_words)
         scale = 1.0 / len(words)
         gw = np.bincount(pf, d_word[pw], len(kept)) * scale - L2 * w * scale * 10
         gb = d_word.sum() * scale
-        gt = (gold_trans - z.sum(axis=1).reshape(2, 2)) * scale
+        gt = (gold_trans - of_pairs) * scale
         g2w, g2b, g2t = g2w + gw**2, g2b + gb**2, g2t + gt**2
         w, bias, trans = w + 0.5 * gw / np.sqrt(g2w), bias + 0.5 * gb / np.sqrt(g2b), trans + 0.2 * gt / np.sqrt(g2t)
     return Model({f: float(x) for f, x in zip(kept, w, strict=True) if abs(x) > 1e-3}, float(bias), np.exp(trans))
