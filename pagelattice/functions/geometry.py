@@ -66,6 +66,33 @@ def point_in_line(px, py, ax, ay, bx, by, eps: float = 1e-3) -> Column:
     return F.coalesce(s.between(-eps, 1 + eps), F.lit(False))
 
 
+def line_pair(p: tuple, q: tuple, eps: float = 1e-3) -> dict[str, Column]:
+    """Of lines p and q (x and y of both ends): `turn`, degrees from p to q; `share` of q that p's ends, moved square to p onto q, overlap with
+    (negative: the gap); `square`, the signed distance square to p of the middle of that share; `overlaps`. Lines square to each other have no share and no
+    distance (null) and don't overlap; equal lines have no turn and no distance. The rule of `operators.layout.blocking`, for tables."""
+    (px1, py1, px2, py2), (qx1, qy1, qx2, qy2) = p, q
+    vx, vy, ux, uy = px2 - px1, py2 - py1, qx2 - qx1, qy2 - qy1
+    same = F.lit(True)
+    for a, b in zip(p, q, strict=True):
+        same = same & (F.abs(a - b) < eps)
+    along = ux * vx + uy * vy
+    along = F.when(F.abs(along) >= eps, along)
+    place = lambda x, y: ((x - qx1) * vx + (y - qy1) * vy) / along  # noqa: E731  of a moved end on q: 0 at its start, 1 at its end
+    a, b = place(px1, py1), place(px2, py2)
+    # greatest and least pass nulls over
+    c, d = (F.when(along.isNotNull(), x) for x in (F.greatest(F.least(a, b), F.lit(0.0)), F.least(F.greatest(a, b), F.lit(1.0))))
+    half = (c + d) / 2
+    mx, my = qx1 + half * ux - px1, qy1 + half * uy - py1
+    square = F.when(F.abs(vy) < eps, my).otherwise(F.signum(vy) * (mx * vy - my * vx) / F.sqrt(vx * vx + vy * vy))
+    turn = bound_180(F.degrees(F.atan2(uy, ux) - F.atan2(vy, vx)))
+    return {
+        "turn": F.when(same, 0.0).otherwise(turn),
+        "share": F.when(same, 1.0).otherwise(d - c),
+        "square": F.when(same, 0.0).otherwise(square),
+        "overlaps": F.coalesce(same | (c <= d), F.lit(False)),
+    }
+
+
 def orientation(sx, sy, ex, ey, rotation=None, eps: float = 1e-4) -> Column:
     """Orientation of a baseline; one of no length takes the rotation (degrees) of its box. Rotate90 reads upward, Rotate270 downward."""
     dx, dy = ex - sx, ey - sy

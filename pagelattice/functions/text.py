@@ -136,6 +136,17 @@ def without_nul(s: Column) -> Column:
     return F.when(~is_blank(out), out)
 
 
+def last_character(letter: Column, ends: Column) -> Column:
+    """The character (from 0) with which a letter ends; ends: the word's map from letters to characters, null where letters are characters."""
+    return F.coalesce(F.get(ends, letter) - 1, letter).cast("int")
+
+
+def letter_starts(ends: Column, n_letters: Column) -> Column:
+    """Where each letter begins in characters, from the map of their ends, or from their number where there is none."""
+    plain = F.when(n_letters > 0, F.sequence(F.lit(0), n_letters - 1))
+    return F.coalesce(F.transform(ends, lambda _, i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))), plain)
+
+
 def partial_word(value: Column, start: Column, end: Column, char_index: Column | None = None) -> Column:
     """Letters start..end of a word; both go through the letters' map to characters where a word has ligatures."""
     if char_index is None:

@@ -339,6 +339,25 @@ def geometry_scalars(spark, sf_dir):
     )
 
 
+_PAIR = "p AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: round(v * 8) / 8 + 0.0)::DOUBLE[] AS e FROM embeddings)"
+
+
+@query("WITH " + _PAIR + r""", v AS (SELECT vec_id, e, e[3] - e[1] AS vx, e[4] - e[2] AS v_y, e[7] - e[5] AS ux, e[8] - e[6] AS uy FROM p),
+t AS (SELECT *, ux * vx + uy * v_y AS along, degrees(atan2(uy, ux) - atan2(v_y, vx)) AS w FROM v),
+s AS (SELECT *, list_sort([0.0, 1.0, ((e[1] - e[5]) * vx + (e[2] - e[6]) * v_y) / along, ((e[3] - e[5]) * vx + (e[4] - e[6]) * v_y) / along]) AS l,
+  ((e[1] - e[5]) * vx + (e[2] - e[6]) * v_y) / along AS a, ((e[3] - e[5]) * vx + (e[4] - e[6]) * v_y) / along AS b FROM t WHERE abs(along) >= 0.001),
+m AS (SELECT *, (l[2] + l[3]) / 2 AS h, least(a, b) <= 1 AND greatest(a, b) >= 0 AS o FROM s),
+f AS (SELECT vec_id, (l[3] - l[2]) * CASE WHEN o THEN 1 ELSE -1 END AS share, o, CASE WHEN v_y <> 0 AND vx <> 0 THEN ((e[5] + h * ux - e[1]) - (e[6] + h * uy - e[2]) * vx / v_y) / sqrt(vx * vx / (v_y * v_y) + 1) WHEN vx = 0 THEN e[5] + h * ux - e[1] ELSE e[6] + h * uy - e[2] END AS square FROM m)
+SELECT vec_id, round(w - 360 * floor((w + 180) / 360), 6) + 0.0 AS turn, round(share, 6) + 0.0 AS share, round(square, 6) + 0.0 AS square, coalesce(o, false) AS overlaps FROM t LEFT JOIN f USING (vec_id)
+""")
+def line_pairs(spark, sf_dir):
+    """Pairs of lines on a coarse grid, so that level, upright and square ones are among them: turn, overlap and distance."""
+    e = [F.round(F.get("embedding", F.lit(k)).cast("double") * 8) / 8 + 0.0 for k in range(8)]
+    found = G.line_pair(tuple(e[:4]), tuple(e[4:]))
+    rounded = [(F.round(found[k], 6) + 0.0).alias(k) for k in ("turn", "share", "square")]
+    return table(spark, sf_dir, "embeddings").select("vec_id", *rounded, found["overlaps"].alias("overlaps"))
+
+
 @query("""
 WITH z AS (SELECT event_id, value / 20 AS level, (event_id % 4) * 90 AS rotation, 100.0 + event_id % 50 AS w, 200.0 + event_id % 30 AS h FROM events)
 SELECT event_id, coalesce(list_min(list_filter(l, lambda x: x > level)), 64.0)::DOUBLE AS zoom_in, coalesce(list_max(list_filter(l, lambda x: x < level)), 0.08)::DOUBLE AS zoom_out,
@@ -469,6 +488,37 @@ def layout_words(spark, sf_dir):
     return _layout_sums(layout.layout(grid_letters(_pages(spark, sf_dir))))
 
 
+@query(_with(_LETTERS, _WORDS, _LINED) + """, l AS (SELECT doc_id, page_no, line_idx, r, min("left") AS a, max("right") AS b FROM lined GROUP BY ALL),
+n AS (SELECT x.doc_id, x.page_no, x.line_idx, y.line_idx AS near_idx, abs(y.r * 14.0 - 10 - x.r * 14.0) AS distance FROM l x JOIN l y ON x.doc_id = y.doc_id AND x.page_no = y.page_no AND x.line_idx <> y.line_idx AND least(x.b, y.b) >= greatest(x.a, y.a))
+SELECT doc_id, page_no::INT AS page_no, line_idx::INT AS line_idx, (arg_min(near_idx, distance * 1000 + near_idx))::INT AS near_idx, min(distance)::DOUBLE AS distance FROM n GROUP BY ALL""")
+def near_lines(spark, sf_dir):
+    """The line nearest to each line of a page, from its base to others' tops, of those that it overlaps."""
+    return layout.layout(grid_letters(_pages(spark, sf_dir)), table="near_lines")
+
+
+@query(_with(_LETTERS, _WORDS) + r""", g AS (SELECT doc_id, page_no, word_idx, value, regexp_extract_all(value, 'ff[il]?|f[il]|[\s\S]') AS k FROM words),
+m AS (SELECT *, CASE WHEN len(k) < length(value) THEN list_transform(range(1, len(k) + 1), lambda i: list_sum(list_transform(k[1:i], lambda s: length(s))))::INT[] END AS ends FROM g)
+SELECT doc_id, page_no::INT AS page_no, word_idx, value, len(k)::INT AS n_letters, array_to_string(ends, ',') AS ends, (CASE WHEN ends IS NULL THEN len(k) // 2 ELSE ends[len(k) // 2 + 1] - 1 END)::INT AS middle,
+  CASE WHEN ends IS NULL THEN substr(value, 1, len(k) // 2 + 1) ELSE substr(value, 1, ends[len(k) // 2 + 1]) END AS head FROM m""")
+def ligatures(spark, sf_dir):
+    """Words whose letters are drawn with ligatures (ff, fi, fl, ffi, ffl) come out of the layout with a map from letters to characters: the map, the
+    character of the middle letter, and the word up to it."""
+    rows = _pages(spark, sf_dir).select("doc_id", "page_no", F.posexplode("rows").alias("r", "row"))
+    drawn = F.regexp_extract_all("row", F.lit("(ff[il]?|f[il]|[\\s\\S])"), F.lit(1))
+    placed = rows.select("doc_id", "page_no", "r", drawn.alias("k")).select("doc_id", "page_no", "r", "k", F.posexplode("k").alias("i", "value"))
+    c = F.length(F.concat_ws("", F.slice("k", 1, F.col("i"))))
+    at = placed.select("doc_id", "page_no", "r", "value", c.alias("c")).where("value <> '\n'")
+    x, y = (F.col("c") * L.CELL).cast("double"), (F.col("r") * L.PITCH).cast("double")
+    box = {"left": x, "top": y - L.HEIGHT, "right": x + F.length("value") * L.CELL, "bottom": y}
+    letters = at.select("doc_id", "page_no", (F.col("r") * L.COLUMNS + F.col("c")).alias("seq"), "value", *(v.alias(k) for k, v in box.items()), F.lit(L.POINT).alias("point_size"), F.lit("Horizontal").alias("orientation"))
+    words = layout.layout(letters).withColumn("half", F.floor(F.col("n_letters") / 2).cast("int"))
+    ends = F.col("to_char_index")
+    return words.select(
+        "doc_id", "page_no", "word_idx", "value", "n_letters", F.array_join(ends, ",").alias("ends"), T.last_character(F.col("half"), ends).alias("middle"),
+        T.partial_word(F.col("value"), F.lit(0), F.col("half"), T.letter_starts(ends, F.col("n_letters"))).alias("head"),
+    )
+
+
 #: Turns of pages by doc_id modulo their number: degrees, cosine and sine.
 _TURNS = ((0, 1.0, 0.0), (90, 0.0, 1.0), (180, -1.0, 0.0), (270, 0.0, -1.0), (20, 0.9396926207859084, 0.3420201433256687))
 _TURNED = ("Horizontal", "Rotate270", "Rotate180", "Rotate90", "Other")
