@@ -234,6 +234,91 @@ def nearest_line_point(spark, sf_dir):
     return lookup.nearest_line_in_row(_pointed(L.line_boxes(_pages(spark, sf_dir)))).withColumn("dist", F.round("dist", 6))
 
 
+@query(_with(_LETTERS, _WORDS) + """, a AS (SELECT doc_id, page_no, word_idx, r FROM words WHERE word_idx = 7)
+SELECT w.doc_id, w.page_no::INT AS page_no, w.word_idx, 2 AS clicks, w.value FROM words w JOIN a USING (doc_id, page_no, word_idx)
+UNION ALL SELECT w.doc_id, w.page_no::INT, w.word_idx, 3, w.value FROM words w JOIN a ON a.doc_id = w.doc_id AND a.page_no = w.page_no AND a.r = w.r
+UNION ALL SELECT w.doc_id, w.page_no::INT, w.word_idx, 4, w.value FROM words w JOIN a ON a.doc_id = w.doc_id AND a.page_no = w.page_no""")
+def clicked_words(spark, sf_dir):
+    """What two, three and four clicks on the eighth word of each page take: the word, its line, its block."""
+    words = _lined(spark, sf_dir).withColumn("block_idx", F.lit(0))
+    at = words.where("word_idx = 7").select("doc_id", "page_no", "word_idx")
+    taken = [selection.by_clicks(words, k, at).select("doc_id", "page_no", "word_idx", F.lit(k).alias("clicks"), "value") for k in (2, 3, 4)]
+    return taken[0].unionByName(taken[1]).unionByName(taken[2])
+
+
+_STACKED = "stacked AS (SELECT doc_id, k + 1 AS page_no, (doc_id % 5) * 40.0 AS \"left\", 300.0 * k AS top, (doc_id % 5) * 40.0 + 480 AS \"right\", 300.0 * k + 280 AS bottom FROM (SELECT doc_id, unnest(range(0, CAST(ceil(length(text) / 1600.0) AS BIGINT))) AS k FROM documents))"
+
+
+def _stacked(spark, sf_dir):
+    """The pages of a document one below the other, 20 apart."""
+    left, top = F.pmod("doc_id", F.lit(5)) * 40.0, (F.col("page_no") - 1) * 300.0
+    boxes = {"left": left, "top": top, "right": left + 480, "bottom": top + 280}
+    return _pages(spark, sf_dir).select("doc_id", "page_no", *(v.cast("double").alias(k) for k, v in boxes.items()))
+
+
+@query(_with(_STACKED) + """, v AS (SELECT doc_id, page_no, greatest(least("right", 600) - greatest("left", 130), 0) * greatest(least(bottom, 1000) - greatest(top, 250), 0) AS area FROM stacked),
+m AS (SELECT doc_id, arg_max(page_no, area * 1000000 - page_no) AS page_no FROM v WHERE area > 0 GROUP BY 1)
+SELECT v.doc_id, v.page_no::INT AS page_no, area::DOUBLE AS area, m.page_no IS NOT NULL AS is_most FROM v LEFT JOIN m ON m.doc_id = v.doc_id AND m.page_no = v.page_no WHERE area > 0""")
+def shown_pages(spark, sf_dir):
+    """Pages that a view shows some of, with the shown area, and which page of a document it shows most of."""
+    view = (130.0, 250.0, 600.0, 1000.0)
+    pages = _stacked(spark, sf_dir)
+    most = lookup.most_shown(pages, view).select("doc_id", "page_no", F.lit(True).alias("is_most"))
+    return lookup.in_view(pages, *view).join(most, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "area", F.coalesce("is_most", F.lit(False)).alias("is_most"))
+
+
+@query(_with(_LETTERS, _WORDS, _LINES, _POINTS) + """, n AS (SELECT p.doc_id, p.page_no, p.x, p.y, (p.page_no * 3) % 20 AS line_idx FROM points p),
+d AS (SELECT n.*, w.word_idx, least(sqrt((x - "left") * (x - "left") + (y - bottom) * (y - bottom)), sqrt((x - "right") * (x - "right") + (y - bottom) * (y - bottom))) AS d FROM n JOIN words w ON w.doc_id = n.doc_id AND w.page_no = n.page_no AND w.r = n.line_idx)
+SELECT doc_id, page_no::INT AS page_no, x::DOUBLE AS x, y::DOUBLE AS y, word_idx FROM d QUALIFY row_number() OVER (PARTITION BY doc_id, page_no ORDER BY d, word_idx) = 1""")
+def nearest_words(spark, sf_dir):
+    """The word of a line that is nearest to a point of the page, by its lower corners."""
+    paged = _pages(spark, sf_dir)
+    points = _pointed(paged.select("doc_id", "page_no")).withColumn("line_idx", F.pmod(F.col("page_no") * 3, F.lit(20)))
+    return lookup.nearest_word(points, _lined(spark, sf_dir))
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding[1] * 100.0::DOUBLE AS x, embedding[2] * 100.0::DOUBLE AS y, (vec_id * 37 % 360) - 180.0 + 0.5 AS rot, ['Horizontal', 'Rotate180', 'Rotate90', 'Rotate270', 'Other'][vec_id % 5 + 1] AS o FROM embeddings),
+q AS (SELECT *, CASE WHEN rot > 0 AND rot <= 90 THEN 0 WHEN rot > 90 THEN 1 WHEN rot <= -90 THEN 2 ELSE 3 END AS q FROM e),
+k AS (SELECT *, CASE o WHEN 'Horizontal' THEN x WHEN 'Rotate180' THEN -x WHEN 'Rotate90' THEN -y WHEN 'Rotate270' THEN y ELSE CASE WHEN q IN (0, 3) THEN x ELSE -x END END AS w1, CASE WHEN o <> 'Other' THEN 0 WHEN q < 2 THEN -y ELSE y END AS w2,
+  CASE o WHEN 'Horizontal' THEN y WHEN 'Rotate180' THEN -y WHEN 'Rotate90' THEN x WHEN 'Rotate270' THEN -x ELSE [y, -x, -y, x][q + 1] END AS l1, CASE WHEN o <> 'Other' THEN 0 ELSE [x, -y, -x, y][q + 1] END AS l2 FROM q)
+SELECT vec_id, row_number() OVER (PARTITION BY o, q ORDER BY w1, w2, vec_id) AS word_place, row_number() OVER (PARTITION BY o, q ORDER BY l1, l2, vec_id) AS line_place FROM k
+""")
+def reading_keys(spark, sf_dir):
+    """Places of words and of lines by the sort keys of their orientation, and of their turn where they are slanted."""
+    from pyspark.sql import Window as W
+
+    x, y = (F.get("embedding", F.lit(k)).cast("double") * 100.0 for k in (0, 1))
+    rot = F.pmod(F.col("vec_id") * 37, F.lit(360)) - 180.0 + 0.5
+    o = F.element_at(F.array(*map(F.lit, ("Horizontal", "Rotate180", "Rotate90", "Rotate270", "Other"))), (F.pmod("vec_id", F.lit(5)) + 1).cast("int"))
+    quarter = F.when((rot > 0) & (rot <= 90), 0).when(rot > 90, 1).when(rot <= -90, 2).otherwise(3)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", o.alias("o"), rot.alias("rot"), quarter.alias("q"), x.alias("x"), y.alias("y"))
+    cols = [F.col(c) for c in ("o", "rot", "x", "y")]
+    place = lambda keys: F.row_number().over(W.partitionBy("o", "q").orderBy(*keys, "vec_id"))
+    return rows.select("vec_id", place(order.word_keys(*cols)).alias("word_place"), place(order.line_keys(*cols)).alias("line_place"))
+
+
+@query("""
+WITH z AS (SELECT event_id, value AS px, event_id % 13 + 0.5 AS py, event_id % 7 * 1.0 AS ax, event_id % 5 * 1.0 AS ay, event_id % 7 + event_id % 3 - 1.0 AS bx, event_id % 5 + event_id % 4 - 1.0 AS b_y, (event_id % 4) * 90 AS rotation, 300.0 + event_id % 50 AS h, value * 10 AS off FROM events),
+p AS (SELECT *, ((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / nullif((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay), 0) AS s FROM z)
+SELECT event_id, round(ax + s * (bx - ax), 6)::DOUBLE + 0 AS on_x, round(ay + s * (b_y - ay), 6)::DOUBLE + 0 AS on_y, round(CASE WHEN event_id % 2 = 0 THEN CASE WHEN rotation = 0 THEN h - least(off, h) ELSE 0 END ELSE least(off, h) END, 6)::DOUBLE AS go,
+  round(abs(off - h), 6)::DOUBLE AS across, event_id % 8 IN (1, 2, 5, 6) AS strokes, event_id % 8 IN (0, 2, 4, 6) AS fills,
+  (CASE WHEN event_id % 3 = 0 THEN 0 ELSE (1::BIGINT << floor(log2(event_id % 3 * (event_id + 1)))::BIGINT) END)::BIGINT AS high_bit FROM p
+""")
+def place_scalars(spark, sf_dir):
+    """Feet of points on lines, places to scroll to, drawing modes, highest bits."""
+    i = F.col("event_id")
+    n = lambda c: c.cast("double")
+    px, py, ax, ay = F.col("value"), n(i % 13) + 0.5, n(i % 7), n(i % 5)
+    bx, by = ax + n(i % 3) - 1.0, ay + n(i % 4) - 1.0
+    rotation, h, off = i % 4 * 90, n(i % 50) + 300.0, F.col("value") * 10
+    on_x, on_y = G.projected(px, py, ax, ay, bx, by)
+    return table(spark, sf_dir, "events").select(
+        "event_id", (F.round(on_x, 6) + 0.0).alias("on_x"), (F.round(on_y, 6) + 0.0).alias("on_y"), F.round(G.goto_offset(off, h, rotation, i % 2 == 0), 6).alias("go"), F.round(G.horizontal(off, h), 6).alias("across"),
+        G.strokes(i % 8).alias("strokes"), G.fills(i % 8).alias("fills"), G.highest_one_bit(i % 3 * (i + 1)).cast("bigint").alias("high_bit"),
+    )
+
+
 _TOKENS = r"""
 tok AS (SELECT *, lag(value) OVER w AS pv, lag(r) OVER w AS pl, lag(page_no) OVER w AS pp, lead(value) OVER w AS nv, lead(r) OVER w AS nl FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY page_no, word_idx)),
 pieces AS (SELECT doc_id, page_no, word_idx,
