@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: A page or word past any other.
+END = 2**31 - 1
+
+
 def directed(selection: DataFrame) -> DataFrame:
     """doc_id, backward, and start and end (page, word, letter or -1) in reading order."""
     point = lambda k: F.struct(*(F.col(f"{k}_{x}").cast("int").alias(x) for x in ("page", "word", "off")))
@@ -26,7 +30,8 @@ def selected_pages(selection: DataFrame) -> DataFrame:
 
 def selected_words(selection: DataFrame, words: DataFrame) -> DataFrame:
     """Words of a selection with the part of them that it takes. Letters count from 0, -1 takes all to that end; a start past the end
-    takes the last letter. Inner pages are taken whole: order is by page and word, not by word alone."""
+    takes the last letter, an end past the last word (see END) takes all up to it. Inner pages are taken whole: order is by page and word, not by
+    word alone. `value` stays, for columns of the caller's."""
     s = directed(selection)
     place = lambda p, w: F.struct(F.col(p).cast("int").alias("p"), F.col(w).cast("int").alias("w"))
     at, lo, hi = place("page_no", "word_idx"), place("start_page", "start_word"), place("end_page", "end_word")
@@ -34,7 +39,7 @@ def selected_words(selection: DataFrame, words: DataFrame) -> DataFrame:
     n = F.length("value")
     a = F.when((at == lo) & (F.col("start_off") >= 0), F.least("start_off", n - 1)).otherwise(0)
     b = F.when((at == hi) & (F.col("end_off") >= 0), F.least("end_off", n - 1)).otherwise(n - 1)
-    return w.select("doc_id", "page_no", "line_idx", "word_idx", T.partial_word(F.col("value"), a, b).alias("token"), ((a > 0) | (b < n - 1)).alias("partial"))
+    return w.select("doc_id", "page_no", "line_idx", "word_idx", "value", T.partial_word(F.col("value"), a, b).alias("token"), ((a > 0) | (b < n - 1)).alias("partial"))
 
 
 def spaced(tokens: DataFrame) -> DataFrame:

@@ -336,9 +336,8 @@ def token_spacing(spark, sf_dir):
 def selection_text(spark, sf_dir):
     """Every document selected as a whole, from its first letter to its last, and reflowed."""
     w = _lined(spark, sf_dir)
-    counts = L.word_values(_pages(spark, sf_dir)).select("doc_id", "page_no", (F.size("values") - 1).alias("word_idx")).where("word_idx >= 0")
-    ends = counts.groupBy("doc_id").agg(F.max(F.struct("page_no", "word_idx")).alias("e"))
-    whole = ends.select("doc_id", F.col("e.page_no").alias("anchor_page"), F.col("e.word_idx").alias("anchor_word"), F.lit(-1).alias("anchor_off"), F.lit(1).alias("focus_page"), F.lit(0).alias("focus_word"), F.lit(-1).alias("focus_off"))
+    end = F.lit(selection.END)
+    whole = table(spark, sf_dir, "documents").select("doc_id").distinct().select("doc_id", end.alias("anchor_page"), end.alias("anchor_word"), F.lit(-1).alias("anchor_off"), F.lit(1).alias("focus_page"), F.lit(0).alias("focus_word"), F.lit(-1).alias("focus_off"))
     return selection.selection_text(selection.selected_words(whole, w))
 
 
@@ -730,8 +729,8 @@ def selection_partial(spark, sf_dir):
     """From the third letter of a page's fourth word to the second letter of the next page's sixth: whole and partial words, each by a
     column of its own."""
     w = _lined(spark, sf_dir)
-    of = w.select("doc_id").distinct().select("doc_id", F.lit(1).alias("anchor_page"), F.lit(3).alias("anchor_word"), F.lit(2).alias("anchor_off"), F.lit(2).alias("focus_page"), F.lit(5).alias("focus_word"), F.lit(1).alias("focus_off"))
-    taken = selection.selected_words(of, w).join(w.select("doc_id", "page_no", "word_idx", "value"), ["doc_id", "page_no", "word_idx"])
+    of = table(spark, sf_dir, "documents").select("doc_id").distinct().select("doc_id", F.lit(1).alias("anchor_page"), F.lit(3).alias("anchor_word"), F.lit(2).alias("anchor_off"), F.lit(2).alias("focus_page"), F.lit(5).alias("focus_word"), F.lit(1).alias("focus_off"))
+    taken = selection.selected_words(of, w)
     shown = selection.projected(taken, lambda _: F.concat(F.lit("all of "), "value"), lambda _: F.concat(F.lit("part of "), "value"), "shown")
     return shown.select("doc_id", "page_no", "word_idx", "token", "shown")
 
