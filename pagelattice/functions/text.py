@@ -99,8 +99,8 @@ def file_name(name: Column, substitute: str = "_") -> Column:
 
 
 def path_key(path: Column) -> Column:
-    """Base64 of a path with # for backslash."""
-    return F.replace(F.base64(F.encode(path, "UTF-8")), F.lit("\\"), F.lit("#"))
+    """Base64 of a path, in one line however long it is, with # for backslash. (Spark may break the lines of base64.)"""
+    return F.translate(F.base64(F.encode(path, "UTF-8")), "\\\r\n", "#")
 
 
 def pdf_date(s: Column) -> Column:

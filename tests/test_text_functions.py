@@ -87,3 +87,10 @@ def test_orientation(spark):
     rows = [(0, 0, 5, 0, 0.0), (0, 0, -5, 0, 0.0), (0, 0, 0, 5, 0.0), (0, 0, 0, -5, 0.0), (0, 0, 3, 3, 0.0), (1, 1, 1, 1, 90.0), (1, 1, 1, 1, 45.0)]
     df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "a double, b double, c double, d double, r double")
     assert [r[0] for r in df.select(G.orientation(F.col("a"), F.col("b"), F.col("c"), F.col("d"), F.col("r"))).collect()] == ["Horizontal", "Rotate180", "Rotate270", "Rotate90", "Other", "Rotate270", "Other"]
+
+
+def test_path_keys_stay_in_one_line(spark):
+    import base64
+
+    paths = ["", "a", "/somewhere/" + "long/" * 40, "ä\\b" * 30]
+    assert column(spark, T.path_key, paths) == [base64.b64encode(p.encode()).decode() for p in paths]
