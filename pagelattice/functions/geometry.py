@@ -66,10 +66,12 @@ def point_in_line(px, py, ax, ay, bx, by, eps: float = 1e-3) -> Column:
     return F.coalesce(s.between(-eps, 1 + eps), F.lit(False))
 
 
-def line_pair(p: tuple, q: tuple, eps: float = 1e-3) -> dict[str, Column]:
+def line_pair(p: tuple, q: tuple, eps: float = 1e-3, points: bool = True) -> dict[str, Column]:
     """Of lines p and q (x and y of both ends): `turn`, degrees from p to q; `share` of q that p's ends, moved square to p onto q, overlap with
     (negative: the gap); `square`, the signed distance square to p of the middle of that share; `overlaps`. Lines square to each other have no share and no
-    distance (null) and don't overlap; equal lines have no turn and no distance. The rule of `operators.layout.blocking`, for tables."""
+    distance (null) and don't overlap; equal lines have no turn and no distance. The rule of `operators.layout.blocking`, for tables.
+
+    points: whether equal lines of no length are equal lines too; else they are lines square to each other."""
     (px1, py1, px2, py2), (qx1, qy1, qx2, qy2) = p, q
     vx, vy, ux, uy = px2 - px1, py2 - py1, qx2 - qx1, qy2 - qy1
     same = F.lit(True)
@@ -77,6 +79,8 @@ def line_pair(p: tuple, q: tuple, eps: float = 1e-3) -> dict[str, Column]:
         same = same & (F.abs(a - b) < eps)
     along = ux * vx + uy * vy
     along = F.when(F.abs(along) >= eps, along)
+    if not points:
+        same = same & along.isNotNull()
     place = lambda x, y: ((x - qx1) * vx + (y - qy1) * vy) / along  # noqa: E731  of a moved end on q: 0 at its start, 1 at its end
     a, b = place(px1, py1), place(px2, py2)
     # greatest and least pass nulls over

@@ -94,3 +94,12 @@ def test_path_keys_stay_in_one_line(spark):
 
     paths = ["", "a", "/somewhere/" + "long/" * 40, "ä\\b" * 30]
     assert column(spark, T.path_key, paths) == [base64.b64encode(p.encode()).decode() for p in paths]
+
+
+def test_equal_lines_of_no_length(spark):
+    rows = [(0, 0.0, 0.0, 0.0, 0.0), (1, 1.0, 2.0, 5.0, 2.0), (2, 0.5, 0.5, 0.5, 0.51)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double, d double")
+    line = tuple(map(F.col, "abcd"))
+    for points, want in ((True, [(0.0, 1.0, 0.0, True)] * 3), (False, [(0.0, None, None, False), (0.0, 1.0, 0.0, True), (0.0, None, None, False)])):
+        got = df.orderBy("i").select(*(c.alias(k) for k, c in G.line_pair(line, line, points=points).items())).collect()
+        assert [tuple(r) for r in got] == want
