@@ -62,7 +62,20 @@ def lines(words: DataFrame) -> DataFrame:
     """Lines of word rows that carry line_idx: box, words, first word, text."""
     return words.groupBy(*KEYS, "line_idx").agg(
         F.min("word_idx").alias("word_start"), F.count(F.lit(1)).alias("n_words"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "value"))), lambda w: w["value"]), "").alias("joined"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_idx", "value"))), lambda w: w["value"]), "").alias("joined"),
+    )
+
+
+def lines_in_row(paged: DataFrame) -> DataFrame:
+    """lines() of pages (doc_id, page_no, words: array of value, r, the line, and box, in reading order), without a shuffle. Words of a line
+    stand together, so a line is a slice, whose begin is where its number is met first."""
+    r = F.transform("words", lambda w: w["r"])
+    own = paged.select("doc_id", "page_no", "words", r.alias("r")).select("doc_id", "page_no", "words", F.explode(F.array("r")).alias("r"))
+    begins = own.select("doc_id", "page_no", "words", F.explode(F.transform(F.array_distinct("r"), lambda k: F.struct(k.alias("k"), F.array_position("r", k).cast("int").alias("at"), F.size(F.filter("r", lambda x: x == k)).alias("n")))).alias("l"))
+    sliced = begins.select("doc_id", "page_no", "l", F.explode(F.array(F.slice("words", F.col("l.at"), F.col("l.n")))).alias("w"))
+    return sliced.select(
+        "doc_id", "page_no", F.col("l.k").alias("line_idx"), (F.col("l.at") - 1).alias("word_start"), F.col("l.n").cast("bigint").alias("n_words"), F.array_min("w.left").alias("left"), F.array_min("w.top").alias("top"),
+        F.array_max("w.right").alias("right"), F.array_max("w.bottom").alias("bottom"), F.array_join("w.value", "").alias("joined"),
     )
 
 
