@@ -1,6 +1,6 @@
 """Overlapping duplicates of letters: the same character drawn again within a third of its mean character width.
 
-A sequential rule over the letters of a page, so a page is one grouped Arrow call that filters its rows in place: one shuffle, no join
+A sequential rule over the letters of a page, so a page is one Arrow call that filters its rows in place: one shuffle, or none, no join
 back. (A fold in SQL functions copies the slots at every letter and was slower by two orders of magnitude.)
 """
 
@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .together import by_page
+
 
 def crowded(values: list[str], x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
     """Which letters have another of their value within the cells of size `reach` around their own; only these can be duplicates."""
@@ -37,33 +39,43 @@ def kept(values: list[str], x: np.ndarray, y: np.ndarray, width: np.ndarray, kee
     if not len(values):
         return out
     tolerance = np.asarray(width, float) / np.array([max(len(v), 1) for v in values]) / 3
-    slots: dict[str, list] = {}
-    for i in np.flatnonzero(crowded(values, x, y, float(tolerance.max()))).tolist():
-        v, tol = values[i], tolerance[i]
-        held = slots.setdefault(v, [np.empty(8), np.empty(8), [], 0])
-        n = held[3]
-        near = np.flatnonzero((np.abs(held[0][:n] - x[i]) <= tol) & (np.abs(held[1][:n] - y[i]) <= tol))
-        if len(near):
-            if not keep_last:
-                out[i] = False
+    # cells a little wider than any tolerance: what is near enough is in the cell or around it
+    reach = float(tolerance.max()) * (1 + 1e-9)
+    wide = reach if reach > 0 else 1.0
+    cells: dict[tuple, list[int]] = {}
+    cx, cy = (np.floor(np.asarray(c, float) / wide).tolist() for c in (x, y))
+    tolerance, x, y = tolerance.tolist(), np.asarray(x, float).tolist(), np.asarray(y, float).tolist()
+    held: list[int] = []  # the letter of each slot
+    for i in np.flatnonzero(crowded(values, np.array(x), np.array(y), reach)).tolist():
+        v, tol, a, b, found = values[i], tolerance[i], cx[i], cy[i], -1
+        for p in (a - 1, a, a + 1):
+            for q in (b - 1, b, b + 1):
+                for k in cells.get((v, p, q), ()):
+                    if (found < 0 or k < found) and abs(x[held[k]] - x[i]) <= tol and abs(y[held[k]] - y[i]) <= tol:
+                        found = k
+        if found < 0:
+            found = len(held)
+            held.append(i)
+        elif keep_last:
+            before = held[found]
+            out[before] = False
+            held[found] = i
+            if (cx[before], cy[before]) == (a, b):
                 continue
-            k = int(near[0])
-            out[held[2][k]] = False
-            held[2][k] = i
+            cells[v, cx[before], cy[before]].remove(found)
         else:
-            if n == len(held[0]):
-                held[0], held[1] = np.resize(held[0], 2 * n), np.resize(held[1], 2 * n)
-            k = n
-            held[2].append(i)
-            held[3] += 1
-        held[0][k], held[1][k] = x[i], y[i]
+            out[i] = False
+            continue
+        cells.setdefault((v, a, b), []).append(found)
     return out
 
 
-def dedup(letters: DataFrame, keep_last: bool = True, keys: tuple[str, ...] = ("doc_id", "page_no")) -> DataFrame:
-    """letters (keys, seq, value, x, y, width, ...) of each page without duplicates; letters without a value or place stay as they are."""
+def dedup(letters: DataFrame, keep_last: bool = True, keys: tuple[str, ...] = ("doc_id", "page_no"), together: bool = False) -> DataFrame:
+    """letters (keys, seq, value, x, y, width, ...) of each page without duplicates; letters without a value or place stay as they are.
+
+    together: see `together.by_page`."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(_: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("seq")
         whole = np.logical_and.reduce([t[k].is_valid().to_numpy() for k in ("value", "x", "y", "width")])
         stay = np.ones(len(t), bool)
@@ -71,4 +83,4 @@ def dedup(letters: DataFrame, keep_last: bool = True, keys: tuple[str, ...] = ("
         stay[whole] = kept(own["value"].to_pylist(), *(own[k].to_numpy() for k in ("x", "y", "width")), keep_last)
         return t.filter(pa.array(stay))
 
-    return letters.groupBy(*keys).applyInArrow(run, letters.schema)
+    return by_page(letters, keys, run, letters.schema, together)
