@@ -73,11 +73,39 @@ def cut_words(rows: pa.ListArray) -> pa.ListArray:
     per_page = pc.fill_null(pc.list_value_length(rows), 0).to_numpy().astype(np.int64)
     ends = np.cumsum(pc.fill_null(pc.binary_length(lines), 0).to_numpy().astype(np.int64))
     b = np.frombuffer(b"".join(pc.fill_null(lines, "").cast(pa.binary()).to_pylist()), np.uint8)
-    lead = np.flatnonzero((b & 0xC0) != 0x80)  # the first bytes of characters
-    size = np.diff(np.append(lead, len(b)))
-    kind = _kinds()[_code_points(b, lead, size)]
+    lead, size = _characters(b)
     line = np.searchsorted(ends, lead, "right")
     first = np.searchsorted(lead, ends - np.diff(ends, prepend=0))  # the first character of each line, or the next line's
+    at, value = _cut(b, lead, size, line)
+    page = np.repeat(np.arange(len(rows)), per_page)
+    r = np.arange(len(page)) - np.repeat(np.cumsum(per_page) - per_page, per_page)
+    of = line[at]
+    n = np.concatenate(([0], np.cumsum(np.bincount(page[of], minlength=len(rows))))).astype(np.int32)
+    fields = [pa.array(r[of].astype(np.int32)), pa.array((at - first[of]).astype(np.int32)), value]
+    return pa.ListArray.from_arrays(pa.array(n), pa.StructArray.from_arrays(fields, ["r", "c", "value"]))
+
+
+def cut_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+    """The words of whole texts (null: empty), as words() has them on all pages: the text, the row within the text, and the value of each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    b = np.frombuffer(b"".join(pc.fill_null(texts, "").cast(pa.binary()).to_pylist()), np.uint8)
+    lead, size = _characters(b)
+    text = np.searchsorted(ends, lead, "right")
+    first = np.searchsorted(lead, ends - np.diff(ends, prepend=0))
+    row = (np.arange(len(lead)) - first[text]) // COLUMNS
+    at, value = _cut(b, lead, size, text * (row.max(initial=0) + 1) + row)
+    return text[at], row[at], value
+
+
+def _characters(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of first bytes of characters in UTF-8, and the characters' sizes."""
+    lead = np.flatnonzero((b & 0xC0) != 0x80)
+    return lead, np.diff(np.append(lead, len(b)))
+
+
+def _cut(b: np.ndarray, lead: np.ndarray, size: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """The first character of each word, and the words, given the line of each character."""
+    kind = _kinds()[_code_points(b, lead, size)]
     begins = np.concatenate(([True], line[1:] != line[:-1]))[: len(lead)]
     before = np.concatenate(([_BLANK], kind[:-1]))[: len(lead)]
     new = (kind != _BLANK) & (begins | (kind == _MARK) | (before != _PLAIN))
@@ -85,13 +113,7 @@ def cut_words(rows: pa.ListArray) -> pa.ListArray:
     shown = kind != _BLANK
     place = np.cumsum(new[shown]) - 1
     offsets = np.concatenate(([0], np.cumsum(np.bincount(place, size[shown], len(at))))).astype(np.int32)
-    value = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(b[np.repeat(shown, size)].tobytes()))
-    page = np.repeat(np.arange(len(rows)), per_page)
-    r = np.arange(len(page)) - np.repeat(np.cumsum(per_page) - per_page, per_page)
-    of = line[at]
-    n = np.concatenate(([0], np.cumsum(np.bincount(page[of], minlength=len(rows))))).astype(np.int32)
-    fields = [pa.array(r[of].astype(np.int32)), pa.array((at - first[of]).astype(np.int32)), value]
-    return pa.ListArray.from_arrays(pa.array(n), pa.StructArray.from_arrays(fields, ["r", "c", "value"]))
+    return at, pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(b[np.repeat(shown, size)].tobytes()))
 
 
 def _code_points(b: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.ndarray:

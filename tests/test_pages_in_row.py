@@ -56,3 +56,17 @@ def test_lines_in_row(spark):
     want = lookup.lines(L.word_rows(L.words(paged)).withColumnRenamed("r", "line_idx"))
     assert got.dtypes == want.dtypes
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_selections_in_row(spark):
+    whole = (selection.END, selection.END, -1, 1, 0, -1)
+    parts = [whole, (1, 1, 1, 1, 0, 0), (1, 2, -1, 2, 3, 1), (2, 0, 9, 1, 1, 0), (1, 0, 1, 1, 0, 1), (5, 0, 0, 6, 0, 0), (1, None, 0, 2, 0, 0)]
+    texts = [*TEXTS, "a well-\n" + " " * 72 + "known (thing)" + " x_" * 700, "$5 -·b« c»"]
+    rows = [(i * len(parts) + k, t, *p) for i, t in enumerate(texts) for k, p in enumerate(parts)]
+    names = [f"{k}_{x}" for k in ("anchor", "focus") for x in ("page", "word", "off")]
+    picked = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    words = L.word_rows(L.words(L.pages(picked))).withColumnRenamed("r", "line_idx")
+    tokens = selection.selected_words(picked.drop("text"), words)
+    for got, want in ((selection.spaced_in_row(picked), selection.spaced(tokens)), (selection.text_in_row(picked), selection.selection_text(tokens))):
+        assert "Exchange" not in plan(got)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count()
