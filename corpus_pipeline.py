@@ -39,7 +39,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
     import public_tokenizers
 
-    return pair_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # written here, in batches of a bounded size: workers and executors hold few of them at a time
+    return common.staged(pair_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json")), "token-digests")
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("bpe", tokens)]

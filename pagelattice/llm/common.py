@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,6 +87,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives what a worker has freed back to the system. Worker processes go on from stage to stage, and hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that the texts of each hold about `most` bytes (one row may hold more)."""
     import pyarrow.compute as pc

@@ -29,7 +29,7 @@ from . import common
 from . import hashing as hs
 
 #: Pieces that a worker remembers, and bytes of text that it holds at a time.
-MEMO, SLICE = 400_000, 8 << 20
+MEMO, SLICE = 200_000, 3 << 20
 OTHER, LETTER, DIGIT, BLANK, UNKNOWN = range(5)
 
 
@@ -153,7 +153,7 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        self.path, self.index = path, PairIndex(vocab, spec["model"]["merges"])
+        self.index = PairIndex(vocab, spec["model"]["merges"])
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self._special = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))).finditer if self.special else None
         byte = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
@@ -162,6 +162,8 @@ class Codec:
         self._bytes = _blobs([self.bytes_of.get(i, b"") for i in range(most)])
         self._decimal = _blobs([b"%d," % i for i in range(most)])
         self._class = np.full(0x110000, UNKNOWN, np.uint8)
+        # the file without its vocabulary, which the library would hold once more
+        self._rules = json.dumps(spec | {"added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}})
         self._library = None
         self._forget()
 
@@ -177,7 +179,7 @@ class Codec:
             if self._library is None:
                 from tokenizers import Tokenizer
 
-                self._library = Tokenizer.from_file(self.path).pre_tokenizer
+                self._library = Tokenizer.from_str(self._rules).pre_tokenizer
             for c in np.unique(chars[found == UNKNOWN]).tolist():
                 joins = (k for k, beside in ((LETTER, "a"), (DIGIT, "1"), (OTHER, "!")) if len(self._library.pre_tokenize_str(beside + chr(c))) == 1)
                 self._class[c] = next(joins, BLANK)
@@ -326,8 +328,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: both directions in one pass over each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         of = codec(path)
         for batch in common.slices(batches, "text", SLICE):
+            common.trim()
             e = of.slice(batch.column("text"))
             a = [hashlib.sha256(x[:-1]).hexdigest() for x in of.joined(of.decimals, e)]
             # as the library decodes: what is no UTF-8 becomes U+FFFD

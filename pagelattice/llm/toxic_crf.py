@@ -299,6 +299,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
             hot = np.add.reduceat(np.concatenate((marg, [0.0])) >= 0.5, begin[:-1]) * (sizes > 0) if len(sizes) else sizes
             found = [[{"start": a, "end": b} for a, b in spans(texts[i].as_py(), marg[begin[i] : begin[i + 1]])] if hot[i] else [] for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(found, _SPAN)], ["doc_id", "held_out", "score", "predicted", "spans"])
+        common.trim()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), "text")
     return rows.mapInArrow(run, SCHEMA)

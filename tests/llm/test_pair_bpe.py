@@ -43,3 +43,22 @@ def test_tables(spark):
     back = pb.decoded(pb.encoded(df, PATH), PATH).collect()
     assert sorted(((r.doc_id or -1), r.text) for r in back) == sorted(((i or -1) if i != 0 else -1, t or "") for i, t, *_ in data)
     assert pb.digests(df.limit(0), PATH).count() == 0
+
+
+def test_a_slice_takes_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from pagelattice.llm import common
+
+    words = [f"wörd{i} " for i in range(3000)]
+    texts = ["".join(words[(i * 7 + k * k) % 3000] for k in range(1000)) for i in range(1000)]  # some 9 MB
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    codec = pb.codec(PATH)
+    codec.slice(texts[:10])
+    tracemalloc.start()
+    n = sum(len(codec.slice(s.column("text")).ids) for s in common.slices(iter([batch]), "text", pb.SLICE))
+    peak = tracemalloc.get_traced_memory()[1] >> 20
+    tracemalloc.stop()
+    assert n > 1_000_000 and peak < 100, peak
