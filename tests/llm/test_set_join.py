@@ -77,6 +77,56 @@ def test_survivors(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(want)
 
 
+def test_pairs_of_a_large_group_are_not_written(spark, monkeypatch):
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(400):  # even ones differ from each other by at most 12 shingles, which links them, and from odd ones by 14, which doesn't
+        w = list(base)
+        w[3 + 3 * (k % 38)] = f"x{k}"
+        if k % 2:
+            w[-1] = f"y{k}"
+        rows.append((k, " ".join(w)))
+    written, staged = [], sj.common.staged
+
+    def counting(df, name, by=None):
+        out = staged(df, name, by)
+        if {"x", "y"} <= set(out.columns):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(sj.common, "staged", counting)
+    monkeypatch.setattr(sj, "ROUNDS", 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, sj.join(df).collect()), key=str)
+    assert got == brute(rows) and sum(k == 0 for _, _, k in got) == 200
+    assert sum(written) <= sj.Rule().prefix(118) * len(rows)  # entries of the lists; there are some 40,000 pairs of unlinked ones
+
+
+def test_clusters_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sj, "CHUNK_BYTES", 5000)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, sj.join(df).collect()), key=str) == brute(rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 30), min_size=1), st.integers(0, 3), st.integers(0, 1)), min_size=1, max_size=25), st.booleans())
+def test_links_of_a_cluster(entries, across):
+    rule = sj.Rule(5, 80)
+    entries = sorted(entries, key=lambda e: len(e[0]))
+    sets = [np.array(sorted(e[0]), np.uint64) for e in entries]
+    c, chunk = (np.array([e[k] for e in entries], np.int64) for k in (1, 2))
+    dist = np.array([len(e[0] ^ entries[0][0]) for e in entries], np.int64)
+    got = sj.Cluster(rule, sets, c, np.zeros(len(c), np.int64), dist, chunk, across).links()
+    linked = lambda x, y: 100 * len(entries[x][0] & entries[y][0]) >= 80 * len(entries[x][0] | entries[y][0])
+    every = [(x, y) for y in range(len(c)) for x in range(y) if linked(x, y) and not (across and chunk[x] == chunk[y])]
+    a, b = sj.Forest(4), sj.Forest(4)
+    assert all(a.join(c[x], c[y]) for x, y in got) and set(got) <= set(every)
+    for x, y in every:
+        b.join(c[x], c[y])
+    assert a.roots().tolist() == b.roots().tolist()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5)]
